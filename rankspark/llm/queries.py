@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, mixing, packing, simhash, token_scan
+from . import exact_dedup, langid, mixing, packing, simhash, suffix_dedup, token_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.dedup_substrings(_documents(spark, sf_dir)))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = packing.pack(_documents(spark, sf_dir))
     return at.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
         "op5_mixing": op5_mixing,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
         "op10_token_counts": op10_token_counts,
     }
