@@ -239,6 +239,10 @@ def _labelled() -> list[tuple[str, str]]:
         for j, body in enumerate(bodies[:1] + bodies[4:]):
             last = around(n)[(j + n) % 12]
             pages.append(f"<html>{head(n)}<body>{menu}<div>{body}<p>{own(40)}</p></div>{menu if j % 2 else ''}{last}</body></html>")
+            # nor of what surrounds it: there, short blocks stand among links, or last
+            before = f"<div>{words(3, 'site')}</div><div>{menu}</div><div>{words(5, 'slogan')}</div><div><a href='/m'>Menu</a></div>"
+            after = f"<div><a href='/s'>Share</a> <a href='/m'>Mail</a></div><div>{words(2 + j, 'rights')}</div><div>{menu}</div><div>{words(4 + j, 'site')}</div>"
+            pages.append(f"<html>{head(n)}<body>{before}<div>{body}<p>{own(n)}</p><p>{own(35)}</p></div>{after}</body></html>")
             pages.append(f"<html>{head(n)}<body><table><tr><td>{menu}</td><td>{body}</td></tr></table><p><a href='/x'>Back to the start page</a></p>{last}</body></html>")
     return pages
 

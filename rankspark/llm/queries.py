@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, mixing, packing, simhash, suffix_dedup, token_scan
+from . import ann, exact_dedup, html_text, langid, mixing, packing, simhash, suffix_dedup, token_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -88,6 +93,7 @@ def queries() -> dict:
         "op5_mixing": op5_mixing,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
+        "op8_nearest": op8_nearest,
         "op9_html_text": op9_html_text,
         "op10_token_counts": op10_token_counts,
     }
