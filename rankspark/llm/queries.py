@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_text, langid, mixing, packing, simhash, suffix_dedup, token_scan
+from . import ann, chat, exact_dedup, html_text, langid, mixing, packing, simhash, suffix_dedup, token_scan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = mixing.rated(_documents(spark, sf_dir).select("doc_id", "text", "source"))
     return at.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
@@ -90,6 +94,7 @@ def queries() -> dict:
         "op1_simhash": op1_simhash,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_language_id": op3_language_id,
+        "op4_chat_format": op4_chat_format,
         "op5_mixing": op5_mixing,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_packing": op7_packing,
