@@ -48,10 +48,15 @@ def _order(id_col: str) -> Column:
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without exact copies; whole rows, and only those that may repeat shuffle."""
     at = docs.withColumn("__sha", normalised_sha(F.col(text_col)))
-    blocks = filter_blocks(docs.count())
-    tested = maybe_in(at, F.col("__sha"), repeat_filter(at, F.col("__sha"), blocks), blocks)
-    doubt = tested.where("__maybe").drop("__maybe")
-    first = doubt.groupBy(F.col("__sha").alias("__g")).agg(F.min(id_col).alias("__first"))
-    stay = doubt.join(first, (F.col("__sha") == F.col("__g")) & F.col(id_col).eqNullSafe(F.col("__first")), "left_semi")
+    # the filter and each group's first id come from the hashes alone, written once
+    digest = cut(at.select("__sha", F.col(id_col).alias("id")), "hashes")
+    blocks = filter_blocks(digest.count())
+    filt = cut(repeat_filter(digest, F.col("__sha"), blocks), "filter")
+    groups = maybe_in(digest, F.col("__sha"), filt, blocks).where("__maybe").groupBy(F.col("__sha").alias("__g"))
+    first = cut(groups.agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
+    tested = maybe_in(at, F.col("__sha"), filt, blocks)
+    met = tested.where("__maybe").drop("__maybe").join(first, F.col("__sha") == F.col("__g"), "left")
+    lone = F.col("__g").isNull()
+    stay = met.where(lone | F.col(id_col).eqNullSafe(F.col("__first"))).drop("__g", "__first")
     # rows that tie on hash and id: one stays
     return tested.where("not __maybe").drop("__maybe", "__sha").unionByName(stay.dropDuplicates(["__sha"]).drop("__sha"))
