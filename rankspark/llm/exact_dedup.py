@@ -36,7 +36,8 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tested = maybe_in(digest, F.col("text_sha256"), repeat_filter(digest, F.col("text_sha256"), blocks), blocks)
     alone = tested.where("not __maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     doubt = tested.where("__maybe").drop("__maybe")
-    groups = doubt.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.min(_order("id")).alias("first"))
+    # written, so that both sides of the join are exchanges and a hot group's rows are split
+    groups = cut(doubt.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.min(_order("id")).alias("first")), "groups")
     joined = doubt.join(groups, "text_sha256").select("id", F.col("first.id").alias("keep_id"), "group_size", (F.col("first.uid") == F.col("uid")).alias("kept"), "text_sha256")
     return alone.unionByName(joined).withColumnRenamed("id", id_col)
 
