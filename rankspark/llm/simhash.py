@@ -115,6 +115,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grown.groupBy("root").agg(F.min("least_id").alias("component_id"))
     linked = roots.join(least, "root").select("node", "component_id")
     named = fps.join(linked, fps.fp == linked.node, "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least_id").alias("component_id"))
+    # written, so that both sides of the join are exchanges and a hot fingerprint's rows are split
+    named = cut(named, "named")
     out = prints.join(named, prints.fp == named.of).select("id", "fp", "component_id")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
