@@ -71,7 +71,7 @@ def phone(c: Column) -> Column:
 def languages(c: Column) -> Column:
     """["ru"], ["en"], both or none: alphabets with over 5 % of the letters."""
     ru, en = F.regexp_count(c, F.lit("[А-Яа-яЁё]")), F.regexp_count(c, F.lit("[A-Za-z]"))
-    n = ru + en
+    n = F.nullif(ru + en, F.lit(0))
     return F.array_compact(F.array(F.when(ru / n > 0.05, "ru"), F.when(en / n > 0.05, "en")))
 
 
@@ -209,7 +209,7 @@ def dominated_by(phrase: Column, name: Column) -> Column:
     """At least half of the phrase's tokens are tokens (longer than 1) of the name."""
     names = F.filter(tokens(F.lower(F.coalesce(name, F.lit("")))), lambda x: F.length(x) > 1)
     parts = tokens(F.lower(phrase))
-    return F.coalesce((F.size(names) > 0) & (F.size(parts) > 0) & (F.size(F.filter(parts, lambda x: F.array_contains(names, x))) / F.size(parts) >= 0.5), F.lit(False))
+    return F.coalesce((F.size(names) > 0) & (F.size(parts) > 0) & (F.size(F.filter(parts, lambda x: F.array_contains(names, x))) / F.nullif(F.size(parts), F.lit(0)) >= 0.5), F.lit(False))
 
 
 # --- file names, labels, formats ---------------------------------------------------------

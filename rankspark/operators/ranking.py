@@ -114,7 +114,7 @@ def rerank(shortlist: DataFrame, queries: DataFrame, candidates: DataFrame, k: i
     from ..functions.text import parsed_score
 
     at = shortlist.withColumnRenamed("rank", "retriever_rank").withColumnRenamed("score", "retriever_score")
-    at = at.join(queries.select("query_id", "query_text"), "query_id").join(candidates.select("candidate_id", F.coalesce("raw_text", F.lit("")).alias("raw_text")), "candidate_id", "left")
+    at = at.join(queries.select("query_id", "query_text"), "query_id").join(candidates.select("candidate_id", "raw_text"), "candidate_id", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
     if scorer is None:
         at = at.withColumn("got", F.struct(overlap_score(F.col("query_text"), F.col("raw_text")).alias("score"), F.lit("token overlap").alias("explanation")))
     else:

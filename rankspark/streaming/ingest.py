@@ -22,7 +22,7 @@ from ..sources.files import EXTENSIONS, suffix
 def landing(spark: SparkSession, path: str) -> DataFrame:
     """A stream of (path, content, ...) of the files that appear under a path; temporary
     files (_tmp_...) are left alone."""
-    at = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    at = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).load(path)
     return at.where(~F.col("path").rlike("/_tmp_[^/]*$"))
 
 
