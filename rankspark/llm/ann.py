@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Rows in a shard, on average: 8192 vectors of 64 floats are 2 MB, their graph 1 MB.
-SHARD_ROWS = 8192
+#: Rows in a shard, on average: 16384 vectors of 64 floats are 4 MB, their graph 4 MB.
+SHARD_ROWS = 16_384
 #: Links of a node, beam of a search, nodes widened at once.
-LINKS, BEAM, STEP = 16, 64, 4
+LINKS, BEAM, STEP = 32, 96, 4
 #: A level has about one node in so many of the level below.
 LEVEL_RATE = 16
 
@@ -58,33 +58,41 @@ def _nearest(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
     return out
 
 
-def _links(x: np.ndarray, width: int) -> np.ndarray:
-    """Neighbour numbers (rows, 2 * width), -1 where there is none."""
+def _links(x: np.ndarray, width: int, block: int = 256) -> np.ndarray:
+    """Neighbour numbers (rows, 2 * width), -1 where there is none, for blocks of nodes at once."""
     n = len(x)
-    out = np.full((n, 2 * width), -1, np.int32)
     if n < 2:
-        return out
+        return np.full((n, 2 * width), -1, np.int32)
     near = _nearest(x, 3 * width)
-    used = np.zeros(n, np.int64)
-    for i in range(n):
-        cand = near[i]
-        d = ((x[cand] - x[i]) ** 2).sum(axis=1)
-        between = ((x[cand][:, None, :] - x[cand][None, :, :]) ** 2).sum(axis=2) if len(cand) <= 64 else None
-        stay: list[int] = []
-        for j in range(len(cand)):
-            if all(between[j, s] >= d[j] for s in stay):
-                stay.append(j)
-                if len(stay) == width:
-                    break
-        rest = [j for j in range(len(cand)) if j not in set(stay)]
-        chosen = cand[sorted(stay + rest[: max(0, width // 2 - len(stay))])]
-        out[i, : len(chosen)] = chosen
-        used[i] = len(chosen)
-    for i in range(n):  # and back, where there is room
-        for j in out[i, : min(width, used[i])]:
-            if used[j] < 2 * width and i not in out[j, : used[j]]:
-                out[j, used[j]] = i
-                used[j] += 1
+    m = near.shape[1]
+    ahead = np.full((n, width), -1, np.int32)
+    for i in range(0, n, block):
+        cand = near[i : i + block]
+        rows = np.arange(len(cand))
+        v = x[cand]
+        square = (v * v).sum(axis=2)
+        to_node = square + (x[i : i + block] ** 2).sum(axis=1)[:, None] - 2 * np.einsum("bkd,bd->bk", v, x[i : i + block])
+        between = square[:, :, None] + square[:, None, :] - 2 * (v @ v.transpose(0, 2, 1))
+        stays = np.zeros((len(cand), m), bool)
+        for j in range(m):  # nearest first: j stays if no neighbour that stays is nearer to it than the node
+            stays[:, j] = ~((between[:, j, :] < to_node[:, j, None]) & stays).any(axis=1) & (stays.sum(axis=1) < width)
+        # those that stay, then the nearest others
+        by = np.argsort(~stays, axis=1, kind="stable")[:, :width]
+        ahead[i : i + len(cand), : by.shape[1]] = cand[rows[:, None], by]
+    # and back: each node takes the nearest of those that link to it, where it has room
+    source, target = np.repeat(np.arange(n), width), ahead.ravel()
+    source, target = source[target >= 0], target[target >= 0]
+    d = ((x[source] - x[target]) ** 2).sum(axis=1)
+    known = np.sort(source.astype(np.int64) * n + target)
+    back = target.astype(np.int64) * n + source
+    new = known[np.minimum(np.searchsorted(known, back), len(known) - 1)] != back
+    source, target, d = source[new], target[new], d[new]
+    by = np.lexsort((d, target))
+    source, target = source[by], target[by]
+    place = np.arange(len(target)) - np.searchsorted(target, target)
+    out = np.concatenate([ahead, np.full((n, width), -1, np.int32)], axis=1)
+    fits = place < width
+    out[target[fits], width + place[fits]] = source[fits]
     return out
 
 
@@ -116,46 +124,58 @@ def search(graph: dict, queries: np.ndarray, beam: int = BEAM, step: int = STEP)
     beam = min(beam, len(x))
     top, _ = graph["levels"][-1]
     # all nodes of the highest level are looked at, then each level starts from the best so far
-    d = (x[top] ** 2).sum(axis=1)[None, :] - 2 * (q @ x[top].T)
-    best = np.argsort(d, axis=1)[:, :step]
+    square = (x * x).sum(axis=1)
+    d = square[top][None, :] - 2 * (q @ x[top].T)
+    best = np.argsort(d, axis=1)[:, :beam]
     found, dist = top[best], np.take_along_axis(d, best, axis=1)
     for at, links in reversed(graph["levels"]):
         place = np.full(len(x), -1, np.int64)
         place[at] = np.arange(len(at))
-        found, dist = _beam(x, place, links, q, found, dist, beam, step)
+        found, dist = _beam(x, square, place, links, q, found, dist, beam, step)
     return found, dist
 
 
-def _beam(x, place, links, q, found, dist, beam, step):
-    n, square = len(q), (x * x).sum(axis=1)
+def _beam(x, square, place, links, q, found, dist, beam, step):
+    n = len(q)
     rows = np.arange(n)[:, None]
     pad = max(0, beam - found.shape[1])
     found = np.pad(found.astype(np.int64), ((0, 0), (0, pad)), constant_values=-1)
     dist = np.pad(dist, ((0, 0), (0, pad)), constant_values=np.inf)
-    wide = found < 0  # already widened, or nothing there
+    done = found < 0  # already widened, or nothing there
     seen = np.zeros((n, len(x) + 1), bool)
     seen[rows, found] = True
     seen[:, -1] = True  # the place of "none"
     while True:
-        ahead = np.where(wide, np.inf, dist)
-        pick = np.argsort(ahead, axis=1, kind="stable")[:, :step]
-        live = np.take_along_axis(ahead, pick, axis=1) < np.inf
+        # found is sorted, so the nearest that aren't widened come first
+        pick = np.argsort(done, axis=1, kind="stable")[:, :step]
+        live = ~np.take_along_axis(done, pick, axis=1)
         if not live.any():
-            break
+            return found, dist
         take = np.where(live, np.take_along_axis(found, pick, axis=1), -1)
-        wide[rows, pick] = True
-        next_ = np.where(take[:, :, None] >= 0, links[place[take]], -1).reshape(n, -1).astype(np.int64)
-        next_.sort(axis=1)
-        next_[:, 1:][next_[:, 1:] == next_[:, :-1]] = -1
-        next_[seen[rows, next_]] = -1
-        seen[rows, next_] = True
-        d = np.where(next_ >= 0, square[next_] - 2 * np.einsum("nd,nkd->nk", q, x[next_]), np.inf)
-        found = np.concatenate([found, next_], axis=1)
-        dist = np.concatenate([dist, d], axis=1)
-        wide = np.concatenate([wide, next_ < 0], axis=1)
-        by = np.argsort(dist, axis=1, kind="stable")[:, :beam]
-        found, dist, wide = (np.take_along_axis(v, by, axis=1) for v in (found, dist, wide))
-    return found, dist
+        done[rows, pick] = True
+        new = np.where(take[:, :, None] >= 0, links[place[take]], -1).reshape(n, -1).astype(np.int64)
+        new[seen[rows, new]] = -1
+        seen[rows, new] = True
+        d = np.where(new >= 0, square[new] - 2 * np.matmul(x[new], q[:, :, None])[:, :, 0], np.inf)
+        # only what beats the beam's last can come in
+        keep = d < dist[:, -1:]
+        most = int(keep.sum(axis=1).max())
+        if not most:
+            continue
+        first = np.argsort(~keep, axis=1, kind="stable")[:, :most]
+        new, d = np.take_along_axis(new, first, axis=1), np.where(np.take_along_axis(keep, first, axis=1), np.take_along_axis(d, first, axis=1), np.inf)
+        found, dist, done = np.concatenate([found, new], axis=1), np.concatenate([dist, d], axis=1), np.concatenate([done, d == np.inf], axis=1)
+        by = np.argsort(dist, axis=1, kind="stable")
+        found, dist, done = (np.take_along_axis(v, by, axis=1) for v in (found, dist, done))
+        # a node met twice in one step stands next to itself
+        twice = (found[:, 1:] == found[:, :-1]) & (found[:, 1:] >= 0)
+        if twice.any():
+            dist[:, 1:][twice] = np.inf
+            done[:, 1:][twice] = True
+            by = np.argsort(dist, axis=1, kind="stable")
+            found, dist, done = (np.take_along_axis(v, by, axis=1) for v in (found, dist, done))
+        found, dist, done = found[:, :beam], dist[:, :beam], done[:, :beam]
+        found[dist == np.inf] = -1
 
 
 def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
