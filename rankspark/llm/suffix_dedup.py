@@ -158,7 +158,8 @@ def _settle(runs: DataFrame, carry: list[str]) -> DataFrame:
     met = likely.join(cores, F.col("core") == F.col("c")).drop("c")
     who = F.struct("k1", "k2", "anchor", "run", *(["doc"] if "doc" in runs.columns else []))
     many = met.where("least != most")
-    hulls = many.groupBy(F.col("core").alias("c"), F.col("hull").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who"))
+    # written, so that both sides of the join are exchanges and a hot hull's runs are split
+    hulls = cut(many.groupBy(F.col("core").alias("c"), F.col("hull").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who")), "hulls")
     many = many.join(hulls, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h")))
     one = met.where("least = most").select(*_SETTLED, *carry, F.lit(True).alias("recurs"), F.lit(False).alias("open"))
     return one.unionByName(many.select(*_SETTLED, *carry, (F.col("n") > 1).alias("recurs"), ((F.col("n") == 1) | (who == F.col("who"))).alias("open")))
