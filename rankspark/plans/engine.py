@@ -112,11 +112,41 @@ class Engine:
         change = self.spark.createDataFrame([(id_, name, email)], "id long, name string, email string")
         self.candidates.write(store.update_candidates(current, change, "name", "email"))
 
-    def delete_candidate(self, id_: int) -> None:
+    def upload(self, filename: str, content: bytes) -> int:
+        """Parses and adds one file; its id. ValueError for a file that is refused or can't
+        be read, Conflict for one whose content is known."""
+        one = self.spark.createDataFrame([(filename, bytearray(content))], "filename string, content binary")
+        good, bad = files.screen_uploads(one, self.settings.max_upload_bytes)
+        refused = bad.first()
+        if refused:
+            raise ValueError(refused["reason"])
+        at = good.select(X.sanitize_filename(F.col("filename")).alias("source_file"), "content", X.content_hash(F.col("content")).alias("content_hash"))
+        digest = at.first()["content_hash"]
         current = self.candidates.read()
-        if files.by_id(current, id_).isEmpty():
+        if not current.where(F.col("content_hash") == digest).isEmpty():
+            raise Conflict(digest)
+        row = self.parse_files(at)
+        failed = row.where("error is not null").first()
+        if failed:
+            raise ValueError(failed["error"])
+        row = store.with_ids(row.drop("error"), current, "source_file")
+        row = row.withColumn("source_file", X.final_name(F.col("id"), F.col("source_file")))
+        self.candidates.write(current.unionByName(row, allowMissingColumns=True))
+        return self.candidates.read().where(F.col("content_hash") == digest).first()["id"]
+
+    def delete_candidate(self, id_: int, files_under: str | None = None) -> None:
+        """Removes a candidate, and its file if that lies under the folder ``files_under``."""
+        current = self.candidates.read()
+        row = files.by_id(current, id_).first()
+        if row is None:
             raise LookupError(id_)
         self.candidates.write(current.where(F.col("id") != id_))
+        if files_under and row["source_file"].startswith(files_under.rstrip("/") + "/"):
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["source_file"])
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
+
+    def backfill_hashes(self, folder: str) -> None:
+        self.candidates.write(store.backfill_hashes(self.candidates.read(), files.discover(self.spark, folder)))
 
     def by_email(self) -> DataFrame:
         at = self.candidates.read().groupBy("email").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))

@@ -406,3 +406,58 @@ def test_retries(monkeypatch):
 def test_parse_fills_skills_from_phrases(spark):
     got = plans.parse(lines(spark, "Ivan Petrov", "machine learning engineer building recommendation systems")).first()
     assert got.parsed.name == "Ivan Petrov" and len(got.parsed.skills) > 0
+
+
+def test_uploads(spark, tmp_path, engine):
+    one = docx("Ivan Petrov", "text")
+    assert engine.upload("My CV.DOCX", one) == 1
+    assert engine.candidate(1).first()["source_file"] == "1_My_CV.docx"
+    for bad, error in ((("again.docx", one), engines.Conflict), (("x.txt", b"1"), ValueError), (("x.docx", b""), ValueError), (("x.docx", b"no zip"), ValueError)):
+        with pytest.raises(error):
+            engine.upload(*bad)
+    assert engine.candidates.read().count() == 1
+
+
+def message(sender, *attached):
+    from email.message import EmailMessage
+
+    m = EmailMessage()
+    m["From"], m["Subject"] = sender, "cv"
+    m.set_content("see file")
+    for name, data in attached:
+        m.add_attachment(data, maintype="application", subtype="octet-stream", filename=name)
+    return m.as_bytes()
+
+
+def test_mail_files(spark, tmp_path):
+    from rankspark.sources import mailbox
+
+    (tmp_path / "1.eml").write_bytes(message("a@b", ("Cv.docx", b"x"), ("pic.png", b"y")))
+    (tmp_path / "2.eml").write_bytes(b"")
+    (tmp_path / "3.eml").write_bytes(message("c@d"))
+    got = mailbox.eml_files(spark.read.format("binaryFile").load(str(tmp_path)).where("length > 0"))
+    assert sorted((r.sender, [x.filename for x in r.attachments]) for r in got.collect()) == [("a@b", ["Cv.docx", "pic.png"]), ("c@d", [])]
+    assert [r.filename for r in ingest.attachments(got).collect()] == ["Cv.docx"]
+
+
+def test_mailbox_offsets():
+    from rankspark.sources import mailbox
+
+    class Box:
+        held = {3: message("a@b", ("x.pdf", b"1")), 5: message("c@d")}
+
+        def select(self, *a, **k):
+            pass
+
+        def uid(self, what, *a):
+            if what == "search":
+                low, high = a[1].split()[1].split(":")
+                return "OK", [" ".join(str(u) for u in self.held if u >= min(int(low), max(self.held)) and (high == "*" or u <= int(high))).encode()]
+            return "OK", [(b"", self.held[int(a[0])])]
+
+    reader = mailbox.MailboxReader({}, Box)
+    rows, end = reader.read(reader.initialOffset())
+    assert [r[0] for r in rows] == ["3", "5"] and end == {"uid": 5}
+    assert [r[1] for r in reader.readBetweenOffsets({"uid": 0}, {"uid": 3})] == ["a@b"]
+    rows, end = reader.read(end)
+    assert list(rows) == [] and end == {"uid": 5}
