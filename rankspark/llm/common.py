@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import sys
 import tempfile
 import uuid
@@ -31,9 +32,11 @@ PROBES = 4
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder from the session; a temporary one only where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    found = found or spark.sparkContext.getCheckpointDir()
     if not found:
-        held = spark.sparkContext.getCheckpointDir()
-        found = held or "file://" + tempfile.mkdtemp(prefix="rankspark-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rankspark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
