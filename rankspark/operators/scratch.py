@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,5 +12,8 @@ from pyspark.sql import SparkSession
 def folder(spark: SparkSession, name: str) -> str:
     """A new path under the cluster's spark.checkpoint.dir; a temporary one where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    base = base or "file://" + tempfile.mkdtemp(prefix="rankspark-")
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="rankspark-")
     return f"{base.rstrip('/')}/rankspark/{name}-{uuid.uuid4().hex}"
