@@ -23,18 +23,23 @@ STOP_WORDS = tuple(
 )
 
 
-def terms(text: Column, stop_words: tuple = STOP_WORDS) -> Column:
-    """All unigrams and bigrams of a text, in an array."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    words = F.filter(words, lambda w: ~w.isin(*stop_words)) if stop_words else words
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
-    return F.concat(words, pairs)
+def words(text: Column, stop_words: tuple = STOP_WORDS) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
 def counts(docs: DataFrame, id_col: str, text_col: str, stop_words: tuple = STOP_WORDS) -> DataFrame:
-    """(id, term, tf) of each document."""
-    at = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col), stop_words)).alias("term"))
+    """(id, term, tf) of each document.
+
+    Texts are dealt by id before they are cut into terms, as a text is far smaller than its
+    terms; the counts, and all that is grouped by id after them, then need no exchange.
+    """
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(spread, "id")
+    at = at.select("id", words(F.col("text"), stop_words).alias("w"))
+    n = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+    at = at.select("id", F.explode(F.concat("w", pairs)).alias("term"))
     return at.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -49,8 +54,8 @@ def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_features: int =
 def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
     """(id, term, w), of length one for each id; terms out of the vocabulary drop before."""
     at = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("x", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf"))
-    size = at.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    return at.join(size, "id").select("id", "term", (F.col("x") / F.col("size")).alias("w"))
+    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
+    return at.select("id", "term", (F.col("x") / size).alias("w"))
 
 
 def fit(corpus: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, DataFrame]:

@@ -119,9 +119,10 @@ def _corpus(spark, d):
 
 
 def _fitted(spark, d):
-    vocab, w = tfidf.fit(_corpus(spark, d), "id", "text")
-    num = F.expr("cast(substring(id, 2) as bigint)")
-    return vocab, w.where(F.col("id").startswith("v")).withColumn("id", num), w.where(F.col("id").startswith("c")).withColumn("id", num)
+    """Vocabulary, weights of the items, weights of the documents."""
+    corpus, docs, jobs = _corpus(spark, d), _t(spark, d, "documents"), _t(spark, d, "benchmark")
+    vocab = tfidf.vocabulary(tfidf.counts(corpus, "id", "text"), corpus.count()).cache()
+    return vocab, tfidf.weights(tfidf.counts(jobs, "item_id", "text"), vocab), tfidf.weights(tfidf.counts(docs, "doc_id", "text"), vocab)
 
 
 def _tfidf(spark, d, k, boosted=False):
@@ -238,7 +239,7 @@ def random_baseline(spark, d):
 def logreg_boost_topk(spark, d):
     """TF-IDF with the boost by predicted categories, learned from documents' languages."""
     vocab, asked, docs = _fitted(spark, d)
-    vocab, docs = vocab.cache(), docs.cache()
+    docs = docs.cache()
     labels = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
     predict = tfidf.classifier(docs, vocab, labels, max_iter=20)
     jobs = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(True).alias("boosts")).join(predict(asked).withColumnRenamed("id", "query_id"), "query_id", "left")
