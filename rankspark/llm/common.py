@@ -52,7 +52,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/rankspark/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t.written_at)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

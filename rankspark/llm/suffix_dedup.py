@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, filter_blocks, maybe_in, membership_filter, small_batches, worker_cache
+from .common import cut, filter_blocks, maybe_in, membership_filter, release, small_batches, worker_cache
 
 LENGTH = 400
 GRAM = 32
@@ -104,10 +104,9 @@ def _digest(data: bytes, *more: int) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(data, seed=sum((v + 1) << (12 * i) for i, v in enumerate(more))), "little", signed=True)
 
 
-def _runs(text: bytes, anchor: int, near: int, far: int, width: int, length: int, origin: int = 0):
-    """Runs of one anchor: (run, nearest, farthest, core, hull) for the distances near..far
-    from a window's start to the anchor. origin: place of text[0] in the document."""
-    a = anchor - origin
+def _runs(text: bytes, a: int, near: int, far: int, width: int, length: int):
+    """Runs of the anchor at text[a]: (run, nearest, farthest, core, hull) for the distances
+    near..far from a window's start to the anchor."""
     for run in range(near // width, far // width + 1):
         d1, d2 = run * width, min(run * width + width, length) - 1
         start, end = max(0, a - d2), min(len(text), a + length - d1)
@@ -151,34 +150,39 @@ def _run_rows(out: list) -> pa.RecordBatch:
 def _settle(runs: DataFrame, carry: list[str]) -> DataFrame:
     """Runs whose core occurs more than once, with ``recurs`` (settled: their windows recur)
     and ``open`` (to go on). Of the runs with one hull that recurs, one goes on as a
-    witness for the sake of others, if its core has other hulls."""
-    cores = cut(runs.groupBy(F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).where("n > 1").drop("n"), "cores")
+    witness for the sake of others, if its core has other hulls.
+
+    Takes over the written table ``runs``. Each step is written, so that both sides of a join
+    are exchanges (a hot core's or hull's runs are split), and what was read is deleted.
+    """
+    cores = cut(runs.groupBy(F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).where("n > 1").select("c", (F.col("least") == F.col("most")).alias("one")), "cores")
     blocks = filter_blocks(cores.count())
     likely = maybe_in(runs, F.col("core"), membership_filter(cores, F.col("c"), blocks), blocks).where("__maybe").drop("__maybe")
-    met = likely.join(cores, F.col("core") == F.col("c")).drop("c")
-    who = F.struct("k1", "k2", "anchor", "run", *(["doc"] if "doc" in runs.columns else []))
-    many = met.where("least != most")
-    # written, so that both sides of the join are exchanges and a hot hull's runs are split
+    met = cut(likely.join(cores, F.col("core") == F.col("c")).drop("c"), "met")
+    release(runs, cores)
+    who = F.struct("k1", "k2", "anchor", "run", *carry)
+    many = met.where("not one")
     hulls = cut(many.groupBy(F.col("core").alias("c"), F.col("hull").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who")), "hulls")
     many = many.join(hulls, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h")))
-    one = met.where("least = most").select(*_SETTLED, *carry, F.lit(True).alias("recurs"), F.lit(False).alias("open"))
-    return one.unionByName(many.select(*_SETTLED, *carry, (F.col("n") > 1).alias("recurs"), ((F.col("n") == 1) | (who == F.col("who"))).alias("open")))
+    one = met.where("one").select(*_SETTLED, *carry, F.lit(True).alias("recurs"), F.lit(False).alias("open"))
+    out = cut(one.unionByName(many.select(*_SETTLED, *carry, (F.col("n") > 1).alias("recurs"), ((F.col("n") == 1) | (who == F.col("who"))).alias("open"))), "settled")
+    release(met, hulls)
+    return out
 
 
 _SETTLED = ["k1", "k2", "anchor", "run", "near", "far"]
 
 
 def _contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """Open runs with the bytes of their hulls: k1, k2, anchor, near, far, left, bytes. left:
-    the bytes before the anchor. Only documents with open runs shuffle."""
+    """Open runs with the bytes of their hulls: context (a number), k1, k2, anchor, near, far,
+    left, bytes. left: the bytes before the anchor. Only documents with open runs shuffle."""
     wanted = open_.groupBy(F.col("k1").alias("w1"), F.col("k2").alias("w2")).agg(F.collect_set(F.struct("anchor", "near", "far")).alias("runs"))
     at = _those_in(docs, wanted).join(wanted, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2")))
-    at = at.withColumn("doc", F.monotonically_increasing_id())
-    at = at.select("k1", "k2", "doc", F.col("text").cast("binary").alias("text"), F.explode("runs").alias("r"))
+    at = at.select("k1", "k2", F.col("text").cast("binary").alias("text"), F.explode("runs").alias("r"))
     start = F.greatest(F.lit(0), F.col("r.anchor") - F.col("r.far"))
     end = F.col("r.anchor") + length - F.col("r.near")
     piece = F.substring(F.col("text"), (start + 1).cast("int"), (end - start).cast("int"))
-    return at.select("k1", "k2", "doc", "r.anchor", "r.near", "r.far", (F.col("r.anchor") - start).cast("int").alias("left"), piece.alias("bytes"))
+    return at.select(F.monotonically_increasing_id().alias("context"), "k1", "k2", "r.anchor", "r.near", "r.far", (F.col("r.anchor") - start).cast("int").alias("left"), piece.alias("bytes"))
 
 
 def _those_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -191,27 +195,26 @@ def _those_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _narrow_runs(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out, doc = [[] for _ in range(8)], [[], [], []]
-            for k1, k2, d, anchor, near, far, left, data in zip(*(c.to_pylist() for c in batch.columns)):
+            out, whose = [[] for _ in range(8)], []
+            for context, k1, k2, anchor, near, far, left, data in zip(*(c.to_pylist() for c in batch.columns)):
                 for r, n, f, core, hull in _runs(data, left, near, far, NARROW, length):
                     for to, v in zip(out, (k1, k2, anchor, r, n, f, core, hull)):
                         to.append(v)
-                    low = max(0, left - f)
-                    for to, v in zip(doc, (d, left - low, data[low : left + length - n])):
-                        to.append(v)
+                    whose.append(context)
             rows = _run_rows(out)
-            kinds = (pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(v, t) for v, t in zip(doc, kinds))], [*rows.schema.names, "doc", "left", "bytes"])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(whose, pa.int64())], [*rows.schema.names, "context"])
 
-    return contexts.mapInArrow(run, f"{_RUN_SCHEMA}, doc bigint, left int, bytes binary")
+    return contexts.mapInArrow(run, f"{_RUN_SCHEMA}, context bigint")
 
 
-def _suffixes(open_: DataFrame, length: int) -> DataFrame:
-    """One row for each window of the open runs: k1, k2, doc, at (its start), suffix (its bytes)."""
-    at = open_.withColumn("d", F.explode(F.sequence("near", "far")))
+def _suffixes(open_: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """One row for each window of the open runs: k1, k2, context, at (its start), suffix (its
+    bytes). Only contexts with open runs shuffle."""
+    blocks = filter_blocks(open_.count())
+    some = maybe_in(contexts.select(F.col("context").alias("c"), "left", "bytes"), F.col("c"), membership_filter(open_, F.col("context"), blocks), blocks).where("__maybe").drop("__maybe")
+    at = open_.join(some, F.col("context") == F.col("c")).withColumn("d", F.explode(F.sequence("near", "far")))
     suffix = F.substring(F.col("bytes"), F.col("left") - F.col("d") + 1, F.lit(length))
-    at = at.select("k1", "k2", "doc", (F.col("anchor") - F.col("d")).alias("at"), suffix.alias("suffix"))
-    return at.where(F.octet_length("suffix") == length)
+    return at.select("k1", "k2", "context", (F.col("anchor") - F.col("d")).alias("at"), suffix.alias("suffix"))
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
@@ -236,7 +239,7 @@ def multikey_order(rows: np.ndarray) -> np.ndarray:
 
 def _sorted_repeats(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
     """(k1, k2, at) of the suffixes that occur more than once."""
-    salted = suffixes.withColumn("salt", F.xxhash64("k1", "k2", "doc", "at").bitwiseAND(F.lit(1023)).cast("int"))
+    salted = suffixes.withColumn("salt", F.xxhash64("context", "at").bitwiseAND(F.lit(1023)).cast("int"))
     # splitters are sampled from the suffixes' bytes; the salt lets them cut a hot suffix too
     dealt = salted.repartitionByRange(buckets, "suffix", "salt").select("k1", "k2", "at", "suffix", F.spark_partition_id().alias("bucket"))
 
@@ -286,13 +289,12 @@ def _sorted_repeats(suffixes: DataFrame, length: int, buckets: int) -> DataFrame
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, spans): byte ranges to remove, merged, of keyed documents (k1, k2, text)."""
     small_batches(docs.sparkSession, 256)
-    wide = cut(_wide_runs(docs, length), "runs")
-    found = cut(_settle(wide, []), "met")
+    found = _settle(cut(_wide_runs(docs, length), "runs"), [])
     contexts = cut(_contexts(docs, found.where("open"), length), "contexts")
-    left = cut(_settle(cut(_narrow_runs(contexts, length), "narrow"), ["doc", "left", "bytes"]), "left")
+    left = _settle(cut(_narrow_runs(contexts, length), "narrow"), ["context"])
     n = left.where("open").agg(F.sum(F.col("far") - F.col("near") + 1)).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_SUFFIXES + 1)
-    sorted_ = _sorted_repeats(_suffixes(left.where("open"), length), length, buckets)
+    sorted_ = _sorted_repeats(_suffixes(left.where("open"), contexts, length), length, buckets)
     starts = found.where("recurs").select(*_SETTLED).unionByName(left.where("recurs").select(*_SETTLED))
     starts = starts.select("k1", "k2", (F.col("anchor") - F.col("far")).alias("s"), (F.col("anchor") - F.col("near") + length).alias("e"))
     starts = starts.unionByName(sorted_.select("k1", "k2", F.col("at").alias("s"), (F.col("at") + length).alias("e"))).distinct()
