@@ -39,11 +39,9 @@ LEVEL_RATE = 16
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v) of the rows that take part, as arrays of doubles."""
+    """(id, v) of the rows that can take part, as arrays of doubles."""
     at = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
-    at = at.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x != 0)")
-    widths = at.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
-    return at.where(F.size("v") == (widths[0][0] if widths else 0))
+    return at.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(v, x -> x != 0)")
 
 
 def _nearest(x: np.ndarray, k: int, block: int = 512) -> np.ndarray:
@@ -207,6 +205,9 @@ def best_of_shard(graph: dict, query_ids: np.ndarray, queries: np.ndarray, k: in
 def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest found among ``vectors``."""
     base = usable(vectors, id_col, vector_col)
+    widths = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
+    same_width = F.size("v") == (widths[0][0] if widths else 0)
+    base = base.where(same_width)
     n, greatest = base.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))).first()
     shards = max(1, -(-(n or 0) // shard_rows))
     greatest = greatest or 0.0
@@ -228,7 +229,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
 
     # each shard's rows meet in one task; a shard has a bounded number of rows
     index = cut(dealt.select("shard", "id", "v").repartition(4 * shards, "shard").mapInArrow(make, "shard int, ids binary, starts binary, nodes binary, x binary, members array<binary>, links array<binary>"), "graphs")
-    asked = usable(queries, id_col, vector_col)
+    asked = usable(queries, id_col, vector_col).where(same_width)
     # a shard's queries are asked in up to PARTS tasks, each with a copy of the graph
     parts = max(1, min(PARTS, -(-asked.count() // PART_QUERIES)))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("id").alias("query"), "v")

@@ -117,6 +117,8 @@ def test_small_tables_are_exact(spark):
     got = ann.neighbours(df, df.where("vec_id % 20 = 0"), 50).orderBy("query_id", "rank").collect()
     expected = brute(rows, 50)
     assert {q: [r.vec_id for r in got if r.query_id == q] for q in expected} == {q: [j for j, _ in e] for q, e in expected.items()}
+    other = spark.createDataFrame([(20, [1.0, 2.0]), (40, None)], df.schema)
+    assert ann.neighbours(df, other, 5).count() == 0
     empty = df.where("false")
     assert ann.neighbours(empty, empty).count() == 0
 
