@@ -33,7 +33,7 @@ SHARD_ROWS = 16_384
 #: Links of a node, beam of a search, nodes widened at once.
 LINKS, BEAM, STEP = 32, 96, 4
 #: Tasks that ask one shard, at most, and queries that are worth another task.
-PARTS, PART_QUERIES = 8, 512
+PARTS, PART_QUERIES = 8, 1024
 #: A level has about one node in so many of the level below.
 LEVEL_RATE = 16
 
@@ -228,13 +228,13 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
             )
 
     # each shard's rows meet in one task; a shard has a bounded number of rows
-    index = cut(dealt.select("shard", "id", "v").repartition(4 * shards, "shard").mapInArrow(make, "shard int, ids binary, starts binary, nodes binary, x binary, members array<binary>, links array<binary>"), "graphs")
+    index = cut(dealt.select("shard", "id", "v").repartition(2 * shards, "shard").mapInArrow(make, "shard int, ids binary, starts binary, nodes binary, x binary, members array<binary>, links array<binary>"), "graphs")
     asked = usable(queries, id_col, vector_col).where(same_width)
     # a shard's queries are asked in up to PARTS tasks, each with a copy of the graph
     parts = max(1, min(PARTS, -(-asked.count() // PART_QUERIES)))
     asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("id").alias("query"), "v")
     graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("query"), F.lit(None).cast("array<double>").alias("v"), "ids", "starts", "nodes", "x", "members", "links")
-    stream = graphs.unionByName(asked, allowMissingColumns=True).repartition(4 * shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
+    stream = graphs.unionByName(asked, allowMissingColumns=True).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
 
     def ask(batches):
         graph = None
