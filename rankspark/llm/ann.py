@@ -187,7 +187,8 @@ def best_of_shard(graph: dict, query_ids: np.ndarray, queries: np.ndarray, k: in
     """(query number, id, score) of each query's k best of one shard, ties to smaller ids."""
     found, _ = search(graph, queries, max(BEAM, 2 * k))
     for i in range(len(queries)):
-        nodes = found[i][found[i] >= 0]
+        nodes = found[i, : 2 * k]  # by distance in single precision; exact scores order them
+        nodes = nodes[nodes >= 0]
         scores = exact_scores(graph["nodes"][nodes], queries[i])
         ids, values = [], []
         for node, s in sorted(zip(nodes.tolist(), scores.tolist()), key=lambda p: -p[1]):
