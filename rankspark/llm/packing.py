@@ -8,6 +8,8 @@ boundary gets one record for each side.
 Only the last sequence can be short. It is padded to the window unless its length is a
 power of two, and padding needs no record.
 
+Added tokens of the vocabulary are matched in a text, as tokenizers does by default.
+
 Defined results: a null text is empty, and an empty document is the end id alone. Rows
 that repeat are packed as often as they occur. Null ids stay null. An empty table gives no
 piece.

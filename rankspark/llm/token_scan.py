@@ -8,7 +8,8 @@ and the tokens since the last separator.
 
 Defined results: the separator isn't counted; two separators in a row enclose a document
 of no tokens; tokens after the last separator are a document of their own, with ``closed``
-false. A null or empty block has no tokens. An empty table gives no document.
+false. A null or empty block has no tokens. An empty table gives no document. The
+separator's string in a text is ordinary text, so that it closes no document.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode, held, n, whose, file, block = encoder(vocabulary), [], 0, None, None, 0
+        encode, held, n, whose, file, block = encoder(vocabulary, added=False), [], 0, None, None, 0
 
         def out(ids, owners):
             return pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([owners.to_pylist()], pa.list_(owners.type))], ["file", "block", "ids", "doc_ids"])

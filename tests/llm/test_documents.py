@@ -259,6 +259,25 @@ def test_packing_round_trip(docs, rows):
     assert sum(p.length for p in pieces) == sum(map(len, expected))
 
 
+def test_packing_matches_added_tokens(spark):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end}", f"one  {end}  two\n{end}", "<|endoftext", f"é{end[:-1]}{end}1", "plain  text "]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {p.doc_id: np.frombuffer(p.ids, "<u4").tolist() for p in pieces}
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert got == {i: e.ids + [0] for i, e in enumerate(plain.encode_batch(texts, add_special_tokens=False))}
+
+
+def test_token_counts_keep_the_separator_as_text(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>"]
+    got = token_scan.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(collect(got, "doc_id", "n_tokens")) == [(i, len(ids)) for i, ids in enumerate(reference_ids(texts))]
+
+
 def test_token_counts(docs, rows):
     got = collections.Counter(collect(token_scan.token_counts(docs), "doc_id", "n_tokens"))
     assert got == collections.Counter((r[0], len(ids)) for r, ids in zip(rows, reference_ids([r[1] or "" for r in rows])))
