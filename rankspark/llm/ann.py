@@ -1,12 +1,14 @@
 """Nearest neighbours by inner product: a navigable small-world graph for each shard.
 
-Vectors are dealt to shards of bounded size by a hash of their id. Each shard gets one
-hierarchical graph, stored as flat arrays: the vectors, the level of each, and for each
+Vectors are dealt to shards of bounded size by their norm's band and a hash of their id.
+Each shard gets one hierarchical graph, stored as flat arrays: the vectors, the level of each, and for each
 level a block of neighbour numbers of fixed width. A query descends each shard's levels
 and searches the lowest one with a beam; the shards' best are merged by exact scores.
 
-Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M the greatest
-norm; the graph is navigated by that distance. Equal vectors of a shard are one node with
+Inner product becomes distance by one more coordinate, sqrt(M^2 - |x|^2), M the shard's
+greatest norm; nodes are linked by that distance, in units of M, and the graph is navigated
+by the inner product itself. A band spans BAND octaves of norms, so a few long
+vectors neither blur the others in single precision nor overflow. Equal vectors of a shard are one node with
 a list of ids, so a large group of copies doesn't crowd out other neighbours.
 
 A shard's graph is linked from exact neighbour lists within each level (a shard is small),
@@ -30,6 +32,8 @@ from .common import cut
 
 #: Rows in a shard, on average: 16384 vectors of 64 floats are 4 MB, their graph 4 MB.
 SHARD_ROWS = 16_384
+#: Norms in a shard differ at most by so many octaves; norms are counted in steps of one by STEPS.
+BAND, STEPS = 2, 16
 #: Links of a node, beam of a search, nodes widened at once.
 LINKS, BEAM, STEP = 32, 96, 4
 #: Tasks that ask one shard, at most, and queries that are worth another task.
@@ -96,15 +100,27 @@ def _links(x: np.ndarray, width: int, block: int = 256) -> np.ndarray:
     return out
 
 
-def build(ids: np.ndarray, vectors: np.ndarray, greatest: float, width: int = LINKS, seed: int = 1) -> dict:
+def bands(steps: list[int]) -> dict[int, int]:
+    """The band of each step of norms: the greatest norm opens the first, the greatest below it the next."""
+    out, band, low = {}, -1, None
+    for step in sorted(steps, reverse=True):
+        if low is None or step <= low:
+            band, low = band + 1, step - BAND * STEPS
+        out[step] = band
+    return out
+
+
+def build(ids: np.ndarray, vectors: np.ndarray, width: int = LINKS, seed: int = 1) -> dict:
     """The graph of one shard as flat arrays."""
     order = np.lexsort((ids,))
     ids, vectors = ids[order], vectors[order]
     nodes, of = np.unique(vectors, axis=0, return_inverse=True)
     members = np.argsort(of.ravel(), kind="stable")
     starts = np.searchsorted(of.ravel()[members], np.arange(len(nodes) + 1))
-    lift = np.sqrt(np.maximum(0.0, greatest**2 - (nodes * nodes).sum(axis=1)))
-    x = np.concatenate([nodes, lift[:, None]], axis=1).astype(np.float32)
+    x = nodes / np.abs(nodes).max()
+    square = (x * x).sum(axis=1)
+    lift = np.sqrt(square.max() - square)
+    x = (np.concatenate([x, lift[:, None]], axis=1) / np.sqrt(square.max())).astype(np.float32)
     rng = np.random.default_rng(seed)
     level = np.floor(-np.log(1 - rng.random(len(x))) / np.log(LEVEL_RATE)).astype(int)
     levels = []
@@ -118,24 +134,24 @@ def build(ids: np.ndarray, vectors: np.ndarray, greatest: float, width: int = LI
 
 
 def search(graph: dict, queries: np.ndarray, beam: int = BEAM, step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """(node numbers, squared distances) of a beam for each query, nearest first; -1: none."""
+    """(node numbers, distances) of a beam for each query, nearest first; -1: none. A
+    distance is the negative inner product, in units of the shard and the query."""
     x, n = graph["x"], len(queries)
-    q = np.concatenate([queries, np.zeros((n, 1))], axis=1).astype(np.float32)
+    q = np.concatenate([queries / np.abs(queries).max(axis=1, keepdims=True), np.zeros((n, 1))], axis=1).astype(np.float32)
     beam = min(beam, len(x))
     top, _ = graph["levels"][-1]
     # all nodes of the highest level are looked at, then each level starts from the best so far
-    square = (x * x).sum(axis=1)
-    d = square[top][None, :] - 2 * (q @ x[top].T)
+    d = -(q @ x[top].T)
     best = np.argsort(d, axis=1)[:, :beam]
     found, dist = top[best], np.take_along_axis(d, best, axis=1)
     for at, links in reversed(graph["levels"]):
         place = np.full(len(x), -1, np.int64)
         place[at] = np.arange(len(at))
-        found, dist = _beam(x, square, place, links, q, found, dist, beam, step)
+        found, dist = _beam(x, place, links, q, found, dist, beam, step)
     return found, dist
 
 
-def _beam(x, square, place, links, q, found, dist, beam, step):
+def _beam(x, place, links, q, found, dist, beam, step):
     n = len(q)
     rows = np.arange(n)[:, None]
     pad = max(0, beam - found.shape[1])
@@ -156,7 +172,7 @@ def _beam(x, square, place, links, q, found, dist, beam, step):
         new = np.where(take[:, :, None] >= 0, links[place[take]], -1).reshape(n, -1).astype(np.int64)
         new[seen[rows, new]] = -1
         seen[rows, new] = True
-        d = np.where(new >= 0, square[new] - 2 * np.matmul(x[new], q[:, :, None])[:, :, 0], np.inf)
+        d = np.where(new >= 0, -np.matmul(x[new], q[:, :, None])[:, :, 0], np.inf)
         # only what beats the beam's last can come in
         keep = d < dist[:, -1:]
         most = int(keep.sum(axis=1).max())
@@ -209,10 +225,21 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
     widths = base.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     same_width = F.size("v") == (widths[0][0] if widths else 0)
     base = base.where(same_width)
-    n, greatest = base.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)))).first()
-    shards = max(1, -(-(n or 0) // shard_rows))
-    greatest = greatest or 0.0
-    dealt = base.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    # no square is formed, so none overflows
+    norm = F.aggregate("v", F.lit(0.0), lambda acc, x: F.hypot(acc, x))
+    base = base.withColumn("step", F.floor(F.log2(norm) * STEPS))
+    # one row for each step of norms; doubles have some 35000 in all
+    steps = {r[0]: r[1] for r in base.groupBy("step").count().collect()}
+    band, sizes = bands(list(steps)), {}
+    for step, n in steps.items():
+        sizes[band[step]] = sizes.get(band[step], 0) + n
+    # each band has shards of its own
+    first, shards = {}, 0
+    for b in sorted(sizes):
+        first[b], shards = shards, shards - (-sizes[b] // shard_rows)
+    of = base.sparkSession.createDataFrame([(step, first[b], -(-sizes[b] // shard_rows)) for step, b in band.items()], "step bigint, first int, of int")
+    shards = max(1, shards)
+    dealt = base.join(F.broadcast(of), "step").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("of"))).cast("int"))
 
     def make(batches):
         rows: dict[int, list] = {}
@@ -220,7 +247,7 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
             for shard, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)):
                 rows.setdefault(shard, []).append((i, v))
         for shard, found in rows.items():
-            g = build(np.array([r[0] for r in found], np.int64), np.array([np.asarray(r[1], np.float64) for r in found]), greatest)
+            g = build(np.array([r[0] for r in found], np.int64), np.array([np.asarray(r[1], np.float64) for r in found]))
             flat = [g["ids"].astype("<i8"), g["starts"].astype("<i8"), g["nodes"].astype("<f8"), g["x"].astype("<f4")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), *(pa.array([a.tobytes()], pa.binary()) for a in flat),

@@ -111,6 +111,22 @@ def test_neighbours_reach_recall(spark):
         assert found == sorted(found, key=lambda p: (-p[1], p[0])) and q not in [j for j, _ in found]
 
 
+@pytest.mark.parametrize("lengths", [(1e3, 1e4, 1e6), (3.9,), (2e19, 1e30)])
+def test_recall_beside_long_vectors(spark, lengths):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 8)).astype(np.float32)
+    x[::2] /= np.linalg.norm(x[::2], axis=1, keepdims=True)
+    for k in range(6):
+        x[7 + 400 * k] *= lengths[k % len(lengths)] / np.linalg.norm(x[7 + 400 * k])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    expected, got = brute(rows, 20), {}
+    for r in ann.neighbours(df, df.where("vec_id % 20 = 0"), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(got[q] & {j for j, _ in e}) for q, e in expected.items())
+    assert hit >= 0.95 * sum(map(len, expected.values()))
+
+
 def test_small_tables_are_exact(spark):
     rows = vectors(30)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
