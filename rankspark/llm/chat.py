@@ -9,13 +9,15 @@ conversation, and each run of lines of a row with one role becomes one rendered
 
 Emissions and turn transitions are counted over all rows whose role is known.
 
-A conversation is cut into runs of RUN turns. The best paths through a run are a small
+Rows are numbered within their conversation by a range sort and prefix sums, and a
+conversation is cut into runs of RUN rows by that number. The best paths through a run are a small
 matrix; the matrices of a long conversation are chained first, which fixes the roles at
 its runs' ends, and then each run is decoded on its own. No task holds more than one run.
 
 Defined results: a null text is empty, and an empty row is one empty line. A null or
-unknown role is recovered. Rows that repeat wholly count once. Rows of one turn number are
-ordered by role and text; a null turn comes last, a null conversation is one of its own.
+unknown role is recovered. Rows that repeat wholly, with their turn number, count once; rows
+without a turn number all count. Rows of one turn number are ordered by role and text; a
+null turn comes last, a null conversation is one of its own.
 An empty table gives an empty table.
 """
 
@@ -25,10 +27,10 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut, small_batches
 
 ROLES = ("system", "user", "assistant")
 #: Names of speakers in role fields and at line starts.
@@ -43,6 +45,8 @@ _STANDING = re.compile(r"(?i)\b(?:you are|you must|always|never|your task|respon
 #: A marker or role field names the right speaker so often; a line goes on so often.
 TRUST, STAY = 0.98, 0.97
 RUN = 4096
+#: So many characters of a text take part in the sampled bounds of the range sort.
+HEAD = 256
 LOW = -1e300
 
 
@@ -180,18 +184,39 @@ def turns_of(observed: list, roles: list[int], rows: list[int]):
 def _rows(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     label = F.lower(F.trim(F.col(role_col)))
     given = F.coalesce(*[F.when(label.isin(*SPEAKERS[r]), F.lit(i)) for i, r in enumerate(ROLES)], F.lit(-1))
-    at = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), given.alias("given"), F.col(text_col).alias("text")).distinct()
-    return at.withColumn("run", F.coalesce(F.floor(F.col("turn") / RUN), F.lit((1 << 62))))
+    at = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), given.alias("given"), F.col(text_col).alias("text"))
+    # equal rows are left only without a turn number; a row id deals them to several ranges
+    row = F.when(F.coalesce(F.length("text"), F.lit(0)) <= HEAD, F.monotonically_increasing_id() - (1 << 62)).otherwise(F.lit(0))
+    loose = at.where("turn is null").withColumn("row", row)
+    return at.where("turn is not null").distinct().withColumn("row", F.lit(0).cast("long")).unionByName(loose)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """conv, turn, given, text, at (rows of a conversation are in its order), run, and long:
+    whether the conversation has several runs."""
+    order = [F.col("conv"), F.asc_nulls_last("turn"), F.col("given")]
+    # a head sorts as its text does; a whole text that is another's head comes before it, as its row is negative
+    ranged = rows.withColumn("head", F.substring("text", 1, HEAD)).repartitionByRange(*order, "head", "row")
+    table = cut(ranged.sortWithinPartitions(*order, "text").select("conv", "turn", "given", "text", F.monotonically_increasing_id().alias("at")), "turns")
+    table = table.withColumn("part", F.shiftright("at", 33))
+    whose = Window.partitionBy("conv")
+    before = whose.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each conversation in each range
+    spans = table.groupBy("conv", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    spans = spans.select("conv", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whose).alias("all")).where(F.col("all") > RUN)
+    spans = spans.select(F.col("conv").alias("sc"), F.col("part").alias("sp"), (F.col("before") - F.col("first")).alias("shift"))
+    # fewer than one for each RUN rows, and one for each range
+    placed = table.join(F.broadcast(spans), F.col("conv").eqNullSafe(F.col("sc")) & (F.col("part") == F.col("sp")), "left")
+    run = F.expr(f"(at + shift) div {RUN}")
+    return placed.select("conv", "turn", "given", "text", "at", F.coalesce(run, F.lit(0)).cast("long").alias("run"), F.col("shift").isNotNull().alias("long"))
 
 
 def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, part, role, content and rendered of each recovered turn."""
     small_batches(conversations.sparkSession)
-    rows = _rows(conversations, conv_col, turn_col, role_col, text_col)
+    rows = numbered(_rows(conversations, conv_col, turn_col, role_col, text_col))
     kind = conversations.schema[conv_col].dataType.simpleString()
     model = train(rows)
-    spans = rows.groupBy("conv").agg(F.min("run").alias("first"), F.max("run").alias("last"))
-    long = spans.where("first != last").select(F.col("conv").alias("lc"), F.col("first").alias("lfirst"))
 
     def runs(batches, each):
         """Calls ``each`` with the rows of one run after another."""
@@ -210,7 +235,7 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     def summed(batches):
         def each(key, held):
             seen = [o for r in held for o in lines_of(model, r["text"], r["given"])]
-            m = through(model, seen, held[0]["run"] == held[0]["lfirst"])
+            m = through(model, seen, key[1] == 0)
             return pa.RecordBatch.from_arrays([pa.array([key[0]], conv_type), pa.array([key[1]], pa.int64()), pa.array([[v for a in m for v in a]], pa.list_(pa.float64()))], ["conv", "run", "m"])
 
         yield from runs(batches, each)
@@ -229,12 +254,12 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     from pyspark.sql.pandas.types import to_arrow_type
 
     conv_type = to_arrow_type(conversations.schema[conv_col].dataType)
-    parts = rows.join(long, F.col("conv").eqNullSafe(F.col("lc"))).drop("lc").repartition("conv", "run").sortWithinPartitions("conv", "run", "turn", "given", "text")
+    parts = rows.where("long").repartition("conv", "run").sortWithinPartitions("conv", "run", "at")
     matrices = parts.mapInArrow(summed, f"conv {kind}, run bigint, m array<double>")
-    steps = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("run", "m"))).alias("steps"))  # one small matrix for each RUN turns
+    steps = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("run", "m"))).alias("steps"))  # one small matrix for each RUN rows
     fixed = steps.mapInArrow(chained, f"fc {kind}, fr bigint, enter int, leave int")
-    every = rows.join(fixed, F.col("conv").eqNullSafe(F.col("fc")) & (F.col("run") == F.col("fr")), "left").drop("fc", "fr")
-    every = every.repartition("conv", "run").sortWithinPartitions("conv", "run", "turn", "given", "text")
+    every = rows.join(F.broadcast(fixed), F.col("conv").eqNullSafe(F.col("fc")) & (F.col("run") == F.col("fr")), "left").drop("fc", "fr")
+    every = every.repartition("conv", "run").sortWithinPartitions("conv", "run", "at")
 
     def decoded(batches):
         def each(key, held):

@@ -1,5 +1,6 @@
 """Chats, neighbours and pages."""
 
+import collections
 import math
 
 import numpy as np
@@ -54,6 +55,41 @@ def test_runs_of_a_long_conversation_agree_with_one_pass(spark, monkeypatch):
     assert [tuple(r) for r in chat.format_chats(df).orderBy("turn", "part").collect()] == whole
 
 
+def test_rows_without_a_turn_all_count(spark):
+    rows = [(1, 0, "user", "Hi"), (1, None, "user", "Yes."), (1, None, "user", "Yes."), (None, None, None, None), (None, None, None, None)]
+    got = chat.format_chats(spark.createDataFrame(rows, CONV)).collect()
+    assert sorted((str(r.conv_id), r.content) for r in got) == [("1", "Hi"), ("1", "Yes."), ("1", "Yes."), ("None", ""), ("None", "")]
+
+
+@pytest.mark.parametrize("conv, turn", [(1, None), (None, 3), (None, None)])
+def test_runs_are_bounded_whatever_the_turn_numbers(spark, monkeypatch, conv, turn):
+    texts = ["Why?", "Because of it. ", "same " * 60 + "a", "same " * 60 + "b", "same " * 60, "User: hi", None]
+    rows = [(conv, turn, ["user", "assistant", None][i % 3], (texts[i % 7] or "") + (str(i) if turn is not None else "") if texts[i % 7] is not None or turn is not None else None) for i in range(90)]
+    rows += talk(5, True, 2)
+    df = spark.createDataFrame(rows, CONV).repartition(4)
+    whole = chat.format_chats(df).collect()
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(chat, "RUN", 7)
+    found = chat.numbered(chat._rows(df, "conv_id", "turn", "role", "text")).collect()
+    assert max(collections.Counter((r.conv, r.run) for r in found).values()) == 7
+    order = sorted((r for r in found if r.conv == conv), key=lambda r: r["at"])
+    assert [(r.given, (r.text is not None, (r.text or "").encode())) for r in order] == sorted((r.given, (r.text is not None, (r.text or "").encode())) for r in order)
+    got = chat.format_chats(df).collect()
+    assert sorted((str(r.conv_id), r.content) for r in got) == sorted((str(r.conv_id), r.content) for r in whole)
+    if turn is None:
+        return
+    # texts differ: the paths are as likely (two that are equally likely may be told apart differently)
+    model, ends = chat.train(chat.numbered(chat._rows(df, "conv_id", "turn", "role", "text"))), []
+    for result in (whole, got):
+        role, total, last = {r.content: chat.ROLES.index(r.role) for r in result if r.conv_id == conv}, 0.0, 0
+        for i, r in enumerate(order):
+            ((e, new, at, line),) = chat.lines_of(model, r.text, r.given)
+            now = role[line[at:].strip()]
+            total, last = total + chat._moves(model, new, i == 0)[last][now] + e[now], now
+        ends.append(total)
+    assert ends[0] == pytest.approx(ends[1], rel=1e-12)
+
+
 def test_decode_is_the_best_path():
     import itertools
 
