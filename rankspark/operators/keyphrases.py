@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -50,9 +51,38 @@ def mmr(doc: np.ndarray, vectors: np.ndarray, n: int, diversity: float = 0.5) ->
     return chosen
 
 
+#: Phrases whose vectors are held at once, and documents of an Arrow batch.
+BLOCK, DOCUMENTS = 4096, 64
+
+
+def mmr_of(doc: np.ndarray, phrases: list[str], n: int, vectors, diversity: float = 0.5, block: int = BLOCK) -> list[int]:
+    """mmr() of any number of phrases, with the vectors of one block at a time; ``vectors``
+    embeds a list. Likeness to what is chosen only grows, so a score that is out of date is a
+    bound, and only the phrases whose bound is the greatest are scored again."""
+    if len(phrases) <= block:
+        return mmr(doc, vectors(phrases), n, diversity)
+    parts = range(0, len(phrases), block)
+    near = np.concatenate([vectors(phrases[i : i + block]) @ doc for i in parts])
+    first = int(np.argmax(near))
+    chosen, taken = [first], vectors([phrases[first]])
+    like = np.concatenate([vectors(phrases[i : i + block]) @ taken[0] for i in parts])
+    heap = [(-s, i, 1) for i, s in enumerate(((1 - diversity) * near - diversity * like).tolist()) if i != first]
+    heapq.heapify(heap)
+    while heap and len(chosen) < n:
+        _, i, seen = heapq.heappop(heap)
+        if seen == len(chosen):
+            chosen.append(i)
+            taken = np.concatenate([taken, vectors([phrases[i]])])
+        else:
+            like[i] = max(like[i], float((taken[seen:] @ vectors([phrases[i]])[0]).max()))
+            heapq.heappush(heap, (-((1 - diversity) * near[i] - diversity * like[i]), i, len(chosen)))
+    return chosen
+
+
 def keyphrases(docs: DataFrame, text: str = "text", name: str | None = None, top: int = 15, embedder=hash_embedding, dim: int = 256) -> DataFrame:
     """``docs`` with ``phrases``: up to ``top`` phrases of one to three words, without junk
     and without those that mostly repeat the person's name."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOCUMENTS))
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
     n = lambda k: F.greatest(F.size(words) - (k - 1), F.lit(0))
     two = F.zip_with(F.slice(words, F.lit(1), n(2)), F.slice(words, F.lit(2), n(2)), lambda a, b: F.concat_ws(" ", a, b))
@@ -65,7 +95,7 @@ def keyphrases(docs: DataFrame, text: str = "text", name: str | None = None, top
         out = []
         for t, ps in zip(texts, phrases):
             ps = sorted(set(ps)) if ps is not None else []
-            out.append([ps[i] for i in mmr(embedder(t or "", dim), np.array([embedder(p, dim) for p in ps]), top + 10)])
+            out.append([ps[i] for i in mmr_of(embedder(t or "", dim), ps, top + 10, lambda found: np.array([embedder(p, dim) for p in found]))])
         return pd.Series(out)
 
     at = docs.withColumn("__found", choose(F.col(text), F.concat(words, two, three)))

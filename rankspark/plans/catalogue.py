@@ -496,8 +496,8 @@ def topk_per_group(spark, d):
 
 @query()
 def parse_documents(spark, d):
-    """Documents parsed as plain text; without key phrases, which have their own query."""
-    at = plans.parse(files.text_lines(_t(spark, d, "documents")), ["Astana Hub", "Nazarbayev University"], fallback=False)
+    """Documents parsed as plain text; key phrases stand in where a document has few skills."""
+    at = plans.parse(files.text_lines(_t(spark, d, "documents")), ["Astana Hub", "Nazarbayev University"])
     p = F.col("parsed")
     return at.select("doc_id", p["name"].alias("name"), p["email"].alias("email"), p["phone"].alias("phone"), F.size(p["skills"]).alias("n_skills"), F.size(p["experience"]).alias("n_experience"), F.size(p["education"]).alias("n_education"))
 
@@ -522,13 +522,13 @@ def skill_lines(spark, d):
 
 @query()
 def entities_extract(spark, d):
-    at = entities.extract(_t(spark, d, "benchmark"), ["Astana Hub", "Nazarbayev University"])
-    return at.select("item_id", F.size("entities").alias("n"), F.array_join(entities.organisations(F.col("entities")), "; ").alias("orgs"))
+    at = entities.extract(_t(spark, d, "documents"), ["Astana Hub", "Nazarbayev University"])
+    return at.select("doc_id", F.size("entities").alias("n"), F.array_join(entities.organisations(F.col("entities")), "; ").alias("orgs"))
 
 
 @query()
 def keyphrases_top(spark, d):
-    return keyphrases.keyphrases(_t(spark, d, "benchmark")).select("item_id", F.array_join("phrases", "; ").alias("phrases"))
+    return keyphrases.keyphrases(_t(spark, d, "documents")).select("doc_id", F.array_join("phrases", "; ").alias("phrases"))
 
 
 # --- streams ---------------------------------------------------------------------------------------

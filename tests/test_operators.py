@@ -140,6 +140,32 @@ def test_mmr_and_phrases(spark):
     assert any("deep learning" in p for p in got[0]) and not any(p == "ivan petrov" for p in got[0]) and got[1] == []
 
 
+def test_mmr_in_blocks_is_mmr():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    most = []
+
+    def vectors(found):
+        most.append(len(found))
+        return x[[int(p) for p in found]]
+
+    assert keyphrases.mmr_of(x[:9].sum(axis=0), list(map(str, range(500))), 25, vectors, block=37) == keyphrases.mmr(x[:9].sum(axis=0), x, 25)
+    assert max(most) == 37
+
+
+def test_phrase_queries_read_documents(spark, tmp_path):
+    from rankspark.plans import catalogue
+
+    text = "Ivan Petrov\nmachine learning engineer building recommendation systems at Kaspi Bank"
+    spark.createDataFrame([(1, text, "en", "a", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.parse_documents(spark, str(tmp_path)).first().n_skills > 0
+    assert "recommendation" in catalogue.keyphrases_top(spark, str(tmp_path)).where("doc_id = 1").first().phrases
+    assert catalogue.entities_extract(spark, str(tmp_path)).where("doc_id = 1").first().orgs
+
+
 # --- ranking ----------------------------------------------------------------------------------------
 
 
