@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, bounded_batches
 
 ROLES = ("system", "user", "assistant")
 #: Names of speakers in role fields and at line starts.
@@ -213,7 +213,7 @@ def numbered(rows: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, part, role, content and rendered of each recovered turn."""
-    small_batches(conversations.sparkSession)
+    bounded_batches(conversations.sparkSession)
     rows = numbered(_rows(conversations, conv_col, turn_col, role_col, text_col))
     kind = conversations.schema[conv_col].dataType.simpleString()
     model = train(rows)

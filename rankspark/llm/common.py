@@ -72,9 +72,18 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts are long: keep the Arrow batches that reach Python workers small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts are long: the Arrow batches that reach Python workers are bounded in bytes.
+
+    Sets the session's spark.sql.execution.arrow.maxBytesPerBatch where it has its default of
+    64 MB; rows and results don't depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def worker_cache(key: str, make):

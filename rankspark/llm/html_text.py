@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, worker_cache
+from .common import bounded_batches, worker_cache
 
 #: Elements that end a block where they begin and end.
 BLOCK = frozenset(
@@ -264,7 +264,7 @@ def main_text(page: str | None, model) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, and text and n_chars, of each row of ``pages``."""
-    small_batches(pages.sparkSession, 256)
+    bounded_batches(pages.sparkSession)
 
     def run(batches):
         model = worker_cache("html tree", tree)

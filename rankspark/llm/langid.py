@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded_batches
 
 UNKNOWN = "und"
 DIMENSION = 4096
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
     """``docs`` with __lang and __score. The rows stay where they are."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     at = docs.withColumn("__letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
     text_at, letters_at = at.columns.index(text_col), len(at.columns) - 1
     schema = docs.schema

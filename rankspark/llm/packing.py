@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, bounded_batches
 from .tokens import VOCABULARY, encoder
 
 WINDOW = 1024
@@ -31,7 +31,7 @@ END = 0
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
     """part, start (ids before it in the part), id, n, ids: 16-bit ids, the end id included."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_ids, small_batches
+from .common import cut, drop_ids, bounded_batches
 
 SHINGLE = 3
 SEED = 42
@@ -50,7 +50,7 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row (id, fp) for each row of ``docs``."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):

@@ -1,31 +1,33 @@
 """Suffix-array dedup: removes each byte of a 400-byte string that also starts elsewhere.
 
-A window is a 400-byte string; it is contested if another may equal it. Sorting the suffix
-at every byte would move 400 times the corpus, so three steps come before the sort, each
-exact: a window they settle is settled for certain, and the rest go on.
+A window is a 400-byte string. A suffix at every byte would move dozens of times the corpus,
+so windows are sorted in runs, then the few that a run doesn't settle in shorter runs, then
+one by one; each time the sort decides.
 
 1. Anchors. Each window has an anchor, the place in it of the least hash of 32 bytes
    (leftmost if several). It depends on the window's content alone, so two equal windows
    have their anchors at the same distance from their starts. Some 120 windows in a row
    share an anchor.
 2. Runs. An anchor's windows are cut into runs at fixed distances. A run's core is what
-   all its windows share, its hull what they cover together. Windows can be equal only
-   where cores are. If a core occurs once, no window of the run recurs. If a hull occurs
-   twice, all of them do.
-3. Shorter runs, the same way, for what is left.
-
-The windows that are left are suffixes to sort: sampled splitters range-partition them by
-their bytes, each bucket sorts its own by multikey quicksort, and neighbours that agree in
-400 bytes recur. Buckets may cut a run of equal suffixes; the suffixes at each bucket's
-ends are compared with the neighbouring buckets' ends.
-
-Every group is counted with partial aggregates, and hot groups split: no step holds a
-group's rows together.
+   all its windows share, its hull what they cover together. If no other run has its core, no
+   window of the run recurs. If another has its hull, all of them do.
+3. The sort. A run is the suffix at its core's first byte, and travels as its document and
+   offset with a key: the suffix's leading 32 bytes, then 128 bits each for the rest of the
+   core and for the hull. Sampled splitters range-partition the keys, each bucket sorts its
+   own by multikey quicksort, and neighbours are compared, across buckets too: runs that
+   agree with a neighbour in core and hull recur, those that agree in neither don't.
+4. Runs that agree in the core only go on: their bytes are read again, and they are cut to
+   runs of a few windows and sorted, and what is left of these to windows, whose key is all
+   their 400 bytes.
+
+The sort never gathers a key's rows: the splitters cut a hot key too, and only each bucket's
+first and last row are held against other buckets.
 
 Defined results: a null text is empty; texts under 400 bytes lose nothing. Rows that
 repeat (equal id and text, null ids included) count as separate documents, so each loses
 whatever a window covers. An empty table gives an empty table. Documents keep their order
-of bytes; a cut inside a multi-byte character leaves the rest of its bytes.
+of bytes; a cut inside a multi-byte character leaves the rest of its bytes. Only the two
+named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -38,14 +40,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, filter_blocks, maybe_in, membership_filter, release, small_batches, worker_cache
+from .common import bounded_batches, cut, filter_blocks, maybe_in, membership_filter, release, worker_cache
 
 LENGTH = 400
 GRAM = 32
 #: Widths of runs, in windows: of the whole corpus, then of what is left.
 WIDE, NARROW = 123, 6
-#: A bucket of the sort holds about so many suffixes (400 bytes each).
-BUCKET_SUFFIXES = 40_000
+#: A run's key: leading bytes of its suffix, then digests of core and hull.
+LEAD, DIGEST = 32, 16
+#: A bucket of the sort holds keys of about so many bytes.
+BUCKET_BYTES = 16 << 20
 #: Long texts are hashed in pieces of so many windows.
 PIECE = 1 << 20
 _P = 0x9E3779B97F4A7C15
@@ -100,20 +104,20 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM, piece: int = PI
     return place[new], first[new], last[np.append(new[1:], len(place)) - 1]
 
 
-def _digest(data: bytes, *more: int) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(data, seed=sum((v + 1) << (12 * i) for i, v in enumerate(more))), "little", signed=True)
+def _digest(data: bytes, *more: int) -> bytes:
+    return xxhash.xxh3_128_digest(data, seed=sum((v + 1) << (12 * i) for i, v in enumerate(more)))
 
 
 def _runs(text: bytes, a: int, near: int, far: int, width: int, length: int):
-    """Runs of the anchor at text[a]: (run, nearest, farthest, core, hull) for the distances
+    """Runs of the anchor at text[a]: (run, nearest, farthest, key) for the distances
     near..far from a window's start to the anchor."""
     for run in range(near // width, far // width + 1):
         d1, d2 = run * width, min(run * width + width, length) - 1
         start, end = max(0, a - d2), min(len(text), a + length - d1)
-        core = _digest(text[a - d1 : a + length - d2], run % 4096)
+        core = text[a - d1 : a + length - d2]
         # a hull that the document's ends cut short only equals one cut in the same way
-        hull = _digest(text[start:end], a - start, end - a)
-        yield run, max(near, d1), min(far, d2), core, hull
+        key = core[:LEAD].ljust(LEAD, b"\0") + _digest(core, run % 4096) + _digest(text[start:end], a - start, end - a)
+        yield run, max(near, d1), min(far, d2), key
 
 
 def _key(id_col: str, text_col: str) -> list[Column]:
@@ -123,54 +127,29 @@ def _key(id_col: str, text_col: str) -> list[Column]:
 def _wide_runs(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(7)]
             for k1, k2, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if text is None or len(text) < length:
                     continue
                 for a, first, last in zip(*(x.tolist() for x in anchors(text, length))):
-                    for r, near, far, core, hull in _runs(text, a, a - last, a - first, WIDE, length):
-                        for to, v in zip(out, (k1, k2, a, r, near, far, core, hull)):
+                    for r, near, far, key in _runs(text, a, a - last, a - first, WIDE, length):
+                        for to, v in zip(out, (k1, k2, a, r, near, far, key)):
                             to.append(v)
                 if len(out[0]) > 50_000:
                     yield _run_rows(out)
-                    out = [[] for _ in range(8)]
+                    out = [[] for _ in range(7)]
             yield _run_rows(out)
 
     return docs.select("k1", "k2", F.col("text").cast("binary").alias("text")).mapInArrow(run, _RUN_SCHEMA)
 
 
-_RUN_SCHEMA = "k1 bigint, k2 bigint, anchor bigint, run int, near int, far int, core bigint, hull bigint"
+_RUN = ["k1", "k2", "anchor", "run", "near", "far"]
+_RUN_SCHEMA = "k1 bigint, k2 bigint, anchor bigint, run int, near int, far int, key binary"
 
 
 def _run_rows(out: list) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["k1", "k2", "anchor", "run", "near", "far", "core", "hull"])
-
-
-def _settle(runs: DataFrame, carry: list[str]) -> DataFrame:
-    """Runs whose core occurs more than once, with ``recurs`` (settled: their windows recur)
-    and ``open`` (to go on). Of the runs with one hull that recurs, one goes on as a
-    witness for the sake of others, if its core has other hulls.
-
-    Takes over the written table ``runs``. Each step is written, so that both sides of a join
-    are exchanges (a hot core's or hull's runs are split), and what was read is deleted.
-    """
-    cores = cut(runs.groupBy(F.col("core").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("hull").alias("least"), F.max("hull").alias("most")).where("n > 1").select("c", (F.col("least") == F.col("most")).alias("one")), "cores")
-    blocks = filter_blocks(cores.count())
-    likely = maybe_in(runs, F.col("core"), membership_filter(cores, F.col("c"), blocks), blocks).where("__maybe").drop("__maybe")
-    met = cut(likely.join(cores, F.col("core") == F.col("c")).drop("c"), "met")
-    release(runs, cores)
-    who = F.struct("k1", "k2", "anchor", "run", *carry)
-    many = met.where("not one")
-    hulls = cut(many.groupBy(F.col("core").alias("c"), F.col("hull").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("who")), "hulls")
-    many = many.join(hulls, (F.col("core") == F.col("c")) & (F.col("hull") == F.col("h")))
-    one = met.where("one").select(*_SETTLED, *carry, F.lit(True).alias("recurs"), F.lit(False).alias("open"))
-    out = cut(one.unionByName(many.select(*_SETTLED, *carry, (F.col("n") > 1).alias("recurs"), ((F.col("n") == 1) | (who == F.col("who"))).alias("open"))), "settled")
-    release(met, hulls)
-    return out
-
-
-_SETTLED = ["k1", "k2", "anchor", "run", "near", "far"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], [*_RUN, "key"])
 
 
 def _contexts(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
@@ -195,10 +174,10 @@ def _those_in(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _narrow_runs(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            out, whose = [[] for _ in range(8)], []
+            out, whose = [[] for _ in range(7)], []
             for context, k1, k2, anchor, near, far, left, data in zip(*(c.to_pylist() for c in batch.columns)):
-                for r, n, f, core, hull in _runs(data, left, near, far, NARROW, length):
-                    for to, v in zip(out, (k1, k2, anchor, r, n, f, core, hull)):
+                for r, n, f, key in _runs(data, left, near, far, NARROW, length):
+                    for to, v in zip(out, (k1, k2, anchor, r, n, f, key)):
                         to.append(v)
                     whose.append(context)
             rows = _run_rows(out)
@@ -207,97 +186,128 @@ def _narrow_runs(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.mapInArrow(run, f"{_RUN_SCHEMA}, context bigint")
 
 
-def _suffixes(open_: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
-    """One row for each window of the open runs: k1, k2, context, at (its start), suffix (its
-    bytes). Only contexts with open runs shuffle."""
+def _windows(open_: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """One row for each window of the open runs, as a run of its own; its key is its bytes.
+    Only contexts with open runs shuffle."""
     blocks = filter_blocks(open_.count())
     some = maybe_in(contexts.select(F.col("context").alias("c"), "left", "bytes"), F.col("c"), membership_filter(open_, F.col("context"), blocks), blocks).where("__maybe").drop("__maybe")
     at = open_.join(some, F.col("context") == F.col("c")).withColumn("d", F.explode(F.sequence("near", "far")))
-    suffix = F.substring(F.col("bytes"), F.col("left") - F.col("d") + 1, F.lit(length))
-    return at.select("k1", "k2", "context", (F.col("anchor") - F.col("d")).alias("at"), suffix.alias("suffix"))
+    key = F.substring(F.col("bytes"), F.col("left") - F.col("d") + 1, F.lit(length))
+    return at.select("k1", "k2", "anchor", "run", F.col("d").alias("near"), F.col("d").alias("far"), key.alias("key"), "context")
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
     """Order of equally long byte strings (rows of a matrix) by multikey quicksort.
 
-    Sorts by words of eight bytes. Rows that agree so far are a group; each group of two
-    or more is sorted by its next word and split where the word differs, all groups at once.
+    Each group of rows that agree so far is split by its middle row's next word of eight
+    bytes into the rows under it, equal to it and over it. Equal ones go on with the word
+    after. All groups take a step at once; groups of one row are done.
     """
-    words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))).view(">u8")
-    order, place, group = np.arange(len(rows)), np.arange(len(rows)), np.zeros(len(rows), np.int64)
-    for word in range(words.shape[1]):
-        key = words[order[place], word].astype(np.uint64)
-        by = np.lexsort((key, group))
-        order[place], key = order[place][by], key[by]
-        group = np.cumsum(np.concatenate([[False], (group[1:] != group[:-1]) | (key[1:] != key[:-1])]))
-        tied = np.bincount(group)[group] > 1
-        place, group = place[tied], group[tied]
-        if not len(place):
-            break
+    words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8)))).view(">u8").astype(np.uint64)
+    order = np.arange(len(rows))
+    # rows in groups of two or more: their places in the order, each group's first, size and word
+    place, first, size, word = order.copy(), np.zeros(1, np.int64), np.array([len(rows)]), np.zeros(1, np.int64)
+    if len(rows) < 2:
+        return order
+    while len(place):
+        group = np.repeat(np.arange(len(first)), size)
+        at = order[place]
+        value = words[at, word[group]]
+        pivot = value[first + size // 2][group]
+        sides = [value < pivot, value == pivot, value > pivot]
+        sums = [np.concatenate([[0], np.cumsum(s)]) for s in sides]
+        last = first + size
+        counts = np.stack([c[last] - c[first] for c in sums], axis=1)
+        begin = (np.cumsum(counts.ravel()) - counts.ravel()).reshape(-1, 3)
+        to = np.empty(len(place), np.int64)
+        for k in range(3):
+            i = np.flatnonzero(sides[k])
+            to[i] = (begin[:, k] - sums[k][first])[group[i]] + sums[k][i]
+        moved = np.empty_like(at)
+        moved[to] = at
+        order[place] = moved
+        step = np.stack([word, word + 1, word], axis=1).ravel()
+        counts = counts.ravel()
+        goes_on = (counts > 1) & (step < words.shape[1])
+        place = place[np.repeat(goes_on, counts)]
+        size, word = counts[goes_on], step[goes_on]
+        first = np.cumsum(size) - size
     return order
 
 
-def _sorted_repeats(suffixes: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(k1, k2, at) of the suffixes that occur more than once."""
-    salted = suffixes.withColumn("salt", F.xxhash64("context", "at").bitwiseAND(F.lit(1023)).cast("int"))
-    # splitters are sampled from the suffixes' bytes; the salt lets them cut a hot suffix too
-    dealt = salted.repartitionByRange(buckets, "suffix", "salt").select("k1", "k2", "at", "suffix", F.spark_partition_id().alias("bucket"))
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each sorted row's group of equal rows, sizes of the groups)."""
+    group = np.concatenate([[0], np.cumsum((rows[1:] != rows[:-1]).any(axis=1))])
+    return group, np.bincount(group)
+
+
+def _sort(runs: DataFrame, core: int, carry: list[str], name: str) -> DataFrame:
+    """The runs that have a neighbour with their core (the first ``core`` bytes of the key) in
+    the sorted order, with ``recurs`` (one has the whole key too) and ``open``: of the runs with
+    one key, one goes on as a witness, if others have its core. Takes over the written table
+    ``runs``, which is deleted."""
+    spark, n = runs.sparkSession, runs.count()
+    first = runs.select(F.octet_length("key")).first()
+    width = first[0] if first else core
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * width // BUCKET_BYTES + 1)
+    names = [*_RUN, *carry]
+    # splitters are sampled from the keys; the salt lets them cut a hot key too
+    salted = runs.withColumn("salt", F.xxhash64(*_RUN).bitwiseAND(F.lit(1023)).cast("int"))
+    dealt = salted.repartitionByRange(buckets, "key", "salt").select(*names, "key", F.spark_partition_id().alias("bucket"))
 
     def run(batches):
-        held, bucket = [], None
-        for batch in batches:
-            if len(batch):
-                bucket = batch.column(4)[0].as_py()
-                held.append(batch.select([0, 1, 2, 3]))
+        held = [batch for batch in batches if len(batch)]
         if not held:
             return
         t = pa.Table.from_batches(held)
-        rows = np.frombuffer(b"".join(t.column("suffix").to_pylist()), np.uint8).reshape(-1, length)
+        rows = np.frombuffer(b"".join(t.column("key").to_pylist()), np.uint8).reshape(len(t), -1)
         order = multikey_order(rows)
-        same = (rows[order[1:]] == rows[order[:-1]]).all(axis=1)
-        repeats = np.zeros(len(order), bool)
-        repeats[1:] |= same
-        repeats[:-1] |= same
-        # the runs of equal suffixes at both ends may go on in a neighbouring bucket
-        first = int(np.argmin(np.append(same, False))) + 1
-        last = len(order) - 1 - int(np.argmin(np.append(same[::-1], False)))
-        edge = np.zeros(len(order), bool)
-        edge[:first] = True
-        edge[last:] = True
-        for i in range(0, len(order), 10_000):
-            part, r, e = order[i : i + 10_000], repeats[i : i + 10_000], edge[i : i + 10_000]
-            keep = r | e
-            got = t.select(["k1", "k2", "at"]).take(pa.array(part[keep]))
-            open_ends = [rows[j].tobytes() if e_ and not r_ else None for j, r_, e_ in zip(part[keep], r[keep], e[keep])]
-            # one record of each end is enough for the neighbours
-            for place in (0, len(order) - 1):
-                if i <= place < i + 10_000:
-                    k = int(keep[: place - i].sum())
-                    open_ends[k] = rows[order[place]].tobytes()
+        rows = rows[order]
+        by_core, core_sizes = _groups(rows[:, :core])
+        by_key, key_sizes = _groups(rows)
+        met, recurs = core_sizes[by_core] > 1, key_sizes[by_key] > 1
+        leads = np.concatenate([[True], by_key[1:] != by_key[:-1]])
+        keys_of_core = np.bincount(by_core[leads])
+        # the groups at both ends may go on in other buckets, with other keys
+        several = (keys_of_core[by_core] > 1) | (by_core == 0) | (by_core == by_core[-1])
+        at_end = np.zeros(len(order), bool)
+        at_end[[0, -1]] = True
+        keep = np.flatnonzero(met | at_end)
+        plain = t.select([*names, "bucket"])
+        for i in range(0, len(keep), 10_000):
+            k = keep[i : i + 10_000]
+            got = plain.take(pa.array(order[k]))
+            ends = [rows[j].tobytes() if e else None for j, e in zip(k.tolist(), at_end[k].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [*(c.combine_chunks() for c in got.columns), pa.array(r[keep]), pa.array([bucket] * int(keep.sum()), pa.int32()), pa.array(open_ends, pa.binary())],
-                ["k1", "k2", "at", "repeats", "bucket", "end"],
+                [*(c.combine_chunks() for c in got.columns), pa.array(met[k]), pa.array(recurs[k]), pa.array((leads & several)[k]), pa.array(ends, pa.binary())],
+                [*names, "bucket", "met", "recurs", "open", "end"],
             )
 
-    found = cut(dealt.mapInArrow(run, "k1 bigint, k2 bigint, at bigint, repeats boolean, bucket int, end binary"), "sorted")
-    # at most the two ends of each bucket: equal ones in different buckets meet at a boundary
-    ends = found.where("end is not null").groupBy(F.col("end").alias("e")).agg(F.count_distinct("bucket").alias("buckets")).where("buckets > 1")
-    across = found.where("end is not null and not repeats").join(ends, F.col("end") == F.col("e")).select("k1", "k2", "at")
-    return found.where("repeats").select("k1", "k2", "at").unionByName(across)
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), "bucket int, met boolean, recurs boolean, open boolean, end binary"])
+    found = cut(dealt.mapInArrow(run, schema), name)
+    release(runs)
+    # two rows at most of each bucket: equal ends meet across buckets' boundaries
+    ends = found.where("end is not null").select(*names, "bucket", "met", "recurs", F.substring("end", 1, core).alias("core"), "end")
+
+    def across(of: str) -> DataFrame:
+        met = ends.groupBy(F.col(of).alias(f"{of}_met")).agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+        return met.where("low < high").select(f"{of}_met")
+
+    joined = ends.join(across("core"), F.col("core") == F.col("core_met"), "left").join(across("end"), F.col("end") == F.col("end_met"), "left")
+    joined = joined.where("met or core_met is not null").select(*names, (F.col("recurs") | F.col("end_met").isNotNull()).alias("recurs"), F.lit(True).alias("open"))
+    return found.where("end is null").select(*names, "recurs", "open").unionByName(joined)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k1, k2, spans): byte ranges to remove, merged, of keyed documents (k1, k2, text)."""
-    small_batches(docs.sparkSession, 256)
-    found = _settle(cut(_wide_runs(docs, length), "runs"), [])
-    contexts = cut(_contexts(docs, found.where("open"), length), "contexts")
-    left = _settle(cut(_narrow_runs(contexts, length), "narrow"), ["context"])
-    n = left.where("open").agg(F.sum(F.col("far") - F.col("near") + 1)).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // BUCKET_SUFFIXES + 1)
-    sorted_ = _sorted_repeats(_suffixes(left.where("open"), contexts, length), length, buckets)
-    starts = found.where("recurs").select(*_SETTLED).unionByName(left.where("recurs").select(*_SETTLED))
-    starts = starts.select("k1", "k2", (F.col("anchor") - F.col("far")).alias("s"), (F.col("anchor") - F.col("near") + length).alias("e"))
-    starts = starts.unionByName(sorted_.select("k1", "k2", F.col("at").alias("s"), (F.col("at") + length).alias("e"))).distinct()
+    bounded_batches(docs.sparkSession)
+    wide = _sort(cut(_wide_runs(docs, length), "runs"), LEAD + DIGEST, [], "wide")
+    contexts = cut(_contexts(docs, wide.where("open"), length), "contexts")
+    narrow = _sort(cut(_narrow_runs(contexts, length), "narrow"), LEAD + DIGEST, ["context"], "shorter")
+    one = _sort(cut(_windows(narrow.where("open"), contexts, length), "windows"), length, ["context"], "sorted")
+    starts = wide.where("recurs").select(*_RUN).unionByName(narrow.where("recurs").select(*_RUN)).unionByName(one.where("recurs").select(*_RUN))
+    starts = starts.select("k1", "k2", (F.col("anchor") - F.col("far")).alias("s"), (F.col("anchor") - F.col("near") + length).alias("e")).distinct()
     # islands of overlapping ranges, then one row for each document
     order = Window.partitionBy("k1", "k2").orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches
+from .common import cut, bounded_batches
 from .tokens import END_OF_TEXT, VOCABULARY, encoder
 
 BLOCK_TOKENS = 1 << 16
@@ -36,7 +36,7 @@ def read_token_files(spark: SparkSession, path: str, id_bytes: int = 2, block_to
 def flat_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, end: int = END_OF_TEXT, vocabulary: str = VOCABULARY) -> DataFrame:
     """Tokenises ``docs`` to one flat file for each partition: file, block, ids (16-bit), and
     doc_ids, the ids of the documents that end in the block, in order."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
