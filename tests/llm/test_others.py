@@ -216,3 +216,40 @@ def test_extract_rows(spark):
     assert sorted(r.n_chars for r in got)[:2] == [0, 0] and len(got) == 4
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(df.where("false")).count() == 0
+
+
+def test_held_out_pages_of_the_labelled_table():
+    """Trained on three quarters of the pages, the tree is right on the fourth."""
+    pages = html_text._labelled()
+    for fold in range(4):
+        weights, tree = html_text.train([p for i, p in enumerate(pages) if i % 4 != fold])
+        found = [html_text.blocks(p) for i, p in enumerate(pages) if i % 4 == fold]
+        pairs = [(html_text.keeps(tree, x), b[0].startswith("=")) for f in found for b, x in zip(f, html_text.features(f, weights))]
+        right = sum(a and b for a, b in pairs)
+        assert right >= 0.97 * sum(a for a, _ in pairs) and right >= 0.97 * sum(b for _, b in pairs)
+
+
+def brute_article(page):
+    """A plain reading of the article element of the generated pages."""
+    import html
+    import re
+
+    found = re.search(r"<article>(.*?)</article>", page or "", re.S)
+    body = re.sub(r"<!--.*?-->|<script.*?</script>|<style.*?</style>", "", found.group(1), flags=re.S) if found else ""
+    parts = re.split(r"</?(?:p|h1|h2|h3|div|ul|li|nav|footer|header|blockquote)\b[^>]*>", body)
+    parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", q))).split()) for q in parts]
+    return "\n".join(q for q in parts if q)
+
+
+def test_pages_against_a_plain_reading(spark):
+    rows = html_text.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), keep=("page_id", "url", "html")).collect()
+    assert len(rows) == 250 and all(r.text == brute_article(r.html) for r in rows)
+
+
+def test_names_that_only_look_like_surroundings():
+    page = (
+        '<nav><a href="/">Home</a></nav><article><h1>T</h1><p>One.</p><section class="comment-policy"><p>We talk of rules for comments here.</p></section><p class="more">More of it.</p>'
+        '<div class="share-price">The price rose.</div><math><mi>x</mi></math><noscript>Plain</noscript><svg><text>label</text></svg><object>Shown</object><xmp><b>raw</b> &amp;</xmp></article>'
+        '<section class="comments"><p>' + "I say so. " * 20 + "</p></section>"
+    )
+    assert html_text.main_text(page, html_text.tree()) == "T\nOne.\nWe talk of rules for comments here.\nMore of it.\nThe price rose.\nxPlainlabelShown\n<b>raw</b> &amp;"
