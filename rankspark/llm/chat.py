@@ -18,7 +18,8 @@ Defined results: a null text is empty, and an empty row is one empty line. A nul
 unknown role is recovered. Rows that repeat wholly, with their turn number, count once; rows
 without a turn number all count. Rows of one turn number are ordered by role and text; a
 null turn comes last, a null conversation is one of its own.
-An empty table gives an empty table.
+An empty table gives an empty table. Only the four named columns are read, so no other
+column's name can clash.
 """
 
 from __future__ import annotations

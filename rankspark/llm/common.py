@@ -15,6 +15,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +65,30 @@ def release(*tables: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session ended before the process
+        return
     try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may be gone when the process ends
-        pass
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        # the session's settings, which hold the file system's credentials
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    except Py4JError as why:
+        print(f"rankspark: {path} was not deleted: {why}", file=sys.stderr)
+
+
+def spare(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores in front as make it differ from all columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct: beside it, an operator's own names can't clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 BATCH_BYTES = 8 << 20
@@ -213,10 +232,11 @@ def drop_ids(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose key isn't in ``gone``. A Bloom filter passes most rows straight
     through; only those that may be gone shuffle to the exact anti-join. Null keys stay."""
     blocks = filter_blocks(gone.count())
-    gone = gone.select(F.col(key).alias("__gone"))
-    tested = maybe_in(df, F.col(key), membership_filter(gone, F.col("__gone"), blocks), blocks)
-    doubt = tested.where("__maybe").drop("__maybe")
-    return tested.where("not __maybe").drop("__maybe").unionByName(doubt.join(gone, F.col(key) == F.col("__gone"), "left_anti"))
+    gone = gone.select(F.col(key).alias("gone"))
+    at = df.select(whole(df).alias("row"), F.col(f"`{key}`").alias("key"))
+    tested = maybe_in(at, F.col("key"), membership_filter(gone, F.col("gone"), blocks), blocks)
+    doubt = tested.where("__maybe")
+    return tested.where("not __maybe").select("row.*").union(doubt.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*"))
 
 
 # --- Prefix scan ------------------------------------------------------------------------

@@ -8,8 +8,7 @@ SHA-256. The filter decides where a row goes, never whether it stays.
 Defined results: a null text counts as empty, and empty texts equal each other. White-space
 runs ([ \\t-\\r]+) count as one space; nothing is trimmed. Of rows that tie on the id too
 (repeated rows, null ids), one stays. Ids that aren't null come before null. An empty
-table gives an empty table. Other columns, whatever their names, pass through untouched
-unless they start with two underscores, which are this module's own.
+table gives an empty table. Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, filter_blocks, maybe_in, repeat_filter
+from .common import SPACE, cut, filter_blocks, maybe_in, membership_filter, repeat_filter, whole
 
 
 def normalised_sha(text: Column) -> Column:
@@ -47,17 +46,26 @@ def _order(id_col: str) -> Column:
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without exact copies; whole rows, and only those that may repeat shuffle."""
-    at = docs.withColumn("__sha", normalised_sha(F.col(text_col)))
+    """``docs`` without exact copies; whole rows, and only those that may repeat shuffle.
+
+    Which rows stay is decided from hashes and ids alone. Whole rows then meet the deciding
+    (hash, id), not the hash, so that no group of copies gathers in one task.
+    """
+    at = docs.select(whole(docs).alias("row"), F.col(f"`{id_col}`").alias("id"), normalised_sha(F.col(f"`{text_col}`")).alias("sha"))
     # the filter and each group's first id come from the hashes alone, written once
-    digest = cut(at.select("__sha", F.col(id_col).alias("id")), "hashes")
+    digest = cut(at.select("sha", "id"), "hashes")
     blocks = filter_blocks(digest.count())
-    filt = cut(repeat_filter(digest, F.col("__sha"), blocks), "filter")
-    groups = maybe_in(digest, F.col("__sha"), filt, blocks).where("__maybe").groupBy(F.col("__sha").alias("__g"))
-    first = cut(groups.agg(F.min("id").alias("__first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "first")
-    tested = maybe_in(at, F.col("__sha"), filt, blocks)
-    met = tested.where("__maybe").drop("__maybe").join(first, F.col("__sha") == F.col("__g"), "left")
-    lone = F.col("__g").isNull()
-    stay = met.where(lone | F.col(id_col).eqNullSafe(F.col("__first"))).drop("__g", "__first")
-    # rows that tie on hash and id: one stays
-    return tested.where("not __maybe").drop("__maybe", "__sha").unionByName(stay.dropDuplicates(["__sha"]).drop("__sha"))
+    filt = cut(repeat_filter(digest, F.col("sha"), blocks), "filter")
+    rows = maybe_in(digest, F.col("sha"), filt, blocks).where("__maybe").groupBy("sha", "id").agg(F.count(F.lit(1)).alias("rows"))
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("rows"))
+    first = cut(rows.groupBy("sha").agg(F.min(order).alias("first")).select(F.col("sha").alias("g"), F.col("first.id").alias("first"), F.col("first.rows").alias("rows")), "first")
+    tested = maybe_in(at, F.col("sha"), filt, blocks)
+    doubt = tested.where("__maybe").drop("__maybe")
+    # rows that tie on hash and id: one stays, and each task passes on one of its own
+    ties = first.where("rows > 1")
+    tie_blocks = filter_blocks(ties.count())
+    key = F.xxhash64("sha", "id")
+    doubt = maybe_in(doubt, key, membership_filter(ties.select(F.xxhash64("g", "first").alias("k")), F.col("k"), tie_blocks), tie_blocks)
+    once = doubt.where("not __maybe").select("row", "sha", "id").union(doubt.where("__maybe").groupBy("sha", "id").agg(F.first("row").alias("row")).select("row", "sha", "id"))
+    stay = once.join(first, (F.col("sha") == F.col("g")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
+    return tested.where("not __maybe").select("row.*").union(stay.select("row.*"))

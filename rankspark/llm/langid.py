@@ -9,7 +9,8 @@ a hash of the id, the same for each language); every whole text is predicted.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or where
 nothing could be learned. A null id counts as an empty one. Rows that repeat get equal
-results. An empty table gives an empty table.
+results. An empty table gives an empty table. Other columns pass through untouched; the
+names of the two results can be chosen, so that they don't take the place of any.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, spare
 
 UNKNOWN = "und"
 DIMENSION = 4096
@@ -137,10 +139,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def run(batches):
         for batch in batches:
             got = [vector(t.as_py()).astype(np.float16).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(got, pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(got, pa.binary()), batch.column(2)], ["lang", "x", "draw"])
 
-    chosen = usable.where(draw < rate).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    found = chosen.mapInArrow(run, "lang string, x binary").limit(2 * rows).collect()
+    chosen = usable.where(draw < rate).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), draw.alias("draw"))
+    # about ``rows``; the bound holds too where many rows share an id, and so a draw
+    found = chosen.mapInArrow(run, "lang string, x binary, draw double").orderBy("draw", "lang", "x").limit(2 * rows).collect()
     found.sort(key=lambda r: (r[0], r[1]))
     if not found:
         return None
@@ -149,13 +152,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train(x, langs)
 
 
-def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lang and __score. The rows stay where they are."""
+def predict(docs: DataFrame, model: dict | None, text_col: str = "text", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
+    """``docs`` with the predicted language and its score, which take the place of columns of
+    these names. The rows stay where they are."""
     bounded_batches(docs.sparkSession)
-    at = docs.withColumn("__letters", F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)))
+    docs = docs.drop(*names)
+    letters = spare(docs.columns, "__letters")[0]
+    at = docs.withColumn(letters, F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False)))
     text_at, letters_at = at.columns.index(text_col), len(at.columns) - 1
     schema = docs.schema
-    names = [f.name for f in schema] + ["__lang", "__score"]
+    columns = [f.name for f in schema] + list(names)
 
     def run(batches):
         for batch in batches:
@@ -165,13 +171,17 @@ def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> Data
             if known:
                 for i, (a, b) in zip(known, decide(model, np.stack([vector(texts[i]) for i in known]))):
                     lang[i], score[i] = a, min(1.0, max(0.0, b))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:letters_at], pa.array(lang), pa.array(score, pa.float64())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:letters_at], pa.array(lang), pa.array(score, pa.float64())], columns)
 
-    from pyspark.sql import types as T
+    return at.mapInArrow(run, T.StructType([*schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]))
 
-    return at.mapInArrow(run, T.StructType([*schema.fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())]))
 
-
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", names: tuple[str, str] = ("__lang", "__score")) -> DataFrame:
     """``docs`` with __lang and __score, by a model learned from ``docs`` itself."""
-    return predict(docs, fit(docs, id_col, text_col, lang_col), text_col)
+    return predict(docs, fit(docs, id_col, text_col, lang_col), text_col, names)
+
+
+def in_a_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without those predicted `und`, in the columns of ``docs``."""
+    lang, score = spare(docs.columns, "__lang", "__score")
+    return identify(docs, id_col, text_col, lang_col, (lang, score)).where(F.col(lang) != UNKNOWN).drop(lang, score)

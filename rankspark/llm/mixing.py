@@ -6,7 +6,8 @@ fraction, drawn from a hash of its id.
 
 Defined results: a null text has no words; a null source is a source of its own, after
 all others. Sources without words get target and rate 0. Documents with one id share one
-draw, so reruns and any partitioning agree. An empty table gives an empty table.
+draw, so reruns and any partitioning agree. An empty table gives an empty table. Other
+columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, word_count
+from .common import cut, whole, word_count
 
 #: Up to so many sources are broadcast (at most some MB); more are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
@@ -55,18 +56,27 @@ def draw(id_: Column, seed: str) -> Column:
 
 
 def rated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **plan) -> DataFrame:
-    """``docs`` with __size, __source_size, __target and __copies."""
+    """``docs`` with __size, __source_size, __target and __copies, which take the place of columns
+    of these names."""
+    docs = docs.drop("__size", "__source_size", "__target", "__copies")
+    at = _rated(docs, id_col, text_col, source_col, seed, **plan)
+    return at.select("row.*", F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("copies").alias("__copies"))
+
+
+def _rated(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, **plan) -> DataFrame:
+    """row (all columns of ``docs``), size, source_size, target, copies."""
     sources = cut(source_plan(docs, text_col=text_col, source_col=source_col, **plan), "sources")
-    side = sources.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
+    side = sources.select(F.col("source").alias("of"), "source_size", "target")
     if sources.count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)
-    at = docs.join(side, F.col(source_col).eqNullSafe(F.col("__source"))).drop("__source")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
-    extra = (draw(F.col(id_col), seed) < rate - F.floor(rate)).cast("int")
-    return at.withColumn("__size", word_count(F.col(text_col))).withColumn("__copies", (F.floor(rate) + extra).cast("int"))
+    own = docs.select(whole(docs).alias("row"), F.col(f"`{source_col}`").alias("source"), draw(F.col(f"`{id_col}`"), seed).alias("draw"), word_count(F.col(f"`{text_col}`")).alias("size"))
+    at = own.join(side, F.col("source").eqNullSafe(F.col("of")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    extra = (F.col("draw") < rate - F.floor(rate)).cast("int")
+    return at.select("row", "size", "source_size", "target", (F.floor(rate) + extra).cast("int").alias("copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **plan) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, in the columns of ``docs``."""
-    copies = rated(docs, **options).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = _rated(docs, id_col, text_col, source_col, seed, **plan).where("copies > 0")
+    return at.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

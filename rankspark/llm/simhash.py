@@ -11,7 +11,8 @@ Only distinct fingerprints are joined, so a group of equal texts counts once.
 Defined results: a null or blank text has no words and fingerprint zero, linked like any
 other; a text of one or two words has one shingle, the whole sequence. component_id is the
 smallest id that isn't null in the component (null if it has none). Rows that repeat keep
-one output row each. An empty table gives an empty table.
+one output row each. An empty table gives an empty table. Other columns pass through
+untouched, or aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 2
 SEGMENT = 32
+#: Keys with over one in so many rows of a lookup are dealt to several tasks.
+PIECES = 1024
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -84,19 +87,35 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.select(F.least("probe", "fp").alias("a"), F.greatest("probe", "fp").alias("b"))
 
 
+def looked_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``found`` for their key. found: written, one row for each key,
+    n of them in ``rows`` at most.
+
+    A key with over a PIECES-th of all rows is hot: its rows are dealt to several tasks by a
+    salt, and its row of ``found`` goes to each. Fewer than PIECES keys are hot, so their list
+    can be broadcast.
+    """
+    limit = max(64, (found.agg(F.sum("n")).first()[0] or 0) // PIECES)
+    salts = F.ceil(F.col("n") / limit).cast("int")
+    hot = F.broadcast(found.where(F.col("n") > limit).select(F.col(key).alias("hot"), salts.alias("salts")))
+    dealt = rows.join(hot, F.col(key) == F.col("hot"), "left").withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.coalesce("salts", F.lit(1))).cast("int")).drop("hot", "salts")
+    each = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return dealt.join(each, [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b); root: the least node.
 
     Alternates large stars and small stars until nothing changes: a logarithmic number of
-    rounds, each a grouped minimum and a join, written to the shared folder.
+    rounds, each a grouped minimum and a lookup of it, written to the shared folder.
     """
     edges, before = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), None
     while True:
         both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        stars = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a != b").distinct()
-        low = stars.groupBy("b").agg(F.min("a").alias("m"))
-        hung = stars.join(low, "b")
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        stars = cut(looked_up(both.where("b > a"), "a", low).select(F.col("m").alias("a"), "b").where("a != b").distinct(), "large-stars")
+        low = cut(stars.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        hung = looked_up(stars, "b", low)
         edges = hung.select(F.col("m").alias("a"), "b").union(hung.where("a != m").select("m", "a")).distinct()
         edges = cut(edges, "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -112,8 +131,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = prints.groupBy("fp").agg(F.min("id").alias("least_id"))
     roots = components(links(fps.select("fp")))
     grown = fps.join(roots, fps.fp == roots.node)
-    least = grown.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = roots.join(least, "root").select("node", "component_id")
+    least = cut(grown.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
+    linked = looked_up(roots, "root", least).select("node", "component_id")
     named = fps.join(linked, fps.fp == linked.node, "left").select(F.col("fp").alias("of"), F.coalesce("component_id", "least_id").alias("component_id"))
     # written, so that both sides of the join are exchanges and a hot fingerprint's rows are split
     named = cut(named, "named")
