@@ -18,7 +18,9 @@ neighbours that stay already. Links go both ways.
 Defined results: vectors that are null, zero, of another length than most, or hold null
 or non-finite components take no part, neither as queries nor as candidates. Ties go to
 the smaller id. A query's own id is never its result; rows that repeat an id count as one
-candidate each. Fewer candidates than k: all of them. An empty table gives no result.
+candidate each. Queries that repeat wholly are asked once; two vectors under one id are two
+queries, each with its own k results. Fewer candidates than k: all of them. An empty table
+gives no result. Only the two named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -257,11 +259,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
 
     # each shard's rows meet in one task; a shard has a bounded number of rows
     index = cut(dealt.select("shard", "id", "v").repartition(2 * shards, "shard").mapInArrow(make, "shard int, ids binary, starts binary, nodes binary, x binary, members array<binary>, links array<binary>"), "graphs")
-    asked = usable(queries, id_col, vector_col).where(same_width)
+    asked = usable(queries, id_col, vector_col).where(same_width).dropDuplicates(["id", "v"])
     # a shard's queries are asked in up to PARTS tasks, each with a copy of the graph
     parts = max(1, min(PARTS, -(-asked.count() // PART_QUERIES)))
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("id").alias("query"), "v")
-    graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("query"), F.lit(None).cast("array<double>").alias("v"), "ids", "starts", "nodes", "x", "members", "links")
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("id").alias("query"), F.xxhash64("v").alias("which"), "v")
+    graphs = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("query"), F.lit(None).cast("bigint").alias("which"), F.lit(None).cast("array<double>").alias("v"), "ids", "starts", "nodes", "x", "members", "links")
     stream = graphs.unionByName(asked, allowMissingColumns=True).repartition(shards * parts, "shard", "part").sortWithinPartitions("shard", "part", "kind")
 
     def ask(batches):
@@ -286,14 +288,15 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str
                     at = end
                     continue
                 own = rows[at:end]
-                out = [[], [], []]
+                out = [[], [], [], []]
                 for i, ids, scores in best_of_shard(graph[1], np.array([r["query"] for r in own]), np.array([r["v"] for r in own], np.float64), k):
                     out[0] += [own[i]["query"]] * len(ids)
                     out[1] += ids
                     out[2] += scores
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
+                    out[3] += [own[i]["which"]] * len(ids)
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[j], pa.int64()) for j in (0, 1)), pa.array(out[2], pa.float64()), pa.array(out[3], pa.int64())], ["query_id", "vec_id", "score", "which"])
                 at = end
 
-    found = stream.mapInArrow(ask, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = stream.mapInArrow(ask, "query_id bigint, vec_id bigint, score double, which bigint")
+    rank = F.row_number().over(Window.partitionBy("query_id", "which").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
