@@ -12,7 +12,7 @@ Added tokens of the vocabulary are matched in a text, as tokenizers does by defa
 
 Defined results: a null text is empty, and an empty document is the end id alone. Rows
 that repeat are packed as often as they occur. Null ids stay null. An empty table gives no
-piece.
+piece. Only the two named columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, bounded_batches
-from .tokens import VOCABULARY, encoder
+from .tokens import VOCABULARY, encoder, id_bytes
 
 WINDOW = 1024
 END = 0
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCABULARY, end: int = END) -> DataFrame:
-    """part, start (ids before it in the part), id, n, ids: 16-bit ids, the end id included."""
+    """part, start (ids before it in the part), id, n, ids: the end id included, id_bytes() each."""
     bounded_batches(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, width = docs.schema[id_col].dataType.simpleString(), f"<u{id_bytes(vocabulary)}"
 
     def run(batches):
         encode, start = encoder(vocabulary), 0
@@ -40,7 +40,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, vocabulary: str = VOC
             part, starts, sizes, ids = batch.column(2), [], [], []
             for text in batch.column(1):
                 got = np.frombuffer(encode(text.as_py() or ""), "<u4")
-                got = np.append(got, end).astype("<u2")
+                got = np.append(got, end).astype(width)
                 starts.append(start)
                 sizes.append(len(got))
                 ids.append(got.tobytes())
@@ -60,14 +60,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     # one row for each partition of the input
     offsets = totals.select(F.col("part").alias("__part"), F.coalesce(F.sum("total").over(before), F.lit(0)).cast("long").alias("base"))
     at = tokens.join(F.broadcast(offsets), F.col("part") == F.col("__part")).select("id", (F.col("base") + F.col("start")).alias("first"), "n", "ids")
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, width = docs.schema[id_col].dataType.simpleString(), f"<u{id_bytes(vocabulary)}"
 
     def run(batches):
         for batch in batches:
             rows = [[] for _ in range(6)]
             whose = []
             for k, (first, n, ids) in enumerate(zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))):
-                wide = np.frombuffer(ids, "<u2").astype("<u4")
+                wide = np.frombuffer(ids, width).astype("<u4")
                 done = 0
                 while done < n:
                     sequence, offset = divmod(first + done, window)

@@ -17,6 +17,17 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 END_OF_TEXT = 50256
 
 
+def id_bytes(vocabulary: str = VOCABULARY) -> int:
+    """Bytes that hold any id of the vocabulary: 2, or 4 from 65536 ids on."""
+    def most():
+        import public_tokenizers
+
+        with open(public_tokenizers.path(vocabulary), "rb") as lines:
+            return max(END_OF_TEXT, *(int(line.split()[1]) for line in lines))
+
+    return 2 if worker_cache(f"most:{vocabulary}", most) < 1 << 16 else 4
+
+
 def encoder(vocabulary: str = VOCABULARY, added: bool = True):
     """A function from text to the bytes of its little-endian unsigned 32-bit ids. added:
     whether the tokenizers file's added tokens are matched in the text."""

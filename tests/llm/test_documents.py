@@ -7,8 +7,9 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from rankspark.llm import exact_dedup, langid, mixing, packing, simhash, suffix_dedup, token_scan
+from rankspark.llm import common, exact_dedup, langid, mixing, packing, simhash, suffix_dedup, token_scan
 
 
 def collect(df, *columns):
@@ -320,3 +321,68 @@ def test_empty_tables(none):
     assert suffix_dedup.dedup_substrings(none).count() == 0
     assert packing.pack(none).count() == 0
     assert token_scan.token_counts(none).count() == 0
+
+
+# --- clashing names -------------------------------------------------------------------------
+
+OWN = "__lang __letters __score __source __size __copies __copy __g __sha __first __mix __maybe __block __bits row key gone sha draw of rows first salt".split()
+
+
+@pytest.fixture(scope="session")
+def clashing(docs):
+    """Every name that an operator uses for itself, and values that must come through."""
+    at = docs
+    for name in OWN:
+        at = at.withColumn(name, F.lit(f"my {name}"))
+    return at
+
+
+@pytest.mark.parametrize("stage", [langid.in_a_language, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, mixing.mix])
+def test_clashing_names_come_through(clashing, docs, stage):
+    found, plain = stage(clashing), stage(docs)
+    assert found.columns == clashing.columns
+    rows = found.collect()
+    assert all(r[name] == f"my {name}" for r in rows for name in OWN)
+    assert sorted(str((r.doc_id, r.text)) for r in rows) == sorted(str(tuple(r)) for r in plain.select("doc_id", "text").collect())
+
+
+def test_clashing_names_of_results(clashing, docs):
+    assert langid.identify(clashing).columns[-2:] == ["__lang", "__score"] and mixing.rated(clashing).count() == docs.count()
+    for operator in (simhash.near_duplicates, exact_dedup.duplicate_groups, packing.pack, token_scan.token_counts, suffix_dedup.dedup_substrings):
+        assert operator(clashing.limit(20)).count() >= 20
+
+
+def test_hot_key_of_a_lookup(spark):
+    """Rows of a hot key are dealt to several tasks, and none is lost."""
+    rows = spark.range(5000).select((F.col("id") % 5000 * F.when(F.col("id") < 3000, 0).otherwise(1)).alias("a"), F.col("id").alias("b"))
+    found = rows.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    found.write.mode("overwrite").parquet(path := f"{common.shared_dir(spark)}/lookup")
+    got = simhash.looked_up(rows, "a", spark.read.parquet(path))
+    assert got.count() == 5000 and got.where("m != if(b < 3000, 0, b)").count() == 0
+
+
+def test_a_repeated_row_and_a_group_of_copies_keep_one(spark):
+    at = spark.createDataFrame([(7, "same row")] * 400 + [(i, "copy  of one text") for i in range(400)] + [(None, "no id")] * 30, "doc_id long, text string").repartition(7)
+    assert sorted(map(str, map(tuple, exact_dedup.drop_exact_duplicates(at).collect()))) == sorted(map(str, [(7, "same row"), (0, "copy  of one text"), (None, "no id")]))
+
+
+def test_a_very_long_text_and_many_empty_ones(spark):
+    long = "".join(f"w{i % 977} " for i in range(300_000))
+    at = spark.createDataFrame([(0, long)] + [(i, "") for i in range(1, 3000)], "doc_id long, text string")
+    got = dict(collect(token_scan.token_counts(at), "doc_id", "n_tokens"))
+    assert len(got) == 3000 and got[0] > 300_000 and not any(got[i] for i in range(1, 3000))
+    assert sum(r.length for r in packing.pack(at).select("length").collect()) == got[0] + 3000
+    assert simhash.near_duplicates(at).where("component_id = 1").count() == 2999
+    assert exact_dedup.drop_exact_duplicates(at).count() == 2
+
+
+def test_token_file_is_read_by_ranges(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(token_scan, "TASK_BLOCKS", 3)
+    ids = np.arange(5000, dtype="<u4") % 100 + 70_000
+    (tmp_path / "a file.bin").write_bytes(ids.tobytes())
+    blocks = token_scan.read_token_files(spark, str(tmp_path), id_bytes=4, block_tokens=64)
+    assert blocks.rdd.getNumPartitions() > 20
+    got = token_scan.stitch(token_scan.scan(blocks, end=70_099, id_bytes=4)).collect()
+    assert sorted((r.ordinal, r.n_tokens, r.closed) for r in got) == [(i, 99, True) for i in range(50)]

@@ -253,3 +253,13 @@ def test_names_that_only_look_like_surroundings():
         '<section class="comments"><p>' + "I say so. " * 20 + "</p></section>"
     )
     assert html_text.main_text(page, html_text.tree()) == "T\nOne.\nWe talk of rules for comments here.\nMore of it.\nThe price rose.\nxPlainlabelShown\n<b>raw</b> &amp;"
+
+
+def test_repeated_queries_are_asked_once(spark):
+    """A query row that occurs twice keeps its k results; two vectors under one id have k each."""
+    rows = vectors(300)
+    at = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([rows[20], rows[20], rows[40], (40, rows[41][1])], "vec_id long, embedding array<float>")
+    got = ann.neighbours(at, queries, 5).collect()
+    assert len([r for r in got if r.query_id == 20]) == 5 and len({r.vec_id for r in got if r.query_id == 20}) == 5
+    assert len([r for r in got if r.query_id == 40]) == 10
