@@ -6,19 +6,15 @@ Each stage reads all that the one before it kept. All but the last return the co
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from rankspark.llm import exact_dedup, langid, mixing, packing, simhash
-from rankspark.llm.common import shared_dir
+from rankspark.llm.common import cut, release
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those predicted `und` (no text, no letter) go."""
-    found = langid.identify(docs)
-    return found.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__score")
+    return langid.in_a_language(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,10 +45,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each one's rows are written to the shared folder and read
+    again. A stage's table is deleted as soon as the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/rankspark/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(*before)
+        before = [docs]
+    packed_ = STAGES[-1][1](spark, docs, sf_dir)
+    release(*before)  # packing reads its own table of ids from here on
+    return packed_
