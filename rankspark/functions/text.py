@@ -1,4 +1,4 @@
-"""Text expressions: trimming, contacts, languages, names, dates and file names.
+r"""Text expressions: trimming, contacts, languages, names, dates and file names.
 
 Java's \w, \d, \s, \b and (?i) are ASCII; the (?U) and (?iu) prefixes make them Unicode.
 """

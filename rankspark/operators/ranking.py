@@ -7,14 +7,14 @@ names, texts and parsed records are joined to the k rows that stay.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EVAL_PREFIX, clamp01
+from . import blocks
 
-#: Queries in a block: a block of 4096 queries of 1024 dimensions is 32 MB.
-QUERY_BLOCK = 4096
+#: Rows in a block: 2048 queries of 1024 dimensions are 16 MB.
+QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
 
 
 def production(df: DataFrame, source: str = "source_file") -> DataFrame:
@@ -36,42 +36,36 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFr
 def semantic(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """Exact nearest by cosine, of (query_id, embedding) among (candidate_id, embedding).
 
-    Candidates stay where they are: each batch is multiplied with a block of queries, and
-    only its k best of each query leave the task. Blocks have a bounded number of queries;
-    more queries are more blocks. Null and zero vectors never rank. Ties go to smaller ids.
+    Unit vectors are packed into blocks where they are, and blocks are multiplied with blocks;
+    only the k best of each query leave a pair of blocks. Null and zero vectors, and those of
+    another length than a query's, never rank. Ties go to smaller ids.
     """
-    asked = queries.where("embedding is not null").select("query_id", F.col("embedding").cast("array<double>").alias("v"))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    kept = candidates.where("embedding is not null").select("candidate_id", F.col("embedding").cast("array<double>").alias("v"))
-    found = None
-    for b in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        rows = [r for r in rows if np.linalg.norm(r.v) > 0]
-        part = kept.mapInArrow(_nearest_of([r.query_id for r in rows], np.array([np.array(r.v) / np.linalg.norm(r.v) for r in rows]), k), "query_id bigint, candidate_id bigint, score double")
-        found = part if found is None else found.unionByName(part)
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    kept = candidates.where("embedding is not null").select(F.col("candidate_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    one = asked.count() <= QUERY_BLOCK
+    columns = "ids binary, width int, unit binary"
+    found = blocks.pairs(blocks.packed(asked, _unit, columns, QUERY_BLOCK, gather=True), blocks.packed(kept, _unit, columns, CANDIDATE_BLOCK), one, _cosines, k)
     return top_k(found, k, F.desc(F.round("score", 9)), F.col("candidate_id")).withColumn("score", clamp01(F.col("score"))).select("query_id", "candidate_id", "rank", "score")
 
 
-def _nearest_of(ids: list, unit: np.ndarray, k: int):
-    def run(batches):
-        for batch in batches:
-            n = len(batch)
-            if not n or not len(ids):
-                continue
-            values = batch.column(1)
-            width = np.diff(values.offsets.to_numpy())
-            ok = width == unit.shape[1]
-            x = np.array([np.asarray(v.as_py(), float) for v, o in zip(values, ok) if o]).reshape(-1, unit.shape[1])
-            own = batch.column(0).to_numpy()[ok]
-            size = np.linalg.norm(x, axis=1)
-            x, own = x[size > 0] / size[size > 0, None], own[size > 0]
-            score = unit @ x.T
-            most = min(k, len(own))
-            by = np.lexsort((np.broadcast_to(own, score.shape), -np.round(score, 9)), axis=1)[:, :most]
-            q = np.repeat(np.array(ids, np.int64), most)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(own[by].ravel()), pa.array(np.take_along_axis(score, by, axis=1).ravel())], ["query_id", "candidate_id", "score"])
-
-    return run
+def _unit(rows):
+    """Ids, ascending, and unit vectors of the rows: a block for each length of vectors."""
+    values = rows.column("v").combine_chunks()
+    length, every = np.diff(values.offsets.to_numpy()), rows.column("id").to_numpy()
+    for width in np.unique(length[length > 0]).tolist():
+        own = np.flatnonzero(length == width)
+        x = values.take(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        ids, size = every[own], np.linalg.norm(x, axis=1)
+        by = np.argsort(ids, kind="stable")
+        by = by[size[by] > 0]
+        yield ids[by].astype("<i8").tobytes(), width, (x[by] / size[by, None]).astype("<f8").tobytes()
+
+
+def _cosines(q: dict, c: dict) -> tuple | None:
+    if q["width"] != c["width"]:
+        return None
+    asked, ids = (np.frombuffer(b["ids"], "<i8") for b in (q, c))
+    return asked, ids, np.frombuffer(q["unit"], "<f8").reshape(-1, q["width"]) @ np.frombuffer(c["unit"], "<f8").reshape(-1, c["width"]).T
 
 
 def semantic_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, strip
+from .scratch import folder
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
@@ -33,10 +34,23 @@ def delete(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, existing: DataFrame, order: str, id_col: str = "id") -> DataFrame:
-    """Consecutive ids after the greatest one there; for a single writer."""
+    """Consecutive ids after the greatest one there; for a single writer.
+
+    The rows are dealt by ranges of ``order`` and written once, so that their places are
+    fixed; each range's ids start after the rows of the ranges before it.
+    """
+    spark = rows.sparkSession
+    path = folder(spark, "numbered")
+    own = rows.drop(id_col).withColumn("__order", F.col(order))
+    own.repartitionByRange("__order").sortWithinPartitions("__order").drop("__order").withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    at = spark.read.parquet(path).withColumn("__part", F.shiftright("__at", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__low"))
+    # one row for each range
+    starts = parts.select("__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__low") + 1).alias("__shift"))
     top = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    number = F.row_number().over(Window.orderBy(order))
-    return rows.drop(id_col).withColumn("__n", number).crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__n") + F.col("__top")).cast("long")).drop("__n", "__top")
+    placed = at.join(F.broadcast(starts.crossJoin(F.broadcast(top))), "__part")
+    return placed.withColumn(id_col, (F.col("__at") + F.col("__shift") + F.col("__top")).cast("long")).drop("__at", "__part", "__shift", "__top")
 
 
 def update_candidates(existing: DataFrame, changes: DataFrame, *columns: str, key: str = "id") -> DataFrame:
@@ -91,8 +105,8 @@ class Table:
         done = [int(n[2:]) for n in names if n.startswith("v-") and fs.exists(self._fs(f"{n}/_SUCCESS")[1])]
         return max(done, default=None)
 
-    def read(self) -> DataFrame:
-        now = self.version()
+    def read(self, version: int | None = None) -> DataFrame:
+        now = self.version() if version is None else version
         return self.spark.createDataFrame([], self.schema) if now is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v-{now:09d}")
 
     def write(self, df: DataFrame) -> int:

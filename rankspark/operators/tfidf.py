@@ -7,10 +7,15 @@ document's of length one. The fitted state is two tables, vocabulary and weights
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp01
+from . import blocks
 from .ranking import top_k
 
 #: Offline default; pass other lists as a parameter.
@@ -28,45 +33,140 @@ def words(text: Column, stop_words: tuple = STOP_WORDS) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
-def counts(docs: DataFrame, id_col: str, text_col: str, stop_words: tuple = STOP_WORDS) -> DataFrame:
-    """(id, term, tf) of each document.
-
-    Texts are dealt by id before they are cut into terms, as a text is far smaller than its
-    terms; the counts, and all that is grouped by id after them, then need no exchange.
-    """
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartition(spread, "id")
-    at = at.select("id", words(F.col("text"), stop_words).alias("w"))
-    n = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", F.lit(1), n), F.slice("w", F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    at = at.select("id", F.explode(F.concat("w", pairs)).alias("term"))
-    return at.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+#: A task hands on its counts when it holds so many terms.
+HELD_TERMS = 200_000
 
 
-def vocabulary(tf: DataFrame, n_docs: int, min_df: int = 2, max_features: int = 20_000) -> DataFrame:
+def vocabulary(corpus: DataFrame, text_col: str, min_df: int = 2, max_features: int = 20_000, stop_words: tuple = STOP_WORDS, n_docs: int | None = None) -> DataFrame:
     """(term, df, ctf, idf): terms of min_df documents or more, the most frequent first. The
-    result has at most max_features rows, so it may be broadcast."""
-    at = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf")).where(F.col("df") >= min_df)
+    result has at most max_features rows, so it may be broadcast. A row is a document.
+
+    Each task counts the terms of its own texts; only these partial counts shuffle.
+    """
+
+    def run(batches):
+        df, ctf = {}, {}
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array(list(ctf.values()), pa.int64())], ["term", "df", "ctf"])
+
+        for batch in batches:
+            for found in batch.column(0).to_pylist():
+                if found:
+                    for t, n in Counter([*found, *map(" ".join, zip(found, found[1:]))]).items():
+                        df[t] = df.get(t, 0) + 1
+                        ctf[t] = ctf.get(t, 0) + n
+                if len(df) > HELD_TERMS:
+                    yield out()
+                    df, ctf = {}, {}
+        yield out()
+
+    at = blocks.spread(corpus.select(text_col)).select(words(F.col(text_col), stop_words).alias("w")).mapInArrow(run, "term string, df bigint, ctf bigint")
+    at = at.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")).where(F.col("df") >= min_df)
     at = at.orderBy(F.desc("ctf"), "term").limit(max_features)
-    return at.withColumn("idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0)
+    n = corpus.count() if n_docs is None else n_docs
+    return at.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
+
+
+def vectors(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, stop_words: tuple = STOP_WORDS, carry: tuple = ()) -> DataFrame:
+    """(id, at, w) of each row: places of its terms in the vocabulary's order of terms, and
+    weights, of length one. The rows stay where they are. The vocabulary goes to every task:
+    it has max_features rows at most. A row without a term has empty arrays."""
+    listed = sorted((r["term"], r["idf"]) for r in vocab.select("term", "idf").collect())
+    place, idf = {t: i for i, (t, _) in enumerate(listed)}, np.array([x for _, x in listed])
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+
+    def run(batches):
+        for batch in batches:
+            at, w = [], []
+            for found in batch.column(batch.num_columns - 1).to_pylist():
+                found, n = found or [], {}
+                for t in [*found, *map(" ".join, zip(found, found[1:]))]:
+                    i = place.get(t)
+                    if i is not None:
+                        n[i] = n.get(i, 0) + 1
+                own = np.fromiter(sorted(n), np.int64, len(n))
+                x = (np.log(np.array([n[i] for i in own.tolist()], float)) + 1.0) * idf[own] if n else np.zeros(0)
+                at.append(own)
+                w.append(x / np.sqrt((x * x).sum()) if n else x)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "at", "w"])
+
+    rows = blocks.spread(docs.select(id_col, *carry, text_col)).select(F.col(id_col).alias("id"), *carry, words(F.col(text_col), stop_words).alias("words"))
+    carried = "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return rows.mapInArrow(run, f"id {kinds[id_col]}{carried}, at array<int>, w array<double>")
+
+
+def weights(found: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, term, w) of vectors (id, at, w)."""
+    places = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"))
+    at = found.select("id", F.explode(F.arrays_zip("at", "w")).alias("x")).select("id", "x.at", "x.w")
+    return at.join(F.broadcast(places), F.col("at") == F.col("place")).select("id", "term", "w")
+
+
+def fit(corpus: DataFrame, id_col: str, text_col: str, stop_words: tuple = STOP_WORDS, **options) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, weights) of a corpus; documents without terms count too."""
+    vocab = vocabulary(corpus, text_col, stop_words=stop_words, **options)
+    return vocab, weights(vectors(corpus, id_col, text_col, vocab, stop_words), vocab)
 
 
-def weights(tf: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(id, term, w), of length one for each id; terms out of the vocabulary drop before."""
-    at = tf.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn("x", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf"))
-    size = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return at.select("id", "term", (F.col("x") / size).alias("w"))
+#: Rows in a block: a block of queries is spread out as a matrix, 128 times 20000 weights are 20 MB.
+QUERY_BLOCK, CANDIDATE_BLOCK = 128, 4096
 
 
-def fit(corpus: DataFrame, id_col: str, text_col: str, **options) -> tuple[DataFrame, DataFrame]:
-    """(vocabulary, weights) of a corpus; documents without terms count too."""
-    tf = counts(corpus, id_col, text_col, options.pop("stop_words", STOP_WORDS))
-    vocab = vocabulary(tf, corpus.count(), **options)
-    return vocab, weights(tf, vocab)
+def best(queries: DataFrame, candidates: DataFrame, k: int, boost: float = 0.10) -> DataFrame:
+    """Ranks candidates for queries, both vectors (id, at, w, optional category, boosts): the
+    product of weights, plus ``boost`` where the categories are equal and both sides allow it.
+
+    Candidates are packed into blocks where they are and multiplied with blocks of queries, so
+    a term that most documents have costs no more than its weights. Candidates that share no
+    term rank with 0, in the order of their ids, as their blocks' others do.
+    """
+    labelled = "category" in queries.columns and "category" in candidates.columns
+    columns = "ids binary, first binary, at binary, w binary, category array<string>, boosts array<boolean>"
+    extra = ["category", "boosts"] if labelled else []
+    q, c = (df.select(F.col("id").cast("long").alias("id"), "at", "w", *extra) for df in (queries, candidates))
+    one = q.count() <= QUERY_BLOCK
+    found = blocks.pairs(blocks.packed(q, _sparse_block, columns, QUERY_BLOCK, gather=True), blocks.packed(c, _sparse_block, columns, CANDIDATE_BLOCK), one, _products(boost), k)
+    return top_k(found, k, F.desc(F.round("score", 9)), F.col("candidate_id")).select("query_id", "candidate_id", "rank", clamp01(F.col("score")).alias("score"))
+
+
+def _sparse_block(rows):
+    rows = rows.sort_by("id").combine_chunks()
+    at, w = (rows.column(c).combine_chunks() for c in ("at", "w"))
+    first = np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))])
+    flat = [rows.column("id").to_numpy().astype("<i8"), first.astype("<i8"), at.flatten().to_numpy(zero_copy_only=False).astype("<i4"), w.flatten().to_numpy(zero_copy_only=False).astype("<f8")]
+    labels = [rows.column(c).to_pylist() if c in rows.column_names else [] for c in ("category", "boosts")]
+    yield *(x.tobytes() for x in flat), *labels
+
+
+def _products(boost: float):
+    def score(q: dict, c: dict) -> tuple:
+        (asked, qf, qa, qw), (ids, cf, ca, cw) = ([np.frombuffer(b[n], t) for n, t in (("ids", "<i8"), ("first", "<i8"), ("at", "<i4"), ("w", "<f8"))] for b in (q, c))
+        # the queries' terms only: a row of weights for each, and one of zeros for all others
+        terms = np.unique(qa)
+        spread = np.zeros((len(terms) + 1, len(asked)))
+        spread[np.searchsorted(terms, qa), np.repeat(np.arange(len(asked)), np.diff(qf))] = qw
+        place = np.searchsorted(terms, ca)
+        known = np.append(terms, -1)[place] == ca
+        out = np.zeros((len(asked), len(ids)))
+        for j in range(len(ids)):
+            s = slice(cf[j], cf[j + 1])
+            near = known[s]
+            if near.any():
+                out[:, j] = cw[s][near] @ spread[place[s][near]]
+        if q["category"] and c["category"]:
+            name = {v: i for i, v in enumerate(dict.fromkeys(v for v in (*q["category"], *c["category"]) if v is not None))}
+            qc, cc = (np.array([name.get(v, -1 - side) for v in b["category"]]) for side, b in enumerate((q, c)))
+            qb, cb = (np.array([v is None or v for v in b["boosts"]], bool) for b in (q, c))
+            out += boost * ((qc[:, None] == cc[None, :]) & qb[:, None] & cb[None, :])
+        return asked, ids, out
+
+    return score
 
 
 def similarities(query_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
-    """(query_id, candidate_id, sim) of pairs that share a term: an inverted-index join."""
+    """(query_id, candidate_id, sim) of pairs that share a term: an inverted-index join, for rare
+    terms. A term that most documents have pairs nearly all of them: best() has no such join."""
     q = query_weights.select(F.col("id").alias("query_id"), "term", F.col("w").alias("wq"))
     d = doc_weights.select(F.col("id").alias("candidate_id"), "term", F.col("w").alias("wd"))
     return d.join(q, "term").groupBy("query_id", "candidate_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("sim"))
@@ -94,26 +194,30 @@ def search(queries: DataFrame, candidates: DataFrame, sims: DataFrame, k: int, b
     return ranked.select("query_id", "candidate_id", "rank", clamp01(F.col("sim")).alias("score"))
 
 
-def classifier(doc_weights: DataFrame, vocab: DataFrame, labels: DataFrame, c: float = 1.0, max_iter: int = 1000):
-    """Multinomial logistic regression over TF-IDF rows with labels (id, category).
+def classifier(found: DataFrame, vocab: DataFrame, labels: DataFrame, c: float = 1.0, max_iter: int = 1000):
+    """Multinomial logistic regression over TF-IDF rows, vectors (id, at, w) or weights (id,
+    term, w), with labels (id, category).
 
-    Returns a function from weights (id, term, w) to (id, category)."""
+    Returns a function from such rows to (id, category)."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IndexToString, StringIndexer
 
-    ids = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("at")).cache()
+    ids = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place")).cache()
     size = ids.count()
-    train = _sparse(doc_weights, ids, size).join(labels.where("category is not null"), "id")
+    train = _sparse(found, ids, size).join(labels.where("category is not null"), "id").cache()
     index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     n = train.count()
     model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(index.transform(train))
+    train.unpersist()
     back = IndexToString(inputCol="prediction", outputCol="category", labels=index.labels)
     return lambda w: back.transform(model.transform(_sparse(w, ids, size))).select("id", "category")
 
 
-def _sparse(doc_weights: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+def _sparse(found: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     from pyspark.ml.linalg import Vectors, VectorUDT
 
-    pack = F.udf(lambda pairs: Vectors.sparse(size, [(p["at"], p["w"]) for p in pairs]), VectorUDT())
-    at = doc_weights.join(F.broadcast(ids), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("pairs"))
-    return at.select("id", pack("pairs").alias("features"))
+    if "at" not in found.columns:
+        found = found.join(F.broadcast(ids), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("x")).select("id", F.col("x.place").alias("at"), F.col("x.w").alias("w"))
+    # Spark has no other way to a sparse vector; it is one call for each document
+    pack = F.udf(lambda at, w: Vectors.sparse(size, at, w), VectorUDT())
+    return found.where(F.size("at") > 0).select("id", pack("at", "w").alias("features"))

@@ -119,23 +119,29 @@ def _corpus(spark, d):
 
 
 def _fitted(spark, d):
-    """Vocabulary, weights of the items, weights of the documents."""
-    corpus, docs, jobs = _corpus(spark, d), _t(spark, d, "documents"), _t(spark, d, "benchmark")
-    vocab = tfidf.vocabulary(tfidf.counts(corpus, "id", "text"), corpus.count()).cache()
-    return vocab, tfidf.weights(tfidf.counts(jobs, "item_id", "text"), vocab), tfidf.weights(tfidf.counts(docs, "doc_id", "text"), vocab)
+    """The vocabulary, written once."""
+    path = scratch.folder(spark, "vocabulary")
+    tfidf.vocabulary(_corpus(spark, d), "text").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _vectors(spark, d, vocab, labelled=False):
+    """Vectors of the items and of the documents, with what a boost needs."""
+    jobs, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
+    if not labelled:
+        return tfidf.vectors(jobs, "item_id", "text", vocab), tfidf.vectors(docs, "doc_id", "text", vocab)
+    jobs = jobs.withColumn("category", F.lit("en")).withColumn("boosts", ~X.is_russian(F.col("text")))
+    docs = docs.withColumn("category", F.col("lang")).withColumn("boosts", F.lit(True))
+    return tfidf.vectors(jobs, "item_id", "text", vocab, carry=("category", "boosts")), tfidf.vectors(docs, "doc_id", "text", vocab, carry=("category", "boosts"))
 
 
 def _tfidf(spark, d, k, boosted=False):
-    _, asked, docs = _fitted(spark, d)
-    jobs = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), *([F.lit("en").alias("category"), (~X.is_russian(F.col("text"))).alias("boosts")] if boosted else []))
-    cands = _t(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), *([F.col("lang").alias("category"), F.lit(True).alias("boosts")] if boosted else []))
-    return tfidf.search(jobs, cands, tfidf.similarities(asked, docs), k)
+    return tfidf.best(*_vectors(spark, d, _fitted(spark, d), boosted), k)
 
 
 @query(f"WITH {_TFIDF} SELECT term, df, ctf, round(idf, 6) AS idf FROM idf")
 def tfidf_vocab(spark, d):
-    tf = tfidf.counts(_corpus(spark, d), "id", "text")
-    return tfidf.vocabulary(tf, _corpus(spark, d).count()).select("term", "df", "ctf", _r("idf"))
+    return tfidf.vocabulary(_corpus(spark, d), "text").select("term", "df", "ctf", _r("idf"))
 
 
 @query(f"WITH {_TFIDF} SELECT id, count(*) AS terms, round(sum(w), 6) AS total FROM w GROUP BY id")
@@ -238,13 +244,15 @@ def random_baseline(spark, d):
 @query()
 def logreg_boost_topk(spark, d):
     """TF-IDF with the boost by predicted categories, learned from documents' languages."""
-    vocab, asked, docs = _fitted(spark, d)
-    docs = docs.cache()
+    vocab = _fitted(spark, d)
+    asked, docs = _vectors(spark, d, vocab)
+    path = scratch.folder(spark, "vectors")
+    docs.write.parquet(path)
+    docs = spark.read.parquet(path)
     labels = _t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("category"))
-    predict = tfidf.classifier(docs, vocab, labels, max_iter=20)
-    jobs = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(True).alias("boosts")).join(predict(asked).withColumnRenamed("id", "query_id"), "query_id", "left")
-    cands = _t(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), F.lit(True).alias("boosts")).join(predict(docs).withColumnRenamed("id", "candidate_id"), "candidate_id", "left")
-    return tfidf.search(jobs, cands, tfidf.similarities(asked, docs), 10)
+    predict = tfidf.classifier(docs, vocab, labels)
+    asked, docs = (at.join(predict(at), "id", "left").withColumn("boosts", F.lit(True)) for at in (asked, docs))
+    return tfidf.best(asked, docs, 10)
 
 
 # --- scalar functions ------------------------------------------------------------------------

@@ -34,7 +34,7 @@ class Engine:
         self.embedder, self.scorer, self.model, self.pdf_words, self.phrases = embedder, scorer, model, pdf_words, phrases
         self.vacancies = store.Table(spark, f"{self.root}/vacancies", schemas.VACANCIES)
         self.candidates = store.Table(spark, f"{self.root}/candidates", schemas.CANDIDATES)
-        self._query = None
+        self._query = self._fitted = None
 
     def health(self) -> dict:
         return {"status": "ok"}
@@ -178,9 +178,20 @@ class Engine:
         at = files.discover(self.spark, path).select(F.col("path").alias("source_file"), "content", X.content_hash(F.col("content")).alias("content_hash"))
         if dry_run:
             return self.parse_files(at)
-        if force:
-            self.candidates.write(store.delete(self.candidates.read(), at, "source_file"))
-        return ingest.ingest_batch(at, self.candidates, self.parse_files)
+        if not force:  # files there already aren't parsed again
+            at = at.join(self.candidates.read().select("source_file"), "source_file", "left_anti")
+        return ingest.ingest_batch(at, self.candidates, self.parse_files, replace=force)
+
+    def ingest_mail(self, messages: DataFrame, every: str | None = None) -> str:
+        """Starts a run over a stream of messages (sources.mailbox): attachments become
+        candidates under {id}_{name}, those whose content is known are left out. Returns its id."""
+        at = ingest.attachments(messages).select(F.col("filename").alias("source_file"), "content", "content_hash")
+        self._query = ingest.start(at, self.candidates, f"{self.root}/checkpoints/mail", self.parse_files, every, named=True)
+        return str(self._query.runId)
+
+    def quarantine(self) -> DataFrame:
+        """Files that could not be parsed, with the reason."""
+        return ingest.quarantine(self.candidates)
 
     def ingest_once(self, landing: str) -> str:
         """Starts one run over what has arrived; returns its id."""
@@ -215,7 +226,7 @@ class Engine:
                 raise EmbeddingMissing("a query has no embedding")
             return ranking.semantic(queries, ranking.in_scope(every, scope).select("candidate_id", "embedding"), k)
         if strategy == "tfidf":
-            return self._tfidf(queries, every, k, scope)
+            return self._tfidf(queries, k, scope)
         if strategy == "rrf":
             fan = max(s.overfetch * k, k)
             return ranking.fuse([self.rank(queries, r, fan, scope) for r in ("semantic", "tfidf")], k, s.rrf_k)
@@ -224,23 +235,42 @@ class Engine:
             return ranking.rerank(short, queries, every.select("candidate_id", "raw_text"), k, self.scorer)
         raise ValueError(f"unknown strategy {strategy!r}")
 
-    def _tfidf(self, queries: DataFrame, every: DataFrame, k: int, scope: str) -> DataFrame:
-        literal = F.col("source_file").startswith(X.EVAL_PREFIX)  # here the prefix is literal
-        texts = every.where("raw_text is not null and length(raw_text) > 0")
-        jobs = self.vacancies.read().select(F.concat(F.lit("v"), "id").alias("id"), F.concat("title", F.lit("\n\n"), "description").alias("text"))
-        corpus = jobs.unionByName(texts.select(F.concat(F.lit("c"), "candidate_id").alias("id"), F.col("raw_text").alias("text")))
-        tf = tfidf.counts(corpus, "id", "text")
-        vocab = tfidf.vocabulary(tf, corpus.count(), self.settings.min_df, self.settings.max_features).cache()
-        docs = tfidf.weights(tf, vocab).where(F.col("id").startswith("c")).withColumn("id", F.substring("id", 2, 20).cast("long"))
-        asked = tfidf.weights(tfidf.counts(queries, "query_id", "query_text"), vocab)
-        cand = texts.where(literal if scope == "eval" else ~literal if scope == "production" else F.lit(True)).select("candidate_id", F.col("parsed.category").alias("known"), (~F.coalesce(F.array_contains("parsed.languages_detected", "ru"), F.lit(False))).alias("boosts"))
+    def _texts(self, version: int | None = None) -> DataFrame:
+        return self.candidates.read(version).withColumnRenamed("id", "candidate_id").where("raw_text is not null and length(raw_text) > 0")
+
+    def _fit(self) -> tuple[DataFrame, DataFrame, object]:
+        """(vocabulary, candidates' vectors, category classifier or None), fitted anew only when
+        a table has another version than at the last fit; written under the engine's root."""
+        s, now = self.settings, (self.candidates.version(), self.vacancies.version())
+        if self._fitted and self._fitted[0] == now:
+            return self._fitted[1]
+        texts = self._texts(now[0])
+        jobs = self.vacancies.read(now[1]).select(F.concat("title", F.lit("\n\n"), "description").alias("text"))
+        # labelled texts stand twice in the corpus: as candidates, and as the labelled set
+        labelled = texts.where(F.col("parsed.category").isNotNull() & F.col("source_file").startswith(X.EVAL_PREFIX))
+        corpus = jobs.unionByName(texts.select(F.col("raw_text").alias("text"))).unionByName(labelled.select(F.col("raw_text").alias("text")))
+        base = f"{self.root}/fits/{uuid.uuid4().hex}"
+        tfidf.vocabulary(corpus, "text", s.min_df, s.max_features).write.parquet(f"{base}/vocabulary")
+        vocab = self.spark.read.parquet(f"{base}/vocabulary")
+        tfidf.vectors(texts, "candidate_id", "raw_text", vocab).write.parquet(f"{base}/vectors")
+        docs = self.spark.read.parquet(f"{base}/vectors")
         labels = texts.select(F.col("candidate_id").alias("id"), F.col("parsed.category").alias("category")).where("category is not null")
-        q = queries.select("query_id", (~X.is_russian(F.col("query_text"))).alias("boosts"))
-        if labels.select("category").distinct().limit(2).count() == 2:
-            predict = tfidf.classifier(docs, vocab, labels)
-            cand = cand.join(predict(docs).withColumnRenamed("id", "candidate_id"), "candidate_id", "left")
-            q = q.join(predict(asked).withColumnRenamed("id", "query_id"), "query_id", "left")
-        return tfidf.search(q, cand.drop("known"), tfidf.similarities(asked, docs), k, self.settings.boost)
+        predict = tfidf.classifier(docs, vocab, labels) if labels.select("category").distinct().limit(2).count() == 2 else None
+        if predict:
+            predict(docs).write.parquet(f"{base}/categories")
+            docs = docs.join(self.spark.read.parquet(f"{base}/categories"), "id", "left")
+        self._fitted = now, (vocab, docs, predict)
+        return self._fitted[1]
+
+    def _tfidf(self, queries: DataFrame, k: int, scope: str) -> DataFrame:
+        vocab, docs, predict = self._fit()
+        literal = F.col("source_file").startswith(X.EVAL_PREFIX)  # here the prefix is literal
+        texts = self._texts(self._fitted[0][0]).where(literal if scope == "eval" else ~literal if scope == "production" else F.lit(True))
+        docs = docs.join(texts.select(F.col("candidate_id").alias("id"), (~F.coalesce(F.array_contains("parsed.languages_detected", "ru"), F.lit(False))).alias("boosts")), "id")
+        asked = tfidf.vectors(queries.withColumn("boosts", ~X.is_russian(F.col("query_text"))), "query_id", "query_text", vocab, carry=("boosts",))
+        if predict:
+            asked = asked.join(predict(asked), "id", "left")
+        return tfidf.best(asked, docs, k, self.settings.boost)
 
     def recommend(self, job_id: int | None = None, text: str | None = None, title: str | None = None, strategy: str | None = None, top_k: int | None = None, retriever: str | None = None) -> DataFrame:
         strategy, k = strategy or self.settings.strategy, top_k or self.settings.top_k

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, sanitize_filename
+from ..functions.text import content_hash, final_name, sanitize_filename
 from ..operators import store
 from ..sources.files import EXTENSIONS, suffix
 
@@ -34,29 +34,54 @@ def attachments(messages: DataFrame, extensions: tuple = EXTENSIONS) -> DataFram
     return at.withColumn("content_hash", content_hash(F.col("content"))).withColumn("sanitized", sanitize_filename(F.col("filename")))
 
 
-def ingest_batch(batch: DataFrame, table: store.Table, parse: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-    """Adds what is new in a batch (source_file, content, content_hash) to a table. ``parse``
+def ingest_batch(batch: DataFrame, table: store.Table, parse: Callable[[DataFrame], DataFrame] | None = None, replace: bool = False, named: bool = False) -> dict:
+    """Adds what is new in a batch (source_file, content, content_hash) to a table.
+
+    Files are the same if their contents are; a name may occur with several contents. ``parse``
     turns new rows into candidate rows with a column ``error``; rows with an error are
-    counted and left out, and don't stop the others."""
+    counted, and kept in quarantine() with their reason instead, and don't stop the others.
+    replace: rows of the batch's names are parsed anew, and take the place of the old ones
+    in the same write; a file that fails leaves its old row alone. named: source_file
+    becomes {id}_{name}, as for mail, where names repeat.
+    """
     current = table.read()
-    new = store.new_rows(batch.where("content_hash is not null"), current, "content_hash")
-    new = new.dropDuplicates(["source_file"]).join(current.select("source_file"), "source_file", "left_anti")
+    new = batch.where("content_hash is not null").dropDuplicates(["content_hash"])
+    if not replace:
+        new = new.join(current.select("content_hash").where("content_hash is not null").distinct(), "content_hash", "left_anti")
     parsed = (parse(new) if parse else new.withColumn("error", F.lit(None).cast("string"))).cache()
     try:
         total = parsed.agg(F.count(F.lit(1)).alias("pulled"), F.count_if(F.col("error").isNull()).alias("parsed"), F.count_if(F.col("error").isNotNull()).alias("errors")).first().asDict()
+        if total["errors"]:
+            parsed.where("error is not null").select("source_file", "content_hash", "error", F.current_timestamp().alias("at")).write.mode("append").parquet(quarantine_path(table))
         if total["parsed"]:
-            table.write(current.unionByName(store.with_ids(parsed.where("error is null").drop("error"), current, "source_file"), allowMissingColumns=True).select(*[c for c in current.columns]))
+            rows = store.with_ids(parsed.where("error is null").drop("error"), current, "source_file")
+            if named:
+                rows = rows.withColumn("source_file", final_name(F.col("id"), sanitize_filename(F.col("source_file"))))
+            kept = store.delete(current, rows, "source_file") if replace else current
+            table.write(kept.unionByName(rows, allowMissingColumns=True).select(*[c for c in current.columns]))
         return total
     finally:
         parsed.unpersist()
 
 
-def start(stream: DataFrame, table: store.Table, checkpoint: str, parse=None, every: str | None = None, on_batch=None):
+def quarantine_path(table: store.Table) -> str:
+    return f"{table.path}-quarantine"
+
+
+def quarantine(table: store.Table) -> DataFrame:
+    """Files that failed (source_file, content_hash, error, at)."""
+    schema = "source_file string, content_hash string, error string, at timestamp"
+    fs, _ = table._fs()
+    there = fs.exists(table.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(quarantine_path(table)))
+    return table.spark.read.schema(schema).parquet(quarantine_path(table)) if there else table.spark.createDataFrame([], schema)
+
+
+def start(stream: DataFrame, table: store.Table, checkpoint: str, parse=None, every: str | None = None, on_batch=None, named: bool = False):
     """A running query: each trigger (``every``, such as "300 seconds"), or all that is there
     once. ``on_batch`` gets each batch's summary."""
 
     def run(batch: DataFrame, _: int) -> None:
-        done = ingest_batch(batch, table, parse)
+        done = ingest_batch(batch, table, parse, named=named)
         if on_batch:
             on_batch(done)
 

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankspark.operators import entities, keyphrases, layout, ranking, resume, segment, store, tfidf
 from rankspark.plans import engine as engines
@@ -487,3 +488,42 @@ def test_mailbox_offsets():
     assert [r[1] for r in reader.readBetweenOffsets({"uid": 0}, {"uid": 3})] == ["a@b"]
     rows, end = reader.read(end)
     assert list(rows) == [] and end == {"uid": 5}
+
+
+def test_ingestion_by_content(spark, tmp_path):
+    """One name with two contents gives two rows; failures go to quarantine; a replacement is one write."""
+    schema = T.StructType.fromDDL("id long, source_file string, content_hash string")
+    t = store.Table(spark, f"file://{tmp_path}/c", schema)
+    df = lambda *rows: spark.createDataFrame(list(rows), "source_file string, content_hash string")
+    parse = lambda at: at.withColumn("error", F.when(F.col("content_hash") == "bad", "unreadable"))
+    got = ingest.ingest_batch(df(("cv.pdf", "a"), ("cv.pdf", "b"), ("x y.pdf", "b2"), ("z.pdf", "bad"), ("again.pdf", "a")), t, parse, named=True)
+    assert got == {"pulled": 4, "parsed": 3, "errors": 1}
+    rows = t.read().collect()
+    assert sorted(r.id for r in rows) == [1, 2, 3] and all(r.source_file.startswith(f"{r.id}_") for r in rows)
+    assert [(r.content_hash, r.error) for r in ingest.quarantine(t).collect()] == [("bad", "unreadable")]
+    assert ingest.ingest_batch(df(("new.pdf", "a")), t, parse)["pulled"] == 0
+    before, name = t.version(), rows[0].source_file
+    ingest.ingest_batch(df((name, "fresh"), (rows[1].source_file, "bad")), t, parse, replace=True)
+    assert t.version() == before + 1 and t.read().count() == 3
+    assert {r.content_hash for r in t.read().collect()} == {"fresh", rows[1].content_hash, rows[2].content_hash}
+
+
+def test_best_of_blocks(spark):
+    """Blocks of any size give what one matrix gives, zeros and boosts included."""
+    import numpy as np
+
+    from rankspark.operators import tfidf as X
+
+    rng = random.Random(8)
+    row = lambda i: (i, sorted(rng.sample(range(12), rng.randint(0, 4))), rng.choice(["a", "b", None]), rng.choice([True, False, None]))
+    rows = [(i, at, [rng.random() for _ in at], c, b) for i, at, c, b in map(row, range(60))]
+    df = spark.createDataFrame(rows, "id long, at array<int>, w array<double>, category string, boosts boolean")
+    dense = np.zeros((60, 12))
+    for i, at, w, _, _ in rows:
+        dense[i, at] = w
+    q = rows[:9]
+    got = X.best(df.where("id < 9"), df.repartition(5), 7).collect()
+    for i, _, _, c, b in q:
+        score = [dense[i] @ dense[j] + 0.1 * (c is not None and c == rows[j][3] and b is not False and rows[j][4] is not False) for j in range(60)]
+        expected = sorted(range(60), key=lambda j: (-round(score[j], 9), j))[:7]
+        assert [r.candidate_id for r in sorted((r for r in got if r.query_id == i), key=lambda r: r.rank)] == expected
