@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import sys
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path under the cluster's spark.checkpoint.dir; a temporary one where it is unset."""
+    """A new path under the cluster's spark.checkpoint.dir; a temporary one where it is unset.
+    What is there is deleted when the driver's process ends, if its session still runs."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rankspark-")
-    return f"{base.rstrip('/')}/rankspark/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/rankspark/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:
+        return
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+    except Py4JError as why:
+        print(f"rankspark: {path} was not deleted: {why}", file=sys.stderr)
