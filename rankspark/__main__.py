@@ -1,19 +1,31 @@
-"""Command line: rank, parse, import, embed, labelled, evaluate."""
+"""Command line: rank, parse, import, embed, labelled, ingest, mail, evaluate."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .config import Settings
 from .functions.text import match_line
 from .plans.engine import Engine
+from .sources import files, mailbox
+
+
+def provider(name: str | None):
+    """The function that module:function names."""
+    module, _, function = (name or "").partition(":")
+    return getattr(importlib.import_module(module), function) if name else None
 
 
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="rankspark")
     p.add_argument("--root", required=True, help="folder of the engine's tables")
+    p.add_argument("--settings", help="YAML file")
+    p.add_argument("--gazetteer", help="file of organisations' names, one a line")
+    p.add_argument("--pdf-words", help="module:function from a PDF's bytes to its words (sources.files.extract_lines)")
     sub = p.add_subparsers(dest="command", required=True)
     rank = sub.add_parser("rank")
     rank.add_argument("--job-id", type=int)
@@ -31,12 +43,21 @@ def main(argv: list[str] | None = None) -> None:
     sub.add_parser("embed")
     labelled = sub.add_parser("labelled")
     labelled.add_argument("path")
+    ingest = sub.add_parser("ingest", help="files that have landed in a folder")
+    ingest.add_argument("path")
+    mail = sub.add_parser("mail", help=".eml files in a folder, or an IMAP mailbox")
+    mail.add_argument("path", nargs="?")
+    mail.add_argument("--imap", action="append", default=[], metavar="OPTION=VALUE")
     test = sub.add_parser("evaluate")
     test.add_argument("--ranker", default="rrf")
     test.add_argument("--retriever", default="semantic")
     test.add_argument("--subset", type=int)
     a = p.parse_args(argv)
-    engine = Engine(SparkSession.builder.appName("rankspark").config("spark.sql.session.timeZone", "UTC").getOrCreate(), a.root)
+    if a.command == "mail" and bool(a.path) == bool(a.imap):
+        p.error("give a folder of .eml files, or --imap options")
+    spark = SparkSession.builder.appName("rankspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    phrases = tuple(r["phrase"] for r in files.gazetteer(spark, a.gazetteer).collect()) if a.gazetteer else ()  # some hundred lines
+    engine = Engine(spark, a.root, Settings.load(a.settings) if a.settings else None, pdf_words=provider(a.pdf_words), phrases=phrases)
     if a.command == "rank":
         if a.job_id is None and a.text is None:  # all vacancies, in one job
             queries = engine.vacancies.read().where("embedding is not null").select(F.col("id").alias("query_id"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "embedding")
@@ -55,6 +76,17 @@ def main(argv: list[str] | None = None) -> None:
         engine.embed_vacancies()
     elif a.command == "labelled":
         engine.import_labelled(a.path)
+    elif a.command == "ingest":
+        engine.ingest_once(a.path)
+        engine.wait()
+    elif a.command == "mail":
+        if a.imap:
+            spark.dataSource.register(mailbox.Mailbox)
+            messages = spark.readStream.format("imap").options(**dict(o.split("=", 1) for o in a.imap)).load()
+        else:
+            messages = mailbox.eml_stream(spark, a.path)
+        engine.ingest_mail(messages)
+        engine.wait()
     else:
         per, averages = engine.evaluate(a.ranker, retriever=a.retriever, subset=a.subset)
         per.orderBy(F.desc("p_at_5")).show(100)

@@ -1,7 +1,8 @@
 """Keyed writes on Parquet: a table is a row of versions.
 
-A write makes a whole new version next to the old one, so a reader never sees half a table
-and a path is never overwritten while it is read.
+A version is a folder next to the older ones, so a reader never sees half a table and a path
+is never overwritten while it is read. ``write`` makes a whole table (v-...); ``append`` writes
+the new rows alone (a-...), to be read with the versions before it back to the last whole one.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.text import content_hash, strip
 from .scratch import folder
 
+#: Appended versions until a table is made whole again.
+MOST_PARTS = 100
+
 
 def new_rows(incoming: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
     """Rows of ``incoming`` whose key isn't there yet; of equal keys in it, one."""
@@ -97,21 +101,42 @@ class Table:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def version(self) -> int | None:
+    def _versions(self) -> dict[int, str]:
+        """Committed versions and their folders."""
         fs, at = self._fs()
         if not fs.exists(at):
-            return None
+            return {}
         names = [f.getPath().getName() for f in fs.listStatus(at)]
-        done = [int(n[2:]) for n in names if n.startswith("v-") and fs.exists(self._fs(f"{n}/_SUCCESS")[1])]
-        return max(done, default=None)
+        return {int(n[2:]): n for n in sorted(names) if n[:2] in ("v-", "a-") and fs.exists(self._fs(f"{n}/_SUCCESS")[1])}
+
+    def version(self) -> int | None:
+        return max(self._versions(), default=None)
+
+    def _parts(self, now: int | None) -> list[str]:
+        """Folders that make up a version."""
+        held = {k: n for k, n in self._versions().items() if now is not None and k <= now}
+        whole = max((k for k, n in held.items() if n.startswith("v-")), default=0)
+        return [f"{self.path}/{n}" for k, n in sorted(held.items()) if k >= whole]
 
     def read(self, version: int | None = None) -> DataFrame:
-        now = self.version() if version is None else version
-        return self.spark.createDataFrame([], self.schema) if now is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v-{now:09d}")
+        parts = self._parts(self.version() if version is None else version)
+        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
 
-    def write(self, df: DataFrame) -> int:
-        now = self.version()
+    def _save(self, df: DataFrame, kind: str) -> int:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        now = self.version()
         new = 0 if now is None else now + 1
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v-{new:09d}")  # overwrites what a failed write left
+        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{kind}-{new:09d}")  # overwrites what a failed write left
         return new
+
+    def write(self, df: DataFrame) -> int:
+        """A version of these rows alone."""
+        return self._save(df, "v")
+
+    def append(self, df: DataFrame) -> int:
+        """A version of the rows there are and these. Old rows aren't written again, but for
+        one append in MOST_PARTS, which makes the table whole so that readers list few folders."""
+        now = self.version()
+        if len(self._parts(now)) < MOST_PARTS:
+            return self._save(df, "a")
+        return self.write(self.read(now).unionByName(df, allowMissingColumns=True))

@@ -62,7 +62,7 @@ class Engine:
         row = self.spark.createDataFrame([(title, experience, description, name)], "title string, experience string, description string, source_filename string")
         row = row.withColumn("embedding", self._vacancy_embedding()).withColumn("created_at", F.current_timestamp())
         row = store.with_ids(row, current, "source_filename")
-        self.vacancies.write(current.unionByName(row, allowMissingColumns=True))
+        self.vacancies.append(row)
         return self.vacancies.read().where(F.col("source_filename") == name).first()["id"]
 
     def update_vacancy(self, id_: int, title: str | None = None, description: str | None = None, experience: str | None = None) -> None:
@@ -85,9 +85,12 @@ class Engine:
         current = self.vacancies.read()
         new = good if force else store.new_rows(good, current, "source_filename")
         rows = new.withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("created_at", F.current_timestamp())
-        kept = store.delete(current, good, "source_filename") if force else current
         n, total = new.count(), good.count() + bad.count()
-        self.vacancies.write(kept.unionByName(store.with_ids(rows, current, "source_filename"), allowMissingColumns=True))
+        rows = store.with_ids(rows, current, "source_filename")
+        if force:
+            self.vacancies.write(store.delete(current, good, "source_filename").unionByName(rows, allowMissingColumns=True))
+        else:
+            self.vacancies.append(rows)
         return {"imported": n, "skipped": total - n}
 
     def embed_vacancies(self) -> None:
@@ -131,7 +134,7 @@ class Engine:
             raise ValueError(failed["error"])
         row = store.with_ids(row.drop("error"), current, "source_file")
         row = row.withColumn("source_file", X.final_name(F.col("id"), F.col("source_file")))
-        self.candidates.write(current.unionByName(row, allowMissingColumns=True))
+        self.candidates.append(row)
         return self.candidates.read().where(F.col("content_hash") == digest).first()["id"]
 
     def delete_candidate(self, id_: int, files_under: str | None = None) -> None:
@@ -159,7 +162,7 @@ class Engine:
         new = store.new_rows(at, current, "source_file").withColumn("embedding", self._embedding(F.col("raw_text"))).withColumn("created_at", F.current_timestamp())
         empty = {f.name: F.lit(None).cast(f.dataType) for f in schemas.PARSED.fields}
         new = new.withColumn("parsed", F.struct(*[(F.col("category") if k == "category" else v).alias(k) for k, v in empty.items()])).drop("category")
-        self.candidates.write(current.unionByName(store.with_ids(new, current, "source_file"), allowMissingColumns=True))
+        self.candidates.append(store.with_ids(new, current, "source_file"))
 
     # --- ingestion -----------------------------------------------------------------------
 
@@ -199,6 +202,10 @@ class Engine:
         self._query = ingest.start(at, self.candidates, f"{self.root}/checkpoints/landing", self.parse_files)
         return str(self._query.runId)
 
+    def wait(self) -> None:
+        """Until the run ends; its failure is raised."""
+        self._query.awaitTermination()
+
     def status(self) -> dict:
         return ingest.status(self._query) if self._query else {"active": False}
 

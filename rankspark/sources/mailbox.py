@@ -1,19 +1,23 @@
 """Mail as a stream: messages from an IMAP mailbox or from .eml files that land in a folder.
 
 The IMAP reader is a Spark data source; its offset is the last message number, so a batch
-can be read again after a failure. Register it with ``spark.dataSource.register(Mailbox)``
-and read ``format("imap")`` with the options host, user, password and folder.
+can be read again after a failure. The driver only asks for that number: the numbers of a
+batch are cut into blocks, and each block's messages are fetched and parsed by a task.
+Register it with ``spark.dataSource.register(Mailbox)`` and read ``format("imap")`` with the
+options host, user, password, folder and block (message numbers a task, 200).
 """
 
 from __future__ import annotations
 
 import email
 import email.policy
+import re
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition, SimpleDataSourceStreamReader
 
 SCHEMA = "uid string, sender string, subject string, attachments array<struct<filename: string, payload: binary>>, error string"
 
@@ -49,6 +53,8 @@ def eml_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 class MailboxReader(SimpleDataSourceStreamReader):
+    """Messages between two offsets, in one process: a block of a batch."""
+
     def __init__(self, options: dict, connect=None):
         self.options, self.connect = options, connect
 
@@ -83,6 +89,44 @@ class MailboxReader(SimpleDataSourceStreamReader):
         """The offset in the checkpoint is the memory of what was read."""
 
 
+@dataclass
+class Block(InputPartition):
+    """Message numbers above ``low``, up to ``high``."""
+
+    low: int
+    high: int
+
+
+class MailboxStream(DataSourceStreamReader):
+    """A batch of any size: the driver learns the last message number, tasks read the blocks.
+    A mailbox that was numbered anew (another UIDVALIDITY) fails instead of losing messages."""
+
+    def __init__(self, options: dict, connect=None):
+        self.options, self.reader = options, MailboxReader(options, connect)
+
+    def initialOffset(self) -> dict:
+        return {"uid": 0, "validity": 0}
+
+    def latestOffset(self) -> dict:
+        box = self.reader._open()
+        _, found = box.status(self.options.get("folder", "INBOX"), "(UIDNEXT UIDVALIDITY)")
+        at = {k: int(v) for k, v in re.findall(r"(UIDNEXT|UIDVALIDITY) (\d+)", found[0].decode())}
+        box.logout()
+        return {"uid": at["UIDNEXT"] - 1, "validity": at["UIDVALIDITY"]}
+
+    def partitions(self, start: dict, end: dict) -> list[Block]:
+        if start["validity"] not in (0, end["validity"]):
+            raise ValueError("the mailbox was numbered anew; start from another checkpoint")
+        wide = int(self.options.get("block", 200))
+        return [Block(low, min(low + wide, end["uid"])) for low in range(start["uid"], end["uid"], wide)]
+
+    def read(self, partition: Block):
+        return self.reader.readBetweenOffsets({"uid": partition.low}, {"uid": partition.high})
+
+    def commit(self, end: dict) -> None:
+        """The offset in the checkpoint is the memory of what was read."""
+
+
 class Mailbox(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -91,5 +135,5 @@ class Mailbox(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema):
-        return MailboxReader(dict(self.options))
+    def streamReader(self, schema):
+        return MailboxStream(dict(self.options))

@@ -57,8 +57,10 @@ def ingest_batch(batch: DataFrame, table: store.Table, parse: Callable[[DataFram
             rows = store.with_ids(parsed.where("error is null").drop("error"), current, "source_file")
             if named:
                 rows = rows.withColumn("source_file", final_name(F.col("id"), sanitize_filename(F.col("source_file"))))
-            kept = store.delete(current, rows, "source_file") if replace else current
-            table.write(kept.unionByName(rows, allowMissingColumns=True).select(*[c for c in current.columns]))
+            if replace:
+                table.write(store.delete(current, rows, "source_file").unionByName(rows, allowMissingColumns=True))
+            else:
+                table.append(rows)
         return total
     finally:
         parsed.unpersist()

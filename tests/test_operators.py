@@ -490,6 +490,91 @@ def test_mailbox_offsets():
     assert list(rows) == [] and end == {"uid": 5}
 
 
+def test_mailbox_blocks(spark, tmp_path):
+    """The driver asks for the last number only; tasks fetch the blocks; a new batch starts after the last one."""
+    from rankspark.sources import mailbox
+
+    held = {u: message(f"{u}@b", ("x.pdf", b"1")) for u in (3, 5, 11)}
+
+    class Box:
+        def select(self, *a, **k):
+            pass
+
+        def logout(self):
+            pass
+
+        def status(self, folder, what):
+            return "OK", [f'"{folder}" (UIDNEXT 12 UIDVALIDITY 7)'.encode()]
+
+        def uid(self, what, *a):
+            if what == "search":
+                low, high = a[1].split()[1].split(":")
+                return "OK", [" ".join(str(u) for u in held if int(low) <= u <= int(high)).encode()]
+            return "OK", [(b"", held[int(a[0])])]
+
+    class Fake(mailbox.Mailbox):
+        @classmethod
+        def name(cls):
+            return "fakemail"
+
+        def streamReader(self, schema):
+            return mailbox.MailboxStream(dict(self.options), Box)
+
+    reader = mailbox.MailboxStream({"block": "4"}, Box)
+    end = reader.latestOffset()
+    assert end == {"uid": 11, "validity": 7}
+    assert [(b.low, b.high) for b in reader.partitions(reader.initialOffset(), end)] == [(0, 4), (4, 8), (8, 11)]
+    assert reader.partitions(end, end) == []
+    with pytest.raises(ValueError):
+        reader.partitions({"uid": 2, "validity": 6}, end)
+    spark.dataSource.register(Fake)
+    for _ in range(2):  # the second run finds nothing new
+        at = spark.readStream.format("fakemail").option("block", "4").load()
+        at.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(r.sender for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["11@b", "3@b", "5@b"]
+
+
+def test_appended_versions(spark, tmp_path, monkeypatch):
+    """Appends add to the version before; old versions stay readable; a write replaces all; long chains are made whole."""
+    schema = spark.createDataFrame([], "id long, name string").schema
+    t = store.Table(spark, f"file://{tmp_path}/t", schema)
+    row = lambda i, n: spark.createDataFrame([(i, n)], schema)
+    ids = lambda v=None: sorted(r.id for r in t.read(v).collect())
+    t.append(row(1, "a"))
+    t.append(row(2, "b"))
+    assert ids() == [1, 2] and ids(0) == [1] and t.version() == 1
+    (tmp_path / "t" / "a-000000002").mkdir()  # a write that failed
+    assert ids() == [1, 2]
+    t.write(row(3, "c"))
+    t.append(row(4, "d"))
+    assert ids() == [3, 4] and ids(1) == [1, 2] and ids(2) == [3]
+    monkeypatch.setattr(store, "MOST_PARTS", 2)
+    t.append(row(5, "e"))
+    assert ids() == [3, 4, 5] and (tmp_path / "t" / "v-000000004").exists()
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    """Settings, gazetteer and PDF words reach the engine; mail and landed files reach its parser."""
+    from rankspark import __main__ as cli
+
+    made = []
+    monkeypatch.setattr(engines.Engine, "parse_files", lambda self, at: at.drop("content").withColumn("error", F.lit("unreadable")))
+    monkeypatch.setattr(cli, "Engine", lambda *a, **k: made.append((a, k)) or engines.Engine(*a, **k))
+    (tmp_path / "names.txt").write_text("# companies\n\nAcme Works\n")
+    (tmp_path / "s.yaml").write_text("top_k: 7\n")
+    (tmp_path / "mail").mkdir()
+    (tmp_path / "mail" / "1.eml").write_bytes(message("a@b", ("cv.docx", b"not a document")))
+    root = f"file://{tmp_path}/root"
+    cli.main(["--root", root, "--settings", str(tmp_path / "s.yaml"), "--gazetteer", str(tmp_path / "names.txt"), "--pdf-words", "os.path:basename", "mail", str(tmp_path / "mail")])
+    (_, _, s), kw = made[0]
+    assert s.top_k == 7 and kw["phrases"] == ("Acme Works",) and kw["pdf_words"] is __import__("os").path.basename
+    assert [r.source_file for r in engines.Engine(spark, root).quarantine().collect()] == ["cv.docx"]
+    cli.main(["--root", root, "ingest", str(tmp_path / "mail")])
+    assert engines.Engine(spark, root).quarantine().count() == 2
+    with pytest.raises(SystemExit):
+        cli.main(["--root", root, "mail"])
+
+
 def test_ingestion_by_content(spark, tmp_path):
     """One name with two contents gives two rows; failures go to quarantine; a replacement is one write."""
     schema = T.StructType.fromDDL("id long, source_file string, content_hash string")
