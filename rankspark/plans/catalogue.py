@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import entities, keyphrases, ranking, resume, scratch, segment, store, tfidf
+from ..operators import entities, keyphrases, ranking, scratch, segment, store, tfidf
 from ..sources import files
 from ..streaming import ingest
 from . import parse as plans
@@ -342,13 +342,6 @@ def clamp_scores(spark, d):
     return _t(spark, d, "supplier").select("s_suppkey", X.clamp01(F.col("s_acctbal") / 5000).alias("score"))
 
 
-@query()
-def skills_split(spark, d):
-    """Items of event properties, split outside brackets, without noise."""
-    at = _t(spark, d, "events").select("event_id", F.posexplode(X.split_items(X.skill_payload(F.col("props")))).alias("i", "item"))
-    return at.where(~X.is_skill_noise(F.col("item")))
-
-
 @query("SELECT n_name, r_name, levenshtein(lower(n_name), lower(r_name))::INT AS edits, levenshtein(lower(n_name), lower(r_name)) <= 0.15 * (length(n_name) + length(r_name)) AS may_match FROM nation JOIN region ON n_regionkey = r_regionkey")
 def fuzzy_prefilter(spark, d):
     at = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -356,12 +349,6 @@ def fuzzy_prefilter(spark, d):
     return at.select("n_name", "r_name", edits.alias("edits"), (edits <= 0.15 * (F.length("n_name") + F.length("r_name"))).alias("may_match"))
 
 
-@query()
-def fuzzy_indel(spark, d):
-    at = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return at.select("n_name", "r_name", F.round(segment.indel(F.lower("n_name"), F.lower("r_name")), 6).alias("ratio"))
-
-
 @query("SELECT doc_id, f LIKE 'resume_csv_%' AS is_like, starts_with(f, 'resume_csv_') AS is_prefix FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'resume_csv_' WHEN 1 THEN 'resumeXcsvY' ELSE 'cv/' END || doc_id AS f FROM documents)")
 def like_vs_startswith(spark, d):
     f = F.concat(F.when(F.col("doc_id") % 3 == 0, X.EVAL_PREFIX).when(F.col("doc_id") % 3 == 1, "resumeXcsvY").otherwise("cv/"), "doc_id")
@@ -510,24 +497,6 @@ def parse_documents(spark, d):
     return at.select("doc_id", p["name"].alias("name"), p["email"].alias("email"), p["phone"].alias("phone"), F.size(p["skills"]).alias("n_skills"), F.size(p["experience"]).alias("n_experience"), F.size(p["education"]).alias("n_education"))
 
 
-@query()
-def parse_conversations(spark, d):
-    """Conversations as documents: a turn's role is its section's header line."""
-    at = _t(spark, d, "conversations")
-    head = F.when(F.col("role") == "user", "Experience").when(F.col("role") == "system", "Education").otherwise("Skills")
-    rows = at.select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.array(F.upper(head), "text")).alias("i", "text"))
-    w = Window.partitionBy("doc_id").orderBy("turn", "i")
-    lines = rows.select("doc_id", F.row_number().over(w).alias("line_no"), "text", F.lit(10.0).alias("max_font_size"), F.lit(False).alias("is_bold"), F.lit(0.0).alias("top"), F.lit(0).alias("col"), F.lit(0).alias("page"))
-    placed = segment.sections(lines)
-    return placed.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("lines"))
-
-
-@query()
-def skill_lines(spark, d):
-    lines = _t(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("line_no"), F.concat("event_type", F.lit(", "), F.translate("props", '{}":', "    ")).alias("text"), F.lit("skills").alias("section"))
-    return resume.skills(lines)
-
-
 @query()
 def entities_extract(spark, d):
     at = entities.extract(_t(spark, d, "documents"), ["Astana Hub", "Nazarbayev University"])

@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
 SMALL = ["semantic_topk", "tfidf_topk", "rrf_topk", "eval_metrics_per_query", "extract_contacts", "date_first_range", "name_validate", "upsert_force", "partial_update", "sections_forward_fill", "stream_dedup_ingest"]
+PARSER = ["strip_dates", "date_ranges_all", "org_shapes", "skill_items", "fuzzy_indel", "scorer_prompts", "experience_blocks", "education_blocks", "page_lines", "vacancy_updates", "hash_backfill"]
 
 
 def test_sql_belongs_to_queries():
@@ -27,7 +28,7 @@ def test_imports_without_the_optional_part(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", SMALL)
+@pytest.mark.parametrize("name", SMALL + PARSER)
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(DATA):
