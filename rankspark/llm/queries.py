@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, html_text, langid, mixing, packing, simhash, suffix_dedup, token_scan
+from . import ann, chat, exact_dedup, html_text, inner_top, langid, lexical, mixing, packing, periodic, simhash, suffix_dedup, token_scan
+from .common import WORD
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,34 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_scan.token_counts(_documents(spark, sf_dir))
 
 
+def planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): of a tenth of the texts, drawn by crc32 of the id, the words from a on are the
+    p words at a again and again. A row without an id keeps its text."""
+    at = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    at = at.withColumn("w", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))))
+    at = at.withColumn("g", F.expr("h div 10")).withColumn("n", F.expr("cast(size(w) as long)"))
+    at = at.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n"))).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    whole = "concat(slice(w, 1, cast(a as int)), flatten(array_repeat(slice(w, cast(a + 1 as int), cast(p as int)), cast((n - a) div p + 1 as int))))"
+    return at.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.expr(f"slice({whole}, 1, cast(n as int))"), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = periodic.collapse(planted_repeats(_documents(spark, sf_dir))).withColumn("best", periodic.strongest(F.col("runs")))
+    return at.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(periodic.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", inner_top.quantised(F.col("embedding")).alias("v"))
+    return inner_top.top_products(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP2_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -89,6 +118,29 @@ FROM m
 """
 
 
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT q.vec_id AS query_id, (row_number() OVER w)::INT AS rank, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+WINDOW w AS (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+OP13_SQL = """
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+d AS (SELECT doc_id, t, len(t)::HUGEINT AS n FROM t WHERE len(t) > 0),
+s AS (SELECT count(*)::HUGEINT AS docs, sum(n)::HUGEINT AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+p AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * docs::DOUBLE + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY 1), s),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // total))))::BIGINT AS score
+      FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER o)::INT AS rank, doc_id, score FROM r WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 50
+"""
+
+
 def queries() -> dict:
     return {
         "op1_simhash": op1_simhash,
@@ -101,8 +153,11 @@ def queries() -> dict:
         "op8_nearest": op8_nearest,
         "op9_html_text": op9_html_text,
         "op10_token_counts": op10_token_counts,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_top_products": op12_top_products,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op5_mixing": OP5_SQL, "op12_top_products": OP12_SQL, "op13_lexical_search": OP13_SQL}
