@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .config import Settings
 from .functions.text import match_line
+from .operators.scoring import Prompts
 from .plans.engine import Engine
 from .sources import files, mailbox
 
@@ -26,6 +27,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--settings", help="YAML file")
     p.add_argument("--gazetteer", help="file of organisations' names, one a line")
     p.add_argument("--pdf-words", help="module:function from a PDF's bytes to its words (sources.files.extract_lines)")
+    p.add_argument("--scorer", help="module:function from (system, prompt) to a scorer's answer, plain or async")
+    p.add_argument("--prompts", help="YAML file of system_en, system_ru and user")
     sub = p.add_subparsers(dest="command", required=True)
     rank = sub.add_parser("rank")
     rank.add_argument("--job-id", type=int)
@@ -57,7 +60,7 @@ def main(argv: list[str] | None = None) -> None:
         p.error("give a folder of .eml files, or --imap options")
     spark = SparkSession.builder.appName("rankspark").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     phrases = tuple(r["phrase"] for r in files.gazetteer(spark, a.gazetteer).collect()) if a.gazetteer else ()  # some hundred lines
-    engine = Engine(spark, a.root, Settings.load(a.settings) if a.settings else None, pdf_words=provider(a.pdf_words), phrases=phrases)
+    engine = Engine(spark, a.root, Settings.load(a.settings) if a.settings else None, scorer=provider(a.scorer), pdf_words=provider(a.pdf_words), phrases=phrases, prompts=Prompts.load(a.prompts) if a.prompts else None)
     if a.command == "rank":
         if a.job_id is None and a.text is None:  # all vacancies, in one job
             queries = engine.vacancies.read().where("embedding is not null").select(F.col("id").alias("query_id"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "embedding")

@@ -20,6 +20,9 @@ class Settings:
     excerpt: int = 3000
     poll_seconds: int = 300
     scorer_retries: int = 3
+    scorer_concurrent: int = 5
+    scorer_tasks: int = 4
+    scorer_timeout_s: float = 60.0
 
     def __post_init__(self):
         if self.strategy not in ("semantic", "tfidf", "rrf", "llm"):

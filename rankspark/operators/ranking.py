@@ -10,8 +10,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import EVAL_PREFIX, clamp01
-from . import blocks
+from .. import schemas
+from ..functions.text import EVAL_PREFIX, clamp01, excerpt, parsed_score, prompt
+from . import blocks, scoring
 
 #: Rows in a block: 2048 queries of 1024 dimensions are 16 MB.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2048, 4096
@@ -68,13 +69,6 @@ def _cosines(q: dict, c: dict) -> tuple | None:
     return asked, ids, np.frombuffer(q["unit"], "<f8").reshape(-1, q["width"]) @ np.frombuffer(c["unit"], "<f8").reshape(-1, c["width"]).T
 
 
-def semantic_pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Cosine of given pairs (query_id, candidate_id), with both embeddings joined to them."""
-    from ..functions.vector import cosine
-
-    return queries.join(candidates, "candidate_id").withColumn("score", cosine(F.col("query_embedding"), F.col("embedding")))
-
-
 def fuse(rankings: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:
     """Reciprocal rank fusion: sum of 1 / (60 + rank). A tie goes to what an earlier ranking
     has, then to its better rank. One union and one grouped sum; no full outer join."""
@@ -101,16 +95,41 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, words(text))) / F.size(q)).otherwise(0.0)
 
 
-def rerank(shortlist: DataFrame, queries: DataFrame, candidates: DataFrame, k: int, scorer=None) -> DataFrame:
-    """Scores each shortlisted pair, sorts by it, keeps k. ``scorer`` takes a DataFrame with
-    query_text and raw_text and adds ``answer``, a JSON string; without it, token overlap
-    scores. A pair whose answer doesn't parse keeps its retriever's score, unexplained."""
-    from ..functions.text import parsed_score
-
+def with_prompts(pairs: DataFrame, prompts: scoring.Prompts) -> DataFrame:
+    """Adds system and prompt to pairs with query_text or description, raw_text, and what there is of
+    title, name and the parsed record."""
+    have = lambda c: F.col(c) if c in pairs.columns else F.lit(None)
+    title, text = have("title").cast("string"), F.col("description" if "description" in pairs.columns else "query_text")
+    parsed = F.col("parsed") if "parsed" in pairs.columns else F.lit(None).cast(schemas.PARSED)
+    if prompts.user is None:
+        user = prompt(title, text, parsed, F.col("raw_text"))
+    else:
+        lines = lambda c, f: F.array_join(F.transform(F.slice(parsed[c], 1, 5), f), "\n")
+        user = scoring.filled(prompts.user, {
+            "title": title, "description": excerpt(text), "name": have("name"), "languages": F.array_join(parsed["languages_detected"], ", "), "skills": F.array_join(F.slice(parsed["skills"], 1, 30), "; "),
+            "experience": lines("experience", lambda e: F.concat_ws(" ", e["role"], e["organization"], e["start"], e["end"])),
+            "education": lines("education", lambda e: F.concat_ws(" ", e["degree"], e["institution"], e["end"])), "raw_text": excerpt(F.col("raw_text"), 4000),
+        })
+    return pairs.withColumn("system", prompts.system(F.concat_ws(" ", title, text))).withColumn("prompt", user)
+
+
+def rerank(shortlist: DataFrame, queries: DataFrame, candidates: DataFrame, k: int, scorer=None, prompts: scoring.Prompts | None = None) -> DataFrame:
+    """Scores each shortlisted pair, sorts by it, keeps k.
+
+    scorer: a scoring.Scorer, which is asked about each pair once (its answers are written); or a
+    function that takes a DataFrame with query_text and raw_text and adds ``answer``, a JSON string;
+    without one, token overlap scores. A pair without an answer, or whose answer doesn't parse, keeps
+    its retriever's score, unexplained.
+    """
     at = shortlist.withColumnRenamed("rank", "retriever_rank").withColumnRenamed("score", "retriever_score")
-    at = at.join(queries.select("query_id", "query_text"), "query_id").join(candidates.select("candidate_id", "raw_text"), "candidate_id", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+    q = queries.select("query_id", *[c for c in ("query_text", "title", "description") if c in queries.columns])
+    c = candidates.select("candidate_id", "raw_text", *[c for c in ("name", "parsed") if c in candidates.columns])
+    at = at.join(q, "query_id").join(c, "candidate_id", "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
     if scorer is None:
         at = at.withColumn("got", F.struct(overlap_score(F.col("query_text"), F.col("raw_text")).alias("score"), F.lit("token overlap").alias("explanation")))
+    elif isinstance(scorer, scoring.Scorer):
+        asked = with_prompts(at, prompts or scoring.Prompts()).select("query_id", "candidate_id", "retriever_rank", "retriever_score", "system", "prompt")
+        at = scoring.asked_once(asked, scorer).withColumn("got", parsed_score(F.col("answer")))
     else:
         at = scorer(at).withColumn("got", parsed_score(F.col("answer")))
     at = at.withColumn("score", F.coalesce(F.col("got.score"), clamp01(F.col("retriever_score")))).withColumn("explanation", F.col("got.explanation"))

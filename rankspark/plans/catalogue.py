@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import text as X
-from ..operators import entities, keyphrases, ranking, scratch, segment, store, tfidf
+from ..operators import entities, keyphrases, ranking, scoring, scratch, segment, store, tfidf
 from ..sources import files
 from ..streaming import ingest
 from . import parse as plans
@@ -206,6 +207,45 @@ def rerank_degraded_fallback(spark, d):
     return at.select("doc_id", F.round(F.coalesce("got.score", "retrieved"), 6).alias("score"), F.col("got.explanation").alias("explanation"))
 
 
+_KIND = "(query_id * 31 + candidate_id) % 6"
+
+
+@query(f"""WITH {_SEMANTIC}, s AS (SELECT *, {_KIND} AS kind FROM semantic WHERE rank <= 5),
+g AS (SELECT *, CASE WHEN kind IN (1, 4, 5) THEN ((query_id * 7 + candidate_id) % 97) / 97.0::DOUBLE WHEN kind = 3 THEN 1.0::DOUBLE ELSE greatest(0, least(1, score)) END AS got FROM s)
+SELECT query_id, candidate_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(got, 9) DESC, rank))::INT AS rank, round(got, 6) AS score,
+       CASE WHEN kind IN (1, 4, 5) THEN 'fits' WHEN kind = 3 THEN 'ok' END AS explanation FROM g""")
+def scorer_fallback(spark, d):
+    """The nearest five of each item, scored pair by pair: a sixth of the calls fails for good, a sixth
+    at first, a sixth gets no JSON and a sixth a score beyond 1 amid noise."""
+    kept = _candidates(spark, d)
+    jobs = _jobs(spark, d).withColumn("title", F.concat(F.lit("item "), "query_id"))
+    short = ranking.semantic(jobs, ranking.production(kept), 5)
+    skills = F.array(F.concat(F.lit("document "), "candidate_id"))
+    record = F.struct(*[(skills if f.name == "skills" else F.lit(None).cast(f.dataType)).alias(f.name) for f in schemas.PARSED.fields])
+    scorer = scoring.Scorer(_unsteady(), retries=2, backoff_s=0.01)
+    return ranking.rerank(short, jobs, kept.withColumn("parsed", record), 5, scorer).select("query_id", "candidate_id", "rank", _r("score"), "explanation")
+
+
+def _unsteady():
+    """A scorer for trials, which fails by the pair's numbers."""
+    import json
+    import re
+
+    seen: set = set()
+
+    async def call(system, prompt):
+        q, c = int(re.search(r"title: item (\d+)", prompt)[1]), int(re.search(r"skills: document (\d+)", prompt)[1])
+        kind = (q * 31 + c) % 6
+        if kind == 0 or kind == 1 and (q, c) not in seen:
+            seen.add((q, c))
+            raise ConnectionError("no answer")
+        if kind in (2, 3):
+            return "none" if kind == 2 else 'noise {"score": 1.7, "explanation": "ok"} tail'
+        return json.dumps({"score": (q * 7 + c) % 97 / 97, "explanation": "fits"})
+
+    return call
+
+
 _METRICS = f"""{_TFIDF},
 rel AS (SELECT item_id AS query_id, vec_id AS candidate_id FROM benchmark JOIN embeddings ON label = item_id % 10 JOIN documents ON doc_id = vec_id),
 hits AS (SELECT t.query_id, t.rank, r.candidate_id IS NOT NULL AS hit FROM tfidf t LEFT JOIN rel r USING (query_id, candidate_id) WHERE rank <= 10),

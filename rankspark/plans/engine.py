@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import Settings
 from ..functions import text as X
-from ..operators import keyphrases, ranking, store, tfidf
+from ..operators import keyphrases, ranking, scoring, store, tfidf
 from ..sources import files
 from ..streaming import ingest
 from . import parse as plans
@@ -29,9 +29,12 @@ class Conflict(ValueError):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder=keyphrases.hash_embedding, scorer=None, model=None, pdf_words=None, phrases: tuple = ()):
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder=keyphrases.hash_embedding, scorer=None, model=None, pdf_words=None, phrases: tuple = (), prompts: scoring.Prompts | None = None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
-        self.embedder, self.scorer, self.model, self.pdf_words, self.phrases = embedder, scorer, model, pdf_words, phrases
+        self.embedder, self.model, self.pdf_words, self.phrases, self.prompts = embedder, model, pdf_words, phrases, prompts
+        s = self.settings
+        # a plain function from (system, prompt) to an answer gets the settings' limits
+        self.scorer = scoring.Scorer(scorer, concurrent=s.scorer_concurrent, tasks=s.scorer_tasks, timeout_s=s.scorer_timeout_s, retries=s.scorer_retries) if callable(scorer) else scorer
         self.vacancies = store.Table(spark, f"{self.root}/vacancies", schemas.VACANCIES)
         self.candidates = store.Table(spark, f"{self.root}/candidates", schemas.CANDIDATES)
         self._query = self._fitted = None
@@ -218,10 +221,10 @@ class Engine:
             at = self.vacancy(job_id)
             if at.isEmpty():
                 raise VacancyNotFound(job_id)
-            return at.select(F.col("id").alias("query_id"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "embedding")
+            return at.select(F.col("id").alias("query_id"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "title", "description", "embedding")
         if not 1 <= len(text) <= 20_000 or title and len(title) > 512:
             raise ValueError("text of 1 to 20000 and title of at most 512 characters")
-        at = self.spark.createDataFrame([(0, f"{title}\n\n{text}" if title else text)], "query_id long, query_text string")
+        at = self.spark.createDataFrame([(0, f"{title}\n\n{text}" if title else text, title, text)], "query_id long, query_text string, title string, description string")
         return at.withColumn("embedding", self._embedding(F.col("query_text")))
 
     def rank(self, queries: DataFrame, strategy: str, k: int, scope: str = "production", retriever: str = "rrf") -> DataFrame:
@@ -239,7 +242,7 @@ class Engine:
             return ranking.fuse([self.rank(queries, r, fan, scope) for r in ("semantic", "tfidf")], k, s.rrf_k)
         if strategy == "llm":
             short = self.rank(queries, retriever, s.shortlist, scope)
-            return ranking.rerank(short, queries, every.select("candidate_id", "raw_text"), k, self.scorer)
+            return ranking.rerank(short, queries, every.select("candidate_id", "raw_text", "name", "parsed"), k, self.scorer, self.prompts)
         raise ValueError(f"unknown strategy {strategy!r}")
 
     def _texts(self, version: int | None = None) -> DataFrame:
@@ -293,7 +296,7 @@ class Engine:
     def evaluate(self, strategy: str, k: int = 10, retriever: str = "semantic", subset: int | None = None) -> tuple[DataFrame, DataFrame]:
         """(metrics of each query, macro averages) of vacancies whose file names are labels,
         against candidates of the same label."""
-        jobs = self.vacancies.read().select(F.col("id").alias("query_id"), X.source_to_category(F.col("source_filename")).alias("category"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "embedding").orderBy("query_id")
+        jobs = self.vacancies.read().select(F.col("id").alias("query_id"), X.source_to_category(F.col("source_filename")).alias("category"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "title", "description", "embedding").orderBy("query_id")
         jobs = jobs.limit(subset) if subset else jobs
         labelled = ranking.in_scope(self.candidates.read(), "eval").select(F.col("id").alias("candidate_id"), F.upper("parsed.category").alias("category"))
         found = self.rank(jobs, strategy, k, "eval", retriever)
