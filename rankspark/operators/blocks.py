@@ -30,10 +30,10 @@ def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly to the cores where they come in fewer than two partitions a core: a
-    small table, whose files may hold all rows in one group that can't be split."""
+    """``rows`` dealt evenly to the cores where they come from fewer than two files a core: a small
+    table, whose files may hold all rows in one group that can't be split. Nothing runs for this."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < 2 * cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) < 2 * cores else rows
 
 
 def packed(rows: DataFrame, pack: Callable, columns: str, at_most: int, gather: bool = False) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Embeddings and key phrases, with deterministic offline stand-ins for models."""
+"""Key phrases of texts by maximal marginal relevance."""
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 
 import numpy as np
@@ -10,32 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import embedding
+from .embedding import embed, hash_embedding  # noqa: F401 (embed: used by name from here)
 from .tfidf import STOP_WORDS
 
 
-def hash_embedding(text: str, dim: int = 1024) -> np.ndarray:
-    """Unit vector of hashed words and word pairs; an offline stand-in for a model."""
-    words = text.lower().split()
-    out = np.zeros(dim)
-    for gram in words + [" ".join(p) for p in zip(words, words[1:])]:
-        h = int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
-        out[h % dim] += 1.0 if h >> 63 else -1.0
-    size = np.linalg.norm(out)
-    return out / size if size else out
-
-
-def embed(c: Column, dim: int = 1024, embedder=hash_embedding) -> Column:
-    """array<float> of each text; null stays null. ``embedder`` runs in Arrow batches."""
-
-    @F.pandas_udf("array<float>")
-    def run(values):
-        import pandas as pd
-
-        return pd.Series([None if v is None else embedder(v, dim).astype(np.float32).tolist() for v in values])
-
-    return run(c)
-
-
 def mmr(doc: np.ndarray, vectors: np.ndarray, n: int, diversity: float = 0.5) -> list[int]:
     """Maximal marginal relevance: the phrase most like the document first, then by
     (1 - diversity) likeness to it minus diversity times likeness to what is chosen."""
@@ -51,8 +29,8 @@ def mmr(doc: np.ndarray, vectors: np.ndarray, n: int, diversity: float = 0.5) ->
     return chosen
 
 
-#: Phrases whose vectors are held at once, and documents of an Arrow batch.
-BLOCK, DOCUMENTS = 4096, 64
+#: Phrases whose vectors are held at once.
+BLOCK = 4096
 
 
 def mmr_of(doc: np.ndarray, phrases: list[str], n: int, vectors, diversity: float = 0.5, block: int = BLOCK) -> list[int]:
@@ -79,26 +57,75 @@ def mmr_of(doc: np.ndarray, phrases: list[str], n: int, vectors, diversity: floa
     return chosen
 
 
+def hashed_phrases(words: list[str], dim: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """Vectors of all distinct phrases of one to three adjacent words, as hash_embedding() has them, but
+    only their numbers that aren't zero: cells and values, five of each, and (start, length) of each phrase."""
+    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    own = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+    word_at, word_sign = embedding.cells(embedding.word_hashes(list(index)), dim)
+    _, ones = np.unique(own, return_index=True)
+    _, twos, pair = np.unique(own[:-1] * len(index) + own[1:], return_index=True, return_inverse=True)
+    pair_at, pair_sign = embedding.cells(embedding.pair_hashes((words[i], words[i + 1]) for i in twos.tolist()), dim)
+    _, threes = np.unique(pair[:-1] * len(index) + own[2:], return_index=True) if len(words) > 2 else (None, np.zeros(0, np.int64))
+    n = [len(ones), len(twos), len(threes)]
+    at, value = np.zeros((sum(n), 5), np.int64), np.zeros((sum(n), 5))
+    parts = (slice(0, n[0]), slice(n[0], n[0] + n[1]), slice(n[0] + n[1], None))
+    for length, (part, start) in enumerate(zip(parts, (ones, twos, threes)), 1):
+        for j in range(length):
+            w = own[start + j]
+            at[part, j], value[part, j] = word_at[w], word_sign[w]
+        for j in range(length - 1):
+            p = pair[start + j]
+            at[part, 3 + j], value[part, 3 + j] = pair_at[p], pair_sign[p]
+    # numbers in one cell add up before the length is taken
+    square = sum((value[:, i] * value[:, j] * (at[:, i] == at[:, j])) for i in range(5) for j in range(5))
+    value /= np.sqrt(np.where(square > 0, square, 1.0))[:, None]
+    starts = np.concatenate([ones, twos, threes]).tolist()
+    return at, value, list(zip(starts, np.repeat([1, 2, 3], n).tolist()))
+
+
+def hashed_mmr(doc: np.ndarray, words: list[str], n: int, diversity: float = 0.5) -> list[str]:
+    """mmr() of all phrases of ``words``, without their dense vectors. Scores are compared at nine
+    places; a tie goes to the phrase that sorts first."""
+    if not words:
+        return []
+    at, value, place = hashed_phrases(words, len(doc))
+    phrase = lambda i: " ".join(words[place[i][0] : place[i][0] + place[i][1]])
+    near, like, out = (value * doc[at]).sum(axis=1), None, []
+    score, left = near, np.ones(len(at), bool)
+    while len(out) < min(n, len(at)):
+        found = np.round(np.where(left, score, -np.inf), 9)
+        best = min(np.flatnonzero(found == found.max()).tolist(), key=phrase)
+        out.append(phrase(best))
+        left[best] = False
+        chosen = np.bincount(at[best], value[best], len(doc))
+        now = (value * chosen[at]).sum(axis=1)
+        like = now if like is None else np.maximum(like, now)
+        score = (1 - diversity) * near - diversity * like
+    return out
+
+
 def keyphrases(docs: DataFrame, text: str = "text", name: str | None = None, top: int = 15, embedder=hash_embedding, dim: int = 256) -> DataFrame:
     """``docs`` with ``phrases``: up to ``top`` phrases of one to three words, without junk
-    and without those that mostly repeat the person's name."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOCUMENTS))
+    and without those that mostly repeat the person's name. Only a text's words go to Python."""
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
-    n = lambda k: F.greatest(F.size(words) - (k - 1), F.lit(0))
-    two = F.zip_with(F.slice(words, F.lit(1), n(2)), F.slice(words, F.lit(2), n(2)), lambda a, b: F.concat_ws(" ", a, b))
-    three = F.zip_with(F.slice(two, F.lit(1), n(3)), F.slice(words, F.lit(3), n(3)), lambda a, b: F.concat_ws(" ", a, b))
+    model = embedder if isinstance(embedder, embedding.Embedder) else embedding.one_by_one(embedder)
+
+    def phrases_of(value: str, found: list[str]) -> list[str]:
+        if embedder is hash_embedding:
+            return hashed_mmr(hash_embedding(value, dim), found, top + 10)
+        encode = embedding.opened(model)
+        vectors = lambda t: np.array(embedding.encoded(model, encode, t, dim), float)
+        every = sorted({" ".join(found[i : i + k]) for k in (1, 2, 3) for i in range(len(found) - k + 1)})
+        return [every[i] for i in mmr_of(vectors([value])[0], every, top + 10, vectors)]
 
     @F.pandas_udf("array<string>")
-    def choose(texts, phrases):
+    def choose(texts, found):
         import pandas as pd
 
-        out = []
-        for t, ps in zip(texts, phrases):
-            ps = sorted(set(ps)) if ps is not None else []
-            out.append([ps[i] for i in mmr_of(embedder(t or "", dim), ps, top + 10, lambda found: np.array([embedder(p, dim) for p in found]))])
-        return pd.Series(out)
+        return pd.Series([phrases_of(t or "", [] if w is None else list(w)) for t, w in zip(texts, found)])
 
-    at = docs.withColumn("__found", choose(F.col(text), F.concat(words, two, three)))
+    at = docs.withColumn("__found", choose(F.col(text), words))
     own = F.col(name) if name else F.lit(None).cast("string")
     kept = F.filter("__found", lambda p: ~X.is_junk_phrase(p) & ~X.dominated_by(p, own))
     return at.withColumn("phrases", F.slice(kept, 1, top)).drop("__found")

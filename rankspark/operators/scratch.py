@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JError
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -25,6 +25,21 @@ def folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def by_key(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+    """``df`` written once in spark.sql.shuffle.partitions buckets of ``key``, in ``order`` within it.
+    Windows, groups and joins by the key then need no exchange, however many read the table."""
+    spark, table = df.sparkSession, f"rankspark_{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    atexit.register(_drop, spark, table)
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key, *order).option("path", folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def _drop(spark: SparkSession, table: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,42 +30,53 @@ LONGEST_HEADER = 40
 # ---------------------------------------------------------------------------------------
 
 
+class Patterns:
+    """Longest common subsequences of a text with many patterns at once, bit by bit: a pattern has a bit
+    for each character in one long integer, and a bit of guard above, which stops carries."""
+
+    def __init__(self, patterns: list[str]):
+        self.patterns, self.at, self.of, self.body = patterns, [], {}, 0
+        base = 0
+        for p in patterns:
+            self.at.append(base)
+            for i, c in enumerate(p):
+                self.of[c] = self.of.get(c, 0) | 1 << base + i
+            self.body |= ((1 << len(p)) - 1) << base
+            base += len(p) + 1
+
+    def lengths(self, text: str) -> list[int]:
+        v = self.body
+        for c in text:
+            u = v & self.of.get(c, 0)
+            v = ((v + u) | (v - u)) & self.body
+        return [len(p) - (v >> base & (1 << len(p)) - 1).bit_count() for p, base in zip(self.patterns, self.at)]
+
+
 def indel_ratio(a: str, b: str) -> float:
     """200 LCS / (len a + len b): similarity under insertions and deletions. Two empty
     strings are equal."""
-    if not a and not b:
-        return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    return 200.0 * Patterns([a]).lengths(b)[0] / (len(a) + len(b)) if a or b else 100.0
 
 
 def indel(a: Column, b: Column) -> Column:
     """indel_ratio of two columns, in Arrow batches."""
 
     @F.pandas_udf("double")
-    def ratio(x, y):
-        import pandas as pd
-
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([None if u is None or v is None else indel_ratio(u, v) for u, v in zip(x, y)], dtype="float64")
 
     return ratio(a, b)
 
 
+_SECTIONS = [section for section, aliases in ALIASES.items() for _ in aliases]
+_HEADERS = Patterns([alias for aliases in ALIASES.values() for alias in aliases])
+
+
 def closest_section(text: str) -> str | None:
     """The section of the best alias, the first of equally good ones, if it reaches the bar."""
-    best, found = 0.0, None
-    for section, aliases in ALIASES.items():
-        for alias in aliases:
-            if abs(len(text) - len(alias)) * 200 > (100 - BAR) * 2 * (len(text) + len(alias)):
-                continue  # too unlike in length to reach the bar
-            score = indel_ratio(text, alias)
-            if score > best:
-                best, found = score, section
-    return found if best >= BAR else None
+    ratios = [200.0 * n / (len(text) + len(alias)) for n, alias in zip(_HEADERS.lengths(text), _HEADERS.patterns)]
+    best = max(ratios)
+    return _SECTIONS[ratios.index(best)] if best >= BAR else None
 
 
 def may_be_header(text: Column, size: Column, bold: Column, body: Column) -> Column:
@@ -75,26 +86,34 @@ def may_be_header(text: Column, size: Column, bold: Column, body: Column) -> Col
     return (t != "") & (F.length(t) <= LONGEST_HEADER) & ((size >= body + 1.0) | bold | upper)
 
 
-def headers(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """``lines`` with ``header``: the section that a line is the header of, or null. Only
-    the lines that may be headers, each text once, reach the fuzzy match."""
-    body = lines.groupBy(F.col(doc).alias("__d")).agg(F.median("max_font_size").alias("__body"))
-    at = lines.join(body, F.col(doc) == F.col("__d")).drop("__d")
-    norm = strip(F.regexp_replace(F.lower(strip(F.col("text"))), ":+$", ""))
-    at = at.withColumn("__norm", F.when(may_be_header(F.col("text"), F.col("max_font_size"), F.col("is_bold"), F.col("__body")), norm)).drop("__body")
+def closest(text: Column) -> Column:
+    """closest_section() of a column; null stays null. Each text of an Arrow batch is looked up once."""
+
+    @F.pandas_udf("string")
+    def find(values: pd.Series) -> pd.Series:
+        found = {t: closest_section(t) for t in set(values.dropna())}
+        return pd.Series([found.get(t) for t in values], dtype=object)
 
-    def match(batches):
-        for batch in batches:
-            texts = batch.column(0)
-            yield pa.RecordBatch.from_arrays([texts, pa.array([closest_section(t.as_py()) for t in texts], pa.string())], ["__text", "header"])
+    return find(text)
 
-    known = at.where("__norm is not null").select(F.col("__norm").alias("__text")).distinct().mapInArrow(match, "__text string, header string").where("header is not null")
-    return at.join(known, F.col("__norm") == F.col("__text"), "left").drop("__norm", "__text")
+
+def headers(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``lines`` with ``header``: the section that a line is the header of, or null. Of lines that
+    can't be headers only a null goes to the fuzzy match; nothing is joined."""
+    at = lines.withColumn("__body", F.median("max_font_size").over(Window.partitionBy(doc)))
+    norm = strip(F.regexp_replace(F.lower(strip(F.col("text"))), ":+$", ""))
+    norm = F.when(may_be_header(F.col("text"), F.col("max_font_size"), F.col("is_bold"), F.col("__body")), norm)
+    return at.withColumn("header", closest(norm)).drop("__body")
 
 
 def sections(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Lines with their ``section``: the last header's, `about` before any; headers go."""
-    return carry_forward(headers(lines, doc), doc).where("header is null").drop("header")
+    return placed(lines, doc).where("header is null").drop("header")
+
+
+def placed(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """All lines with ``header`` and ``section``."""
+    return carry_forward(headers(lines, doc), doc)
 
 
 def carry_forward(lines: DataFrame, doc: str = "doc_id", order: str = "line_no", initial: str = "about") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as X
-from ..operators import entities, keyphrases, ranking, scoring, scratch, segment, store, tfidf
+from ..operators import blocks, embedding, entities, keyphrases, ranking, scoring, scratch, segment, store, tfidf
 from ..sources import files
 from ..streaming import ingest
 from . import parse as plans
@@ -532,20 +532,32 @@ def topk_per_group(spark, d):
 @query()
 def parse_documents(spark, d):
     """Documents parsed as plain text; key phrases stand in where a document has few skills."""
-    at = plans.parse(files.text_lines(_t(spark, d, "documents")), ["Astana Hub", "Nazarbayev University"])
+    at = plans.parse(files.text_lines(blocks.spread(_t(spark, d, "documents").select("doc_id", "text"))), ["Astana Hub", "Nazarbayev University"])
     p = F.col("parsed")
     return at.select("doc_id", p["name"].alias("name"), p["email"].alias("email"), p["phone"].alias("phone"), F.size(p["skills"]).alias("n_skills"), F.size(p["experience"]).alias("n_experience"), F.size(p["education"]).alias("n_education"))
 
 
 @query()
 def entities_extract(spark, d):
-    at = entities.extract(_t(spark, d, "documents"), ["Astana Hub", "Nazarbayev University"])
+    at = entities.extract(blocks.spread(_t(spark, d, "documents").select("doc_id", "text")), ["Astana Hub", "Nazarbayev University"])
     return at.select("doc_id", F.size("entities").alias("n"), F.array_join(entities.organisations(F.col("entities")), "; ").alias("orgs"))
 
 
 @query()
 def keyphrases_top(spark, d):
-    return keyphrases.keyphrases(_t(spark, d, "documents")).select("doc_id", F.array_join("phrases", "; ").alias("phrases"))
+    return keyphrases.keyphrases(blocks.spread(_t(spark, d, "documents").select("doc_id", "text"))).select("doc_id", F.array_join("phrases", "; ").alias("phrases"))
+
+
+_LETTERS = "etaoinsr"
+
+
+@query("SELECT doc_id, " + ", ".join(f"round(length(text) - length(replace(text, '{c}', '')))::DOUBLE AS n_{c}" for c in _LETTERS) + " FROM documents")
+def embedding_batches(spark, d):
+    """Documents through the batched embedder, with a model that counts letters."""
+    counts = lambda texts, dim: [[t.count(c) for c in _LETTERS[:dim]] for t in texts]
+    at = embedding.embed(F.col("text"), len(_LETTERS), embedding.Embedder(lambda: counts, "letters"))
+    found = blocks.spread(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id", at.alias("e"))
+    return found.select("doc_id", *[F.col("e")[i].cast("double").alias(f"n_{c}") for i, c in enumerate(_LETTERS)])
 
 
 # --- streams ---------------------------------------------------------------------------------------
