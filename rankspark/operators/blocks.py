@@ -1,9 +1,12 @@
-"""Exact k best of a query set against all rows, in blocks.
+"""Exact k best of a query set against all rows, in blocks, past groups that can't matter.
 
 Rows are packed where they are into blocks, one row of a table each; each block of queries
-meets each block of candidates, and only the k best of a pair of blocks leave it. A single
-block of queries is broadcast (its size is bounded); of more, Spark takes blocks against
-blocks, so that neither side passes through the driver.
+meets each block of candidates. A block of candidates is ordered into groups of like rows, each with
+what bounds its scores. A task keeps the k best so far of the queries it has met: it takes a
+block's groups from the highest bound down, and leaves out those whose bound is below the k-th best
+score of every query. Only the k best of a task leave it, and what is left out could not be among
+them, so the result is exact. A single block of queries is broadcast (its size is bounded); of more,
+Spark takes blocks against blocks, so that neither side passes through the driver.
 """
 
 from __future__ import annotations
@@ -21,12 +24,55 @@ from pyspark.sql.types import StructType
 PLACES = 9
 
 
-def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns (rows, k) of each row's k best; ``ids`` of the columns are ascending."""
-    k = min(k, score.shape[1])
-    # one number for each cell: rounded score first, then the column, so that no two are equal
-    key = np.rint(score * -(10.0**PLACES)).astype(np.int64) * (1 << 20) + np.arange(score.shape[1])
-    return np.argpartition(key, k - 1, axis=1)[:, :k]
+#: Candidates of a group.
+GROUP = 64
+_NONE = -(1 << 62)
+
+
+class Best:
+    """The k best so far of each of n queries, by rounded score and then by smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.key, self.ids, self.score = k, np.full((n, k), _NONE), np.zeros((n, k), np.int64), np.zeros((n, k))
+
+    def floor(self) -> np.ndarray:
+        return self.key[:, -1]
+
+    def add(self, asked: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Scores of the queries ``asked`` with the candidates ``ids``."""
+        key = np.rint(score * 10.0**PLACES).astype(np.int64)
+        near = (key >= self.floor()[asked, None]).any(axis=1)
+        own = asked[near]
+        if not len(own):
+            return
+        key = np.concatenate([self.key[own], key[near]], axis=1)
+        ids = np.concatenate([self.ids[own], np.broadcast_to(ids, (len(own), len(ids)))], axis=1)
+        score = np.concatenate([self.score[own], score[near]], axis=1)
+        by = np.lexsort((ids, -key), axis=1)[:, : self.k]
+        self.key[own], self.ids[own], self.score[own] = (np.take_along_axis(x, by, axis=1) for x in (key, ids, score))
+
+
+def visit(best: Best, groups: list[np.ndarray], bound: np.ndarray, score: Callable) -> int:
+    """Adds what the groups (ids of each) have. bound: no score of a query (row) with a group
+    (column) is above it. score: (queries, group) -> matrix. Returns the pairs of query and group scored."""
+    most, met = np.rint(bound * 10.0**PLACES).astype(np.int64) + 1, 0
+    left = np.ones(bound.shape, bool)
+
+    def take(asked, g):
+        nonlocal met
+        best.add(asked, groups[g], score(asked, g))
+        left[asked, g] = False
+        met += len(asked)
+
+    # each query's own best group first: it gives a good floor
+    first = most.argmax(axis=1)
+    for g in np.unique(first).tolist():
+        take(np.flatnonzero((first == g) & (most[:, g] >= best.floor())), g)
+    for g in np.argsort(-most.max(axis=0), kind="stable").tolist():
+        asked = np.flatnonzero(left[:, g] & (most[:, g] >= best.floor()))
+        if len(asked):
+            take(asked, g)
+    return met
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -63,25 +109,29 @@ def packed(rows: DataFrame, pack: Callable, columns: str, at_most: int, gather:
     return rows.mapInArrow(run, columns)
 
 
-def pairs(queries: DataFrame, candidates: DataFrame, one: bool, score: Callable, k: int) -> DataFrame:
-    """(query_id, candidate_id, score) of the k best of each pair of blocks. ``score`` makes of a
-    block of each (dicts) the query ids, the ascending candidate ids and the matrix of scores,
-    or None. one: whether there is a single block of queries."""
+def pairs(queries: DataFrame, candidates: DataFrame, one: bool, meet: Callable, k: int, counts: tuple | None = None) -> DataFrame:
+    """(query_id, candidate_id, score) of the k best of each task. ``meet`` makes of a block of each
+    (dicts) the query ids and what visit() takes, or None. one: whether there is a single
+    block of queries. counts: two accumulators, of all pairs of a query and a group, and of those scored."""
     q, c = (df.select(F.struct(*df.columns).alias(n)) for df, n in ((queries, "q"), (candidates, "c")))
     met = c.crossJoin(F.broadcast(q) if one else q)
 
     def run(batches):
+        held: dict = {}
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
-                got = score(row["q"], row["c"])
+                got = meet(row["q"], row["c"])
                 if got is None or not got[2].size:
                     continue
-                asked, ids, s = got
-                by = best_of(s, ids, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(asked, by.shape[1]), pa.int64()), pa.array(ids[by].ravel(), pa.int64()), pa.array(np.take_along_axis(s, by, axis=1).ravel(), pa.float64())],
-                    ["query_id", "candidate_id", "score"],
-                )
+                asked, groups, bound, score = got
+                best = held.setdefault(asked.tobytes(), (asked, Best(len(asked), k)))[1]
+                scored = visit(best, groups, bound, score)
+                if counts:
+                    counts[0].add(bound.size)
+                    counts[1].add(scored)
+        for asked, best in held.values():
+            at, place = np.nonzero(best.key > _NONE)
+            yield pa.RecordBatch.from_arrays([pa.array(asked[at], pa.int64()), pa.array(best.ids[at, place], pa.int64()), pa.array(best.score[at, place], pa.float64())], ["query_id", "candidate_id", "score"])
 
     return met.mapInArrow(run, "query_id bigint, candidate_id bigint, score double")

@@ -34,39 +34,76 @@ def top_k(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFr
     return df.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def semantic(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
+def semantic(queries: DataFrame, candidates: DataFrame, k: int, counts: tuple | None = None) -> DataFrame:
     """Exact nearest by cosine, of (query_id, embedding) among (candidate_id, embedding).
 
-    Unit vectors are packed into blocks where they are, and blocks are multiplied with blocks;
-    only the k best of each query leave a pair of blocks. Null and zero vectors, and those of
-    another length than a query's, never rank. Ties go to smaller ids.
+    Unit vectors are packed into blocks where they are and ordered into clusters; a cluster whose
+    vectors are all too far from a query, by the triangle inequality of angles, isn't scored for it.
+    Only the k best of each query leave a task. Null and zero vectors, and those of another length than
+    a query's, never rank. Ties go to smaller ids. counts: as in blocks.pairs.
     """
     asked = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     kept = candidates.where("embedding is not null").select(F.col("candidate_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     one = asked.count() <= QUERY_BLOCK
-    columns = "ids binary, width int, unit binary"
-    found = blocks.pairs(blocks.packed(asked, _unit, columns, QUERY_BLOCK, gather=True), blocks.packed(kept, _unit, columns, CANDIDATE_BLOCK), one, _cosines, k)
+    q = blocks.packed(asked, _unit, "ids binary, width int, unit binary", QUERY_BLOCK, gather=True)
+    c = blocks.packed(kept, _clustered, "ids binary, width int, unit binary, first binary, centre binary, reach binary", CANDIDATE_BLOCK)
+    found = blocks.pairs(q, c, one, _cosines, k, counts)
     return top_k(found, k, F.desc(F.round("score", 9)), F.col("candidate_id")).withColumn("score", clamp01(F.col("score"))).select("query_id", "candidate_id", "rank", "score")
 
 
-def _unit(rows):
-    """Ids, ascending, and unit vectors of the rows: a block for each length of vectors."""
+def _units(rows):
+    """Ids and unit vectors of the rows, for each length of vectors."""
     values = rows.column("v").combine_chunks()
     length, every = np.diff(values.offsets.to_numpy()), rows.column("id").to_numpy()
     for width in np.unique(length[length > 0]).tolist():
         own = np.flatnonzero(length == width)
         x = values.take(own).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         ids, size = every[own], np.linalg.norm(x, axis=1)
-        by = np.argsort(ids, kind="stable")
-        by = by[size[by] > 0]
-        yield ids[by].astype("<i8").tobytes(), width, (x[by] / size[by, None]).astype("<f8").tobytes()
+        if (size > 0).any():
+            yield ids[size > 0], x[size > 0] / size[size > 0, None]
+
+
+def _unit(rows):
+    for ids, x in _units(rows):
+        yield ids.astype("<i8").tobytes(), x.shape[1], x.astype("<f8").tobytes()
+
+
+def clusters(x: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order of the rows, first place of each cluster, its centre, its least cosine to the centre):
+    unit vectors by the nearest of some of them, spread by id, whose means then take their place."""
+    n = -(-len(x) // blocks.GROUP)
+    centre = x[np.argsort(ids, kind="stable")[np.linspace(0, len(x) - 1, n).astype(int)]]
+    for _ in range(3):
+        own = np.argmax(x @ centre.T, axis=1)
+        total = np.zeros_like(centre)
+        np.add.at(total, own, x)
+        size = np.linalg.norm(total, axis=1)
+        centre = np.where(size[:, None] > 1e-9, total / np.maximum(size, 1e-9)[:, None], centre)
+    own = np.argmax(x @ centre.T, axis=1)
+    order = np.lexsort((ids, own))
+    used, first = np.unique(own[order], return_index=True)
+    centre = centre[used]
+    reach = np.minimum.reduceat(np.einsum("ij,ij->i", x[order], centre[np.searchsorted(used, own[order])]), first)
+    return order, first, centre, reach
+
+
+def _clustered(rows):
+    """As _unit, in the order of clusters."""
+    for ids, x in _units(rows):
+        order, first, centre, reach = clusters(x, ids)
+        yield ids[order].astype("<i8").tobytes(), x.shape[1], x[order].astype("<f8").tobytes(), first.astype("<i8").tobytes(), centre.astype("<f8").tobytes(), reach.astype("<f8").tobytes()
 
 
 def _cosines(q: dict, c: dict) -> tuple | None:
     if q["width"] != c["width"]:
         return None
-    asked, ids = (np.frombuffer(b["ids"], "<i8") for b in (q, c))
-    return asked, ids, np.frombuffer(q["unit"], "<f8").reshape(-1, q["width"]) @ np.frombuffer(c["unit"], "<f8").reshape(-1, c["width"]).T
+    (asked, ids), first = (np.frombuffer(b["ids"], "<i8") for b in (q, c)), np.frombuffer(c["first"], "<i8")
+    x, y, centre = (np.frombuffer(b, "<f8").reshape(-1, q["width"]) for b in (q["unit"], c["unit"], c["centre"]))
+    # no member's angle to a query is under the centre's less the cluster's greatest
+    angle, wide = (np.arccos(np.clip(a, -1, 1)) for a in (x @ centre.T, np.frombuffer(c["reach"], "<f8")))
+    bound = np.cos(np.maximum(angle - wide - 1e-7, 0))
+    parts = [slice(a, b) for a, b in zip(first, np.append(first[1:], len(ids)))]
+    return asked, [ids[p] for p in parts], bound, lambda own, g: x[own] @ y[parts[g]].T
 
 
 def fuse(rankings: list[DataFrame], k: int, rrf_k: int = 60) -> DataFrame:

@@ -113,25 +113,28 @@ def fit(corpus: DataFrame, id_col: str, text_col: str, stop_words: tuple = STOP_
 QUERY_BLOCK, CANDIDATE_BLOCK = 128, 4096
 
 
-def best(queries: DataFrame, candidates: DataFrame, k: int, boost: float = 0.10) -> DataFrame:
+def best(queries: DataFrame, candidates: DataFrame, k: int, boost: float = 0.10, counts: tuple | None = None) -> DataFrame:
     """Ranks candidates for queries, both vectors (id, at, w, optional category, boosts): the
     product of weights, plus ``boost`` where the categories are equal and both sides allow it.
 
-    Candidates are packed into blocks where they are and multiplied with blocks of queries, so
-    a term that most documents have costs no more than its weights. Candidates that share no
-    term rank with 0, in the order of their ids, as their blocks' others do.
+    Candidates are packed into blocks where they are, and ordered by category and strongest term into
+    groups, each with the greatest weight of each of its terms. With them a query's weights bound
+    what any candidate of the group can reach; groups below its k-th best score aren't scored. Candidates
+    that share no term rank with 0, in the order of their ids. counts: as in blocks.pairs.
     """
     labelled = "category" in queries.columns and "category" in candidates.columns
     columns = "ids binary, first binary, at binary, w binary, category array<string>, boosts array<boolean>"
     extra = ["category", "boosts"] if labelled else []
     q, c = (df.select(F.col("id").cast("long").alias("id"), "at", "w", *extra) for df in (queries, candidates))
     one = q.count() <= QUERY_BLOCK
-    found = blocks.pairs(blocks.packed(q, _sparse_block, columns, QUERY_BLOCK, gather=True), blocks.packed(c, _sparse_block, columns, CANDIDATE_BLOCK), one, _products(boost), k)
+    found = blocks.pairs(
+        blocks.packed(q, _sparse_block, columns, QUERY_BLOCK, gather=True),
+        blocks.packed(c, _grouped_block, f"{columns}, peak_first binary, peak_at binary, peak_w binary", CANDIDATE_BLOCK), one, _products(boost), k, counts,
+    )
     return top_k(found, k, F.desc(F.round("score", 9)), F.col("candidate_id")).select("query_id", "candidate_id", "rank", clamp01(F.col("score")).alias("score"))
 
 
 def _sparse_block(rows):
-    rows = rows.sort_by("id").combine_chunks()
     at, w = (rows.column(c).combine_chunks() for c in ("at", "w"))
     first = np.concatenate([[0], np.cumsum(np.diff(at.offsets.to_numpy()))])
     flat = [rows.column("id").to_numpy().astype("<i8"), first.astype("<i8"), at.flatten().to_numpy(zero_copy_only=False).astype("<i4"), w.flatten().to_numpy(zero_copy_only=False).astype("<f8")]
@@ -139,29 +142,66 @@ def _sparse_block(rows):
     yield *(x.tobytes() for x in flat), *labels
 
 
+def _grouped_block(rows):
+    """As _sparse_block, with rows of one category and strongest term side by side, and the
+    greatest weight of each term in each group of blocks.GROUP rows."""
+    rows = rows.combine_chunks()
+    weights = rows.column("w").to_pylist()
+    strongest = [a[max(range(len(w)), key=w.__getitem__)] if w else -1 for a, w in zip(rows.column("at").to_pylist(), weights)]
+    labels = [rows.column(c).to_pylist() if c in rows.column_names else [None] * len(rows) for c in ("category", "boosts")]
+    order = sorted(range(len(rows)), key=lambda i: (labels[0][i] or "", labels[1][i] is False, strongest[i]))
+    block = next(_sparse_block(rows.take(order)))
+    first, at, w = np.frombuffer(block[1], "<i8"), np.frombuffer(block[2], "<i4").astype(np.int64), np.frombuffer(block[3], "<f8")
+    group = np.repeat(np.arange(len(rows)) // blocks.GROUP, np.diff(first))
+    by = np.lexsort((at, group))
+    new = np.ones(len(by), bool)
+    new[1:] = (group[by][1:] != group[by][:-1]) | (at[by][1:] != at[by][:-1])
+    start = np.flatnonzero(new)
+    peak = np.maximum.reduceat(w[by], start) if len(start) else w
+    ends = np.searchsorted(group[by][start], np.arange(-(-len(rows) // blocks.GROUP) + 1))
+    yield *block, ends.astype("<i8").tobytes(), at[by][start].astype("<i4").tobytes(), peak.astype("<f8").tobytes()
+
+
 def _products(boost: float):
-    def score(q: dict, c: dict) -> tuple:
+    def meet(q: dict, c: dict) -> tuple:
         (asked, qf, qa, qw), (ids, cf, ca, cw) = ([np.frombuffer(b[n], t) for n, t in (("ids", "<i8"), ("first", "<i8"), ("at", "<i4"), ("w", "<f8"))] for b in (q, c))
+        pf, pa_, pw = (np.frombuffer(c[n], t) for n, t in (("peak_first", "<i8"), ("peak_at", "<i4"), ("peak_w", "<f8")))
         # the queries' terms only: a row of weights for each, and one of zeros for all others
         terms = np.unique(qa)
         spread = np.zeros((len(terms) + 1, len(asked)))
         spread[np.searchsorted(terms, qa), np.repeat(np.arange(len(asked)), np.diff(qf))] = qw
-        place = np.searchsorted(terms, ca)
-        known = np.append(terms, -1)[place] == ca
-        out = np.zeros((len(asked), len(ids)))
-        for j in range(len(ids)):
-            s = slice(cf[j], cf[j + 1])
-            near = known[s]
-            if near.any():
-                out[:, j] = cw[s][near] @ spread[place[s][near]]
+
+        def among(at):
+            place = np.searchsorted(terms, at)
+            return place, np.append(terms, -1)[place] == at
+
+        place, known = among(ca)
+        parts = [slice(i, min(i + blocks.GROUP, len(ids))) for i in range(0, len(ids), blocks.GROUP)]
+        peak_place, peak_known = among(pa_)
+        bound = np.zeros((len(asked), len(parts)))
+        for g, (a, b) in enumerate(zip(pf[:-1], pf[1:])):
+            near = peak_known[a:b]
+            bound[:, g] = pw[a:b][near] @ spread[peak_place[a:b][near]]
+        extra = None
         if q["category"] and c["category"]:
             name = {v: i for i, v in enumerate(dict.fromkeys(v for v in (*q["category"], *c["category"]) if v is not None))}
             qc, cc = (np.array([name.get(v, -1 - side) for v in b["category"]]) for side, b in enumerate((q, c)))
             qb, cb = (np.array([v is None or v for v in b["boosts"]], bool) for b in (q, c))
-            out += boost * ((qc[:, None] == cc[None, :]) & qb[:, None] & cb[None, :])
-        return asked, ids, out
+            extra = boost * ((qc[:, None] == cc[None, :]) & qb[:, None] & cb[None, :])
+            bound += np.stack([extra[:, p].max(axis=1) for p in parts], axis=1)
+
+        def score(own, g):
+            out, mine = np.zeros((len(own), parts[g].stop - parts[g].start)), spread[:, own]
+            for j in range(parts[g].start, parts[g].stop):
+                s = slice(cf[j], cf[j + 1])
+                near = known[s]
+                if near.any():
+                    out[:, j - parts[g].start] = cw[s][near] @ mine[place[s][near]]
+            return out if extra is None else out + extra[own, parts[g]]
+
+        return asked, [ids[p] for p in parts], bound, score
 
-    return score
+    return meet
 
 
 def similarities(query_weights: DataFrame, doc_weights: DataFrame) -> DataFrame:
