@@ -15,8 +15,8 @@ matrix; the matrices of a long conversation are chained first, which fixes the r
 its runs' ends, and then each run is decoded on its own. No task holds more than one run.
 
 Defined results: a null text is empty, and an empty row is one empty line. A null or
-unknown role is recovered. Rows that repeat wholly, with their turn number, count once; rows
-without a turn number all count. Rows of one turn number are ordered by role and text; a
+unknown role is recovered. Rows without a turn number all count; rows that repeat wholly, with their
+turn number, count once, or all with merge_repeats=False, as in the registered query. Rows of one turn number are ordered by role and text; a
 null turn comes last, a null conversation is one of its own.
 An empty table gives an empty table. Only the four named columns are read, so no other
 column's name can clash.
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, bounded_batches
+from .common import bounded_batches, broadcast_if_small, cut
 
 ROLES = ("system", "user", "assistant")
 #: Names of speakers in role fields and at line starts.
@@ -182,12 +182,14 @@ def turns_of(observed: list, roles: list[int], rows: list[int]):
             part, held = 0 if ends else part + 1, []
 
 
-def _rows(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+def _rows(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, merge_repeats: bool = True) -> DataFrame:
     label = F.lower(F.trim(F.col(role_col)))
     given = F.coalesce(*[F.when(label.isin(*SPEAKERS[r]), F.lit(i)) for i, r in enumerate(ROLES)], F.lit(-1))
     at = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), given.alias("given"), F.col(text_col).alias("text"))
-    # equal rows are left only without a turn number; a row id deals them to several ranges
+    # a row id deals equal rows to several ranges
     row = F.when(F.coalesce(F.length("text"), F.lit(0)) <= HEAD, F.monotonically_increasing_id() - (1 << 62)).otherwise(F.lit(0))
+    if not merge_repeats:
+        return at.withColumn("row", row)
     loose = at.where("turn is null").withColumn("row", row)
     return at.where("turn is not null").distinct().withColumn("row", F.lit(0).cast("long")).unionByName(loose)
 
@@ -206,16 +208,17 @@ def numbered(rows: DataFrame) -> DataFrame:
     spans = table.groupBy("conv", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
     spans = spans.select("conv", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whose).alias("all")).where(F.col("all") > RUN)
     spans = spans.select(F.col("conv").alias("sc"), F.col("part").alias("sp"), (F.col("before") - F.col("first")).alias("shift"))
-    # fewer than one for each RUN rows, and one for each range
-    placed = table.join(F.broadcast(spans), F.col("conv").eqNullSafe(F.col("sc")) & (F.col("part") == F.col("sp")), "left")
+    # fewer than one for each RUN rows, and one for each range; a range bounds the rows of a pair
+    placed = table.join(broadcast_if_small(cut(spans, "spans")), F.col("conv").eqNullSafe(F.col("sc")) & (F.col("part") == F.col("sp")), "left")
     run = F.expr(f"(at + shift) div {RUN}")
     return placed.select("conv", "turn", "given", "text", "at", F.coalesce(run, F.lit(0)).cast("long").alias("run"), F.col("shift").isNotNull().alias("long"))
 
 
-def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, part, role, content and rendered of each recovered turn."""
+def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", merge_repeats: bool = True) -> DataFrame:
+    """conv_id, turn, part, role, content and rendered of each recovered turn. merge_repeats: rows that
+    repeat wholly, with their turn number, count once; without it every row counts."""
     bounded_batches(conversations.sparkSession)
-    rows = numbered(_rows(conversations, conv_col, turn_col, role_col, text_col))
+    rows = numbered(_rows(conversations, conv_col, turn_col, role_col, text_col, merge_repeats))
     kind = conversations.schema[conv_col].dataType.simpleString()
     model = train(rows)
 
@@ -259,7 +262,7 @@ def format_chats(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     matrices = parts.mapInArrow(summed, f"conv {kind}, run bigint, m array<double>")
     steps = matrices.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("run", "m"))).alias("steps"))  # one small matrix for each RUN rows
     fixed = steps.mapInArrow(chained, f"fc {kind}, fr bigint, enter int, leave int")
-    every = rows.join(F.broadcast(fixed), F.col("conv").eqNullSafe(F.col("fc")) & (F.col("run") == F.col("fr")), "left").drop("fc", "fr")
+    every = rows.join(broadcast_if_small(cut(fixed, "run-ends")), F.col("conv").eqNullSafe(F.col("fc")) & (F.col("run") == F.col("fr")), "left").drop("fc", "fr")
     every = every.repartition("conv", "run").sortWithinPartitions("conv", "run", "at")
 
     def decoded(batches):

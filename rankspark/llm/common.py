@@ -58,6 +58,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+#: Rows of a narrow table that is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(table: DataFrame) -> DataFrame:
+    """A written table of a few narrow columns, broadcast if it has up to BROADCAST_ROWS rows."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:

@@ -214,6 +214,9 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     rows = rows.where(F.size("v") == width)
     asked = _usable(queries, id_col, vector_col).where(F.size("v") == width).dropDuplicates(["id", "v"])
     turn, firsts = rotation(rows, n, width)
+    # a row takes 16 bytes a component and some more: blocks of wide vectors hold fewer
+    most = max(16, BROADCAST_BYTES // (20 * width))
+    block, query_block = min(block, most), min(QUERY_BLOCK, most)
 
     norm = F.aggregate("v", F.lit(0.0), lambda acc, x: F.hypot(acc, x.cast("double")))
     # equal lengths, and rows that repeat, are spread by id and place
@@ -222,8 +225,8 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     stored = cut(_packed(at.sortWithinPartitions(*by).select("id", "v"), turn, firsts, block), "inner-blocks")
     longest = stored.agg(F.max_by("first", F.struct("top", "first"))).collect()[0][0]
     n_asked = asked.count()
-    asked = asked.repartition(max(1, -(-n_asked // QUERY_BLOCK)))
-    asked = _packed(asked, turn, firsts, QUERY_BLOCK)
+    asked = asked.repartition(max(1, -(-n_asked // query_block)))
+    asked = _packed(asked, turn, firsts, query_block)
 
     # each query's k-th score within the block of the longest vectors
     def first(batches):

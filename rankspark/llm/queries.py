@@ -29,7 +29,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"), merge_repeats=False)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,40 @@ def test_runs_of_a_long_conversation_agree_with_one_pass(spark, monkeypatch):
     assert [tuple(r) for r in chat.format_chats(df).orderBy("turn", "part").collect()] == whole
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_chats_equal_whole_conversations(spark, monkeypatch, small):
+    """Every row's text comes back, as from one pass over each conversation, however it is cut and joined."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    texts = ["Why?", "Because of it. " * 9, "You must always.", "User: hi\nAssistant: yes\nno", "", None, "x y " * 5000]
+    rows = [(rng.choice([1, 2, None]), rng.choice([None, 1, 2, 3]), rng.choice(["user", "assistant", None, "??"]), rng.choice(texts)) for _ in range(120)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, CONV).repartition(3)
+    for name in ("conv", "run", "at", "part", "given", "row", "head", "rendered"):
+        df = df.withColumn(name, F.lit("x"))
+    monkeypatch.setattr(chat, "RUN", 16)
+    if not small:
+        monkeypatch.setattr("rankspark.llm.common.BROADCAST_ROWS", 0)
+    model = chat.train(chat.numbered(chat._rows(df, "conv_id", "turn", "role", "text", False)))
+    given = lambda r: chat.NAMES.get((r[2] or "").strip().lower(), -1)
+    expected = []
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is None, r[1] or 0, given(r), r[3] is not None, r[3] or ""))
+        seen, of = [], []
+        for i, r in enumerate(own):
+            got = chat.lines_of(model, r[3], given(r))
+            seen += got
+            of += [i] * len(got)
+        roles = chat.decode(model, seen, True)
+        expected += [(conv, own[i][1], part, role, content) for i, part, role, content in chat.turns_of(seen, roles, of)]
+    got = chat.format_chats(df, merge_repeats=False)
+    assert collections.Counter((r.conv_id, r.turn, r.part, r.role, r.content) for r in got.collect()) == collections.Counter(expected)
+    assert sum(t[2] == 0 for t in expected) == len(rows)
+
+
 def test_rows_without_a_turn_all_count(spark):
     rows = [(1, 0, "user", "Hi"), (1, None, "user", "Yes."), (1, None, "user", "Yes."), (None, None, None, None), (None, None, None, None)]
     got = chat.format_chats(spark.createDataFrame(rows, CONV)).collect()
