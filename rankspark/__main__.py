@@ -48,6 +48,8 @@ def main(argv: list[str] | None = None) -> None:
     labelled.add_argument("path")
     ingest = sub.add_parser("ingest", help="files that have landed in a folder")
     ingest.add_argument("path")
+    ingest.add_argument("--poll", action="store_true", help="go on looking for files every poll_seconds")
+    sub.add_parser("status", help="the last run's progress")
     mail = sub.add_parser("mail", help=".eml files in a folder, or an IMAP mailbox")
     mail.add_argument("path", nargs="?")
     mail.add_argument("--imap", action="append", default=[], metavar="OPTION=VALUE")
@@ -55,6 +57,9 @@ def main(argv: list[str] | None = None) -> None:
     test.add_argument("--ranker", default="rrf")
     test.add_argument("--retriever", default="semantic")
     test.add_argument("--subset", type=int)
+    test.add_argument("--no-boost", action="store_true", help="without the category boost")
+    test.add_argument("--compare-boost", action="store_true", help="TF-IDF without and with the boost")
+    test.add_argument("--qualitative", action="store_true", help="also the first five of each query")
     a = p.parse_args(argv)
     if a.command == "mail" and bool(a.path) == bool(a.imap):
         p.error("give a folder of .eml files, or --imap options")
@@ -68,7 +73,7 @@ def main(argv: list[str] | None = None) -> None:
             found = engine.rank(queries, a.strategy or "rrf", a.top_k or 5).join(payload, "candidate_id", "left").orderBy("query_id", "rank")
         else:
             found = engine.recommend(a.job_id, a.text, a.title, a.strategy, a.top_k)
-        for r in found.select("query_id", match_line(F.col("rank"), F.col("score"), F.col("name"), F.col("email"), F.col("source_file")).alias("line")).collect():
+        for r in found.select("query_id", match_line(F.col("rank"), F.col("score"), F.col("name"), F.col("email"), F.col("source_file")).alias("line")).toLocalIterator():
             print(r["query_id"], r["line"])
     elif a.command == "parse":
         got = engine.parse_path(a.path, a.force, a.dry_run)
@@ -80,8 +85,9 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "labelled":
         engine.import_labelled(a.path)
     elif a.command == "ingest":
-        engine.ingest_once(a.path)
-        engine.wait()
+        engine.ingest_to_the_end(a.path, a.poll)
+    elif a.command == "status":
+        print(engine.status())
     elif a.command == "mail":
         if a.imap:
             spark.dataSource.register(mailbox.Mailbox)
@@ -91,9 +97,15 @@ def main(argv: list[str] | None = None) -> None:
         engine.ingest_mail(messages)
         engine.wait()
     else:
-        per, averages = engine.evaluate(a.ranker, retriever=a.retriever, subset=a.subset)
-        per.orderBy(F.desc("p_at_5")).show(100)
-        averages.show()
+        if a.compare_boost:
+            engine.compare_boost(subset=a.subset).show(truncate=False)
+            return
+        got = engine.evaluation(a.ranker, retriever=a.retriever, subset=a.subset, boost=0.0 if a.no_boost else None)
+        got.per_query.orderBy(F.desc("p_at_5")).show(100)
+        got.averages.show()
+        if a.qualitative:
+            for r in got.examples.toLocalIterator():
+                print(f"{r['category']} {r['title']}: {r['rank']}. [{'+' if r['hit'] else '-'}] {r['score']:.2f} {r['found_category']} {r['explanation'] or ''}")
 
 
 if __name__ == "__main__":

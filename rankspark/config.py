@@ -19,6 +19,9 @@ class Settings:
     max_upload_bytes: int = 15 * 1024 * 1024
     excerpt: int = 3000
     poll_seconds: int = 300
+    ingest_retries: int = 2
+    ingest_wait_s: float = 60.0
+    listed_ids: int = 100
     scorer_retries: int = 3
     scorer_concurrent: int = 5
     scorer_tasks: int = 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import Settings
 from ..functions import text as X
-from ..operators import keyphrases, ranking, scoring, store, tfidf
+from ..operators import keyphrases, ranking, scoring, scratch, store, tfidf
 from ..sources import files
-from ..streaming import ingest
+from ..streaming import ingest, progress
 from . import parse as plans
 
 
@@ -28,6 +29,16 @@ class Conflict(ValueError):
     pass
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """per_query: metrics; averages: one row; examples: the first of each query's ranking, with what
+    they are labelled as, whether that is right, and the explanation."""
+
+    per_query: DataFrame
+    averages: DataFrame
+    examples: DataFrame
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder=keyphrases.hash_embedding, scorer=None, model=None, pdf_words=None, phrases: tuple = (), prompts: scoring.Prompts | None = None):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings or Settings()
@@ -37,7 +48,7 @@ class Engine:
         self.scorer = scoring.Scorer(scorer, concurrent=s.scorer_concurrent, tasks=s.scorer_tasks, timeout_s=s.scorer_timeout_s, retries=s.scorer_retries) if callable(scorer) else scorer
         self.vacancies = store.Table(spark, f"{self.root}/vacancies", schemas.VACANCIES)
         self.candidates = store.Table(spark, f"{self.root}/candidates", schemas.CANDIDATES)
-        self._query = self._fitted = None
+        self._query, self._fitted, self._log = None, {}, None
 
     def health(self) -> dict:
         return {"status": "ok"}
@@ -155,8 +166,13 @@ class Engine:
         self.candidates.write(store.backfill_hashes(self.candidates.read(), files.discover(self.spark, folder)))
 
     def by_email(self) -> DataFrame:
-        at = self.candidates.read().groupBy("email").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
-        return at.orderBy(F.asc_nulls_last("email"))
+        """(email, n, ids): how many candidates have an address, and the settings' listed_ids first of
+        them, none for those without an address."""
+        at = self.candidates.read().select("email", "id")
+        first = ranking.top_k(at.where("email is not null"), self.settings.listed_ids, F.col("id"), by="email")
+        ids = first.groupBy("email").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        counts = at.groupBy("email").agg(F.count(F.lit(1)).alias("n"))
+        return counts.join(ids, "email", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>"))).orderBy(F.asc_nulls_last("email"))
 
     def import_labelled(self, csv_path: str) -> None:
         """Labelled résumés under their evaluation names; those there already are skipped."""
@@ -192,8 +208,7 @@ class Engine:
         """Starts a run over a stream of messages (sources.mailbox): attachments become
         candidates under {id}_{name}, those whose content is known are left out. Returns its id."""
         at = ingest.attachments(messages).select(F.col("filename").alias("source_file"), "content", "content_hash")
-        self._query = ingest.start(at, self.candidates, f"{self.root}/checkpoints/mail", self.parse_files, every, named=True)
-        return str(self._query.runId)
+        return self._started(at, "mail", every, named=True)
 
     def quarantine(self) -> DataFrame:
         """Files that could not be parsed, with the reason."""
@@ -201,8 +216,30 @@ class Engine:
 
     def ingest_once(self, landing: str) -> str:
         """Starts one run over what has arrived; returns its id."""
-        at = ingest.landing(self.spark, landing).select(F.col("path").alias("source_file"), "content", X.content_hash(F.col("content")).alias("content_hash"))
-        self._query = ingest.start(at, self.candidates, f"{self.root}/checkpoints/landing", self.parse_files)
+        return self._started(self._landed(landing), "landing")
+
+    def ingest_polling(self, landing: str) -> str:
+        """Starts a run that looks for new files every poll_seconds; returns its id."""
+        return self._started(self._landed(landing), "landing", f"{self.settings.poll_seconds} seconds")
+
+    def ingest_to_the_end(self, landing: str, poll: bool = False) -> None:
+        """Runs ingest_once() or ingest_polling() until it ends, again after a failure, as often as the
+        settings' ingest_retries; the last failure is raised."""
+
+        def again():
+            self.ingest_polling(landing) if poll else self.ingest_once(landing)
+            return self._query
+
+        ingest.run_with_retries(again, self.settings.ingest_retries, self.settings.ingest_wait_s)
+
+    def _landed(self, landing: str) -> DataFrame:
+        return ingest.landing(self.spark, landing).select(F.col("path").alias("source_file"), "content", X.content_hash(F.col("content")).alias("content_hash"))
+
+    def _started(self, stream: DataFrame, kind: str, every: str | None = None, named: bool = False) -> str:
+        if self._log is None:
+            self._log = progress.ProgressLog(self.spark, f"{self.root}/progress", f"rankspark {self.root}")
+            self.spark.streams.addListener(self._log)
+        self._query = ingest.start(stream, self.candidates, f"{self.root}/checkpoints/{kind}", self.parse_files, every, named=named, name=self._log.name)
         return str(self._query.runId)
 
     def wait(self) -> None:
@@ -210,7 +247,14 @@ class Engine:
         self._query.awaitTermination()
 
     def status(self) -> dict:
-        return ingest.status(self._query) if self._query else {"active": False}
+        """Of this engine's run, or else of the last one that any engine has started under this root."""
+        if self._query:
+            return ingest.status(self._query)
+        return progress.last_run(self.spark, f"{self.root}/progress") or {"active": False}
+
+    def runs(self) -> DataFrame:
+        """Starts, progress, ends and failures of all runs under this root."""
+        return progress.history(self.spark, f"{self.root}/progress")
 
     # --- recommendations -----------------------------------------------------------------
 
@@ -227,8 +271,9 @@ class Engine:
         at = self.spark.createDataFrame([(0, f"{title}\n\n{text}" if title else text, title, text)], "query_id long, query_text string, title string, description string")
         return at.withColumn("embedding", self._embedding(F.col("query_text")))
 
-    def rank(self, queries: DataFrame, strategy: str, k: int, scope: str = "production", retriever: str = "rrf") -> DataFrame:
-        """(query_id, candidate_id, rank, score[, explanation]) for all queries at once."""
+    def rank(self, queries: DataFrame, strategy: str, k: int, scope: str = "production", retriever: str = "rrf", boost: float | None = None) -> DataFrame:
+        """(query_id, candidate_id, rank, score[, explanation]) for all queries at once. boost: None for
+        the settings'."""
         s = self.settings
         every = self.candidates.read().withColumnRenamed("id", "candidate_id")
         if strategy == "semantic":
@@ -236,29 +281,35 @@ class Engine:
                 raise EmbeddingMissing("a query has no embedding")
             return ranking.semantic(queries, ranking.in_scope(every, scope).select("candidate_id", "embedding"), k)
         if strategy == "tfidf":
-            return self._tfidf(queries, k, scope)
+            return self._tfidf(queries, k, scope, s.boost if boost is None else boost)
         if strategy == "rrf":
             fan = max(s.overfetch * k, k)
-            return ranking.fuse([self.rank(queries, r, fan, scope) for r in ("semantic", "tfidf")], k, s.rrf_k)
+            return ranking.fuse([self.rank(queries, r, fan, scope, boost=boost) for r in ("semantic", "tfidf")], k, s.rrf_k)
         if strategy == "llm":
-            short = self.rank(queries, retriever, s.shortlist, scope)
+            short = self.rank(queries, retriever, s.shortlist, scope, boost=boost)
             return ranking.rerank(short, queries, every.select("candidate_id", "raw_text", "name", "parsed"), k, self.scorer, self.prompts)
         raise ValueError(f"unknown strategy {strategy!r}")
 
     def _texts(self, version: int | None = None) -> DataFrame:
         return self.candidates.read(version).withColumnRenamed("id", "candidate_id").where("raw_text is not null and length(raw_text) > 0")
 
-    def _fit(self) -> tuple[DataFrame, DataFrame, object]:
+    def _fit(self, scope: str = "production") -> tuple[DataFrame, DataFrame, object]:
         """(vocabulary, candidates' vectors, category classifier or None), fitted anew only when
-        a table has another version than at the last fit; written under the engine's root."""
+        a table has another version than at the last fit; written under the engine's root. The scope
+        eval has a fit of its own, on the labelled texts alone."""
         s, now = self.settings, (self.candidates.version(), self.vacancies.version())
-        if self._fitted and self._fitted[0] == now:
-            return self._fitted[1]
+        scope = "eval" if scope == "eval" else "all"
+        if scope in self._fitted and self._fitted[scope][0] == now:
+            return self._fitted[scope][1]
         texts = self._texts(now[0])
-        jobs = self.vacancies.read(now[1]).select(F.concat("title", F.lit("\n\n"), "description").alias("text"))
-        # labelled texts stand twice in the corpus: as candidates, and as the labelled set
         labelled = texts.where(F.col("parsed.category").isNotNull() & F.col("source_file").startswith(X.EVAL_PREFIX))
-        corpus = jobs.unionByName(texts.select(F.col("raw_text").alias("text"))).unionByName(labelled.select(F.col("raw_text").alias("text")))
+        if scope == "eval":
+            texts = labelled
+            corpus = labelled.select(F.col("raw_text").alias("text"))
+        else:
+            jobs = self.vacancies.read(now[1]).select(F.concat("title", F.lit("\n\n"), "description").alias("text"))
+            # labelled texts stand twice in the corpus: as candidates, and as the labelled set
+            corpus = jobs.unionByName(texts.select(F.col("raw_text").alias("text"))).unionByName(labelled.select(F.col("raw_text").alias("text")))
         base = f"{self.root}/fits/{uuid.uuid4().hex}"
         tfidf.vocabulary(corpus, "text", s.min_df, s.max_features).write.parquet(f"{base}/vocabulary")
         vocab = self.spark.read.parquet(f"{base}/vocabulary")
@@ -269,18 +320,18 @@ class Engine:
         if predict:
             predict(docs).write.parquet(f"{base}/categories")
             docs = docs.join(self.spark.read.parquet(f"{base}/categories"), "id", "left")
-        self._fitted = now, (vocab, docs, predict)
-        return self._fitted[1]
+        self._fitted[scope] = now, (vocab, docs, predict)
+        return self._fitted[scope][1]
 
-    def _tfidf(self, queries: DataFrame, k: int, scope: str) -> DataFrame:
-        vocab, docs, predict = self._fit()
+    def _tfidf(self, queries: DataFrame, k: int, scope: str, boost: float) -> DataFrame:
+        vocab, docs, predict = self._fit(scope)
         literal = F.col("source_file").startswith(X.EVAL_PREFIX)  # here the prefix is literal
-        texts = self._texts(self._fitted[0][0]).where(literal if scope == "eval" else ~literal if scope == "production" else F.lit(True))
+        texts = self._texts(self._fitted["eval" if scope == "eval" else "all"][0][0]).where(literal if scope == "eval" else ~literal if scope == "production" else F.lit(True))
         docs = docs.join(texts.select(F.col("candidate_id").alias("id"), (~F.coalesce(F.array_contains("parsed.languages_detected", "ru"), F.lit(False))).alias("boosts")), "id")
         asked = tfidf.vectors(queries.withColumn("boosts", ~X.is_russian(F.col("query_text"))), "query_id", "query_text", vocab, carry=("boosts",))
         if predict:
             asked = asked.join(predict(asked), "id", "left")
-        return tfidf.best(asked, docs, k, self.settings.boost)
+        return tfidf.best(asked, docs, k, boost)
 
     def recommend(self, job_id: int | None = None, text: str | None = None, title: str | None = None, strategy: str | None = None, top_k: int | None = None, retriever: str | None = None) -> DataFrame:
         strategy, k = strategy or self.settings.strategy, top_k or self.settings.top_k
@@ -294,11 +345,33 @@ class Engine:
         return found.join(payload, "candidate_id", "left").withColumn("strategy", F.lit(strategy)).orderBy("query_id", "rank")
 
     def evaluate(self, strategy: str, k: int = 10, retriever: str = "semantic", subset: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(metrics of each query, macro averages) of vacancies whose file names are labels,
-        against candidates of the same label."""
+        """(metrics of each query, macro averages) of evaluation()."""
+        got = self.evaluation(strategy, k, retriever, subset)
+        return got.per_query, got.averages
+
+    def evaluation(self, strategy: str, k: int = 10, retriever: str = "semantic", subset: int | None = None, boost: float | None = None, examples: int = 5) -> Evaluation:
+        """Vacancies whose file names are labels, against candidates of the same label. The ranking is
+        written once, so that a scorer is asked once."""
         jobs = self.vacancies.read().select(F.col("id").alias("query_id"), X.source_to_category(F.col("source_filename")).alias("category"), F.concat("title", F.lit("\n\n"), "description").alias("query_text"), "title", "description", "embedding").orderBy("query_id")
         jobs = jobs.limit(subset) if subset else jobs
         labelled = ranking.in_scope(self.candidates.read(), "eval").select(F.col("id").alias("candidate_id"), F.upper("parsed.category").alias("category"))
-        found = self.rank(jobs, strategy, k, "eval", retriever)
+        path = scratch.folder(self.spark, "evaluation")
+        self.rank(jobs, strategy, k, "eval", retriever, boost).write.parquet(path)
+        found = self.spark.read.parquet(path)
         per = ranking.metrics(jobs, found, jobs.select("query_id", "category").join(labelled, "category"))
-        return per, ranking.macro(per)
+        shown = found.where(F.col("rank") <= examples).join(jobs.select("query_id", "category", "title"), "query_id").join(labelled.withColumnRenamed("category", "found_category"), "candidate_id", "left")
+        shown = shown if "explanation" in shown.columns else shown.withColumn("explanation", F.lit(None).cast("string"))
+        shown = shown.select("query_id", "category", "title", "rank", "candidate_id", "found_category", F.coalesce(F.col("category") == F.col("found_category"), F.lit(False)).alias("hit"), "score", "explanation")
+        return Evaluation(per, ranking.macro(per), shown.orderBy("query_id", "rank"))
+
+    def compare_boost(self, k: int = 10, subset: int | None = None) -> DataFrame:
+        """(metric, without, with_boost, delta, percent) of TF-IDF without and with the category boost,
+        in the order of the metrics; percent is null where the metric is 0 without."""
+        return compared(*(self.evaluation("tfidf", k, subset=subset, boost=b).averages for b in (0.0, None)))
+
+
+def compared(without: DataFrame, with_boost: DataFrame) -> DataFrame:
+    """Two rows of averages with the same columns, one metric a row."""
+    rows = lambda df, name: df.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias(name)) for c in df.columns])).alias("at", "x")).select("at", "x.*")
+    at = rows(without, "without").join(rows(with_boost, "with_boost").drop("at"), "metric").withColumn("delta", F.col("with_boost") - F.col("without"))
+    return at.withColumn("percent", F.when(F.col("without") > 0, 100 * F.col("delta") / F.col("without"))).orderBy("at").drop("at")

@@ -78,9 +78,9 @@ def quarantine(table: store.Table) -> DataFrame:
     return table.spark.read.schema(schema).parquet(quarantine_path(table)) if there else table.spark.createDataFrame([], schema)
 
 
-def start(stream: DataFrame, table: store.Table, checkpoint: str, parse=None, every: str | None = None, on_batch=None, named: bool = False):
+def start(stream: DataFrame, table: store.Table, checkpoint: str, parse=None, every: str | None = None, on_batch=None, named: bool = False, name: str | None = None):
     """A running query: each trigger (``every``, such as "300 seconds"), or all that is there
-    once. ``on_batch`` gets each batch's summary."""
+    once. ``on_batch`` gets each batch's summary. name: the query's."""
 
     def run(batch: DataFrame, _: int) -> None:
         done = ingest_batch(batch, table, parse, named=named)
@@ -88,6 +88,7 @@ def start(stream: DataFrame, table: store.Table, checkpoint: str, parse=None, ev
             on_batch(done)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
