@@ -115,8 +115,12 @@ def date_ranges(c: Column) -> Column:
 
 
 def first_dates(c: Column) -> Column:
-    """Element 0 of date_ranges, or null."""
-    return F.get(date_ranges(c), F.lit(0))
+    """Element 0 of date_ranges, or null: the first range, else the first single date. Every date
+    ends in a year, so a text without one isn't searched."""
+    found = lambda pattern: F.filter(F.array(F.regexp_extract(c, f"(?iu){pattern}", 0)), lambda m: m != "")
+    ranged = F.get(F.transform(found(f"{DATE}{RANGE_DASH}(?:{DATE}|{PRESENT})"), _range_parts), F.lit(0))
+    single = F.get(F.transform(found(DATE), lambda d: F.struct(F.lit(None).cast("string").alias("start"), strip(d).alias("end"))), F.lit(0))
+    return F.when(c.rlike(r"(?:19|20)\d{2}"), F.coalesce(ranged, single))
 
 
 def without_dates(c: Column) -> Column:

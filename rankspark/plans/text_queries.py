@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as X
 from ..operators import layout, ranking, resume, segment, store
 from .catalogue import _t, query
@@ -134,6 +135,18 @@ def date_ranges_all(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", F.array_join(found, ";").alias("dates"))
 
 
+@query(f"""WITH t AS (SELECT o_orderkey, {_TWO} AS line FROM orders),
+r AS (SELECT o_orderkey, list_transform(regexp_extract_all(line, '{_WHOLE}'), lambda m: [{_strip(f"regexp_extract(m, '{_PAIR}', 1)")}, {_end(f"regexp_extract(m, '{_PAIR}', 2)")}]) AS ranges,
+  list_transform(regexp_extract_all(regexp_replace(line, '{_WHOLE}', '#', 'g'), '(?i){_DATES}'), lambda m: [NULL, m]) AS singles FROM t),
+e AS (SELECT o_orderkey, generate_subscripts(list_concat(ranges, singles), 1) AS i, unnest(list_concat(ranges, singles)) AS p FROM r)
+SELECT o_orderkey, (i - 1)::INT AS pos, p[1] AS start_date, p[2] AS end_date FROM e""")
+def date_ranges_sql(spark, d):
+    """The same by a table function in SQL text."""
+    tables.register(spark)
+    _t(spark, d, "orders").select("o_orderkey", F.expr(_TWO).alias("line")).createOrReplaceTempView("rankspark_dated_lines")
+    return spark.sql("SELECT o_orderkey, d.pos, d.start AS start_date, d.end AS end_date FROM rankspark_dated_lines, LATERAL date_ranges(line) d")
+
+
 _ENDS = "CASE o_orderkey % 5 WHEN 0 THEN ' Present' WHEN 1 THEN 'CURRENT  time ' WHEN 2 THEN 'currently' WHEN 3 THEN 'nowhere' ELSE ' 2019 ' END"
 
 
@@ -182,6 +195,14 @@ def skill_items(spark, d):
     return at.withColumn("noise", X.is_skill_noise(F.col("item")))
 
 
+@query(f"WITH l AS (SELECT o_orderkey, {_payload(f'({_SKILL_LINE})')} AS text FROM orders), {_split('o_orderkey', 'l')} SELECT *, {_noise('item')} AS noise FROM items")
+def skill_items_sql(spark, d):
+    """The same by a table function in SQL text."""
+    tables.register(spark)
+    _t(spark, d, "orders").select("o_orderkey", F.expr(_SKILL_LINE).alias("line")).createOrReplaceTempView("rankspark_skill_lines")
+    return spark.sql("SELECT o_orderkey, s.pos AS i, s.item, s.noise FROM rankspark_skill_lines, LATERAL skill_items(line) s")
+
+
 _PHRASE = "CASE p_partkey % 8 WHEN 0 THEN 'developed' WHEN 1 THEN p_name WHEN 2 THEN '12.03 ' || p_name WHEN 3 THEN '' || p_size WHEN 4 THEN '77 123 ' || p_name WHEN 5 THEN p_name || '.com' WHEN 6 THEN 'ab' ELSE 'www ' || p_type END"
 _PHRASE_HAS = " OR ".join(f"contains(lower(p), '{x}')" for x in X.PHRASE_CONTACTS)
 
