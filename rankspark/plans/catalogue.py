@@ -586,6 +586,31 @@ def stream_dedup_ingest(spark, d):
     return table.read()
 
 
+_ATTACHED = "CASE doc_id % 4 WHEN 0 THEN 'cv ' || doc_id % 10 || '.PDF' WHEN 1 THEN 'resume.docx' WHEN 2 THEN 'notes.txt' ELSE 'b&c.docx' END"
+
+
+@query(f"""WITH a AS (SELECT sha256(text) AS content_hash, {_ATTACHED} AS name, length(text) AS n FROM documents WHERE text IS NOT NULL AND doc_id % 4 != 2),
+f AS (SELECT content_hash, min(name) AS name, min(n) AS n FROM a GROUP BY 1)
+SELECT content_hash, CASE WHEN n % 5 = 0 THEN name WHEN name LIKE 'cv %' THEN lower(replace(name, ' ', '_')) ELSE replace(name, '&', '_') END AS name, CASE WHEN n % 5 = 0 THEN 'ValueError: fives' END AS error FROM f""")
+def ingest_messages(spark, d):
+    """Documents as mail with an attachment each, ingested as a stream, twice: what is new is stored under
+    its id and name, what can't be parsed is kept apart, and what is known or of another kind left out."""
+    from pyspark.sql import types as T
+
+    base = scratch.folder(spark, "mail")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("source_file", T.StringType()), T.StructField("content_hash", T.StringType())])
+    table = store.Table(spark, f"{base}/table", schema)
+    parse = lambda at: at.withColumn("error", F.when(F.length(F.col("content").cast("string")) % 5 == 0, "ValueError: fives")).drop("content")
+    for _ in range(2):
+        docs = spark.readStream.schema(_t(spark, d, "documents").schema).parquet(f"{d}/[d]ocuments.parquet")
+        payload = F.array(F.struct(F.expr(_ATTACHED).alias("filename"), F.encode("text", "UTF-8").alias("payload")))
+        mail = docs.select(F.col("doc_id").alias("uid"), F.col("source").alias("sender"), F.col("lang").alias("subject"), payload.alias("attachments"))
+        at = ingest.attachments(mail).select(F.col("filename").alias("source_file"), "content", "content_hash")
+        ingest.start(at, table, f"{base}/checkpoint", parse, named=True).awaitTermination()
+    stored = table.read().select("content_hash", F.regexp_replace("source_file", "^[0-9]+_", "").alias("name"), F.lit(None).cast("string").alias("error"))
+    return stored.unionByName(ingest.quarantine(table).select("content_hash", F.col("source_file").alias("name"), "error"))
+
+
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     """Extra: daily windows, the batch form of the stream."""

@@ -45,7 +45,7 @@ def ingest_batch(batch: DataFrame, table: store.Table, parse: Callable[[DataFram
     becomes {id}_{name}, as for mail, where names repeat.
     """
     current = table.read()
-    new = batch.where("content_hash is not null").dropDuplicates(["content_hash"])
+    new = distinct_contents(batch)
     if not replace:
         new = new.join(current.select("content_hash").where("content_hash is not null").distinct(), "content_hash", "left_anti")
     parsed = (parse(new) if parse else new.withColumn("error", F.lit(None).cast("string"))).cache()
@@ -66,6 +66,16 @@ def ingest_batch(batch: DataFrame, table: store.Table, parse: Callable[[DataFram
         parsed.unpersist()
 
 
+def distinct_contents(batch: DataFrame) -> DataFrame:
+    """One row of each content_hash, the one with the least source_file. Names and hashes decide; only
+    contents that stand several times under that name are grouped whole."""
+    named = batch.where("content_hash is not null").groupBy("content_hash", "source_file").agg(F.count(F.lit(1)).alias("n"))
+    first = named.groupBy("content_hash").agg(F.min(F.struct("source_file", "n")).alias("least")).select(F.col("content_hash").alias("__hash"), "least.source_file", F.col("least.n").alias("__n"))
+    first = first.withColumnRenamed("source_file", "__name")
+    kept = batch.join(first, (F.col("content_hash") == F.col("__hash")) & F.col("source_file").eqNullSafe(F.col("__name"))).drop("__hash", "__name")
+    return kept.where("__n = 1").drop("__n").unionByName(kept.where("__n > 1").drop("__n").dropDuplicates(["content_hash"]))
+
+
 def quarantine_path(table: store.Table) -> str:
     return f"{table.path}-quarantine"
 

@@ -109,3 +109,10 @@ def test_polling_goes_on_until_it_is_stopped(spark, tmp_path, engine):
     engine._query.stop()
     assert not engine.status()["active"]
     spark.streams.removeListener(engine._log)
+
+
+def test_the_least_name_of_a_content_stays(spark):
+    rows = [("b", "h1", b"1"), ("a", "h1", b"1"), ("a", "h1", b"1"), ("c", "h2", b"2"), (None, "h3", b"3"), (None, "h3", b"3"), ("x", None, None)]
+    at = spark.createDataFrame(rows, "source_file string, content_hash string, content binary").repartition(4)
+    got = sorted(((r.content_hash, r.source_file, bytes(r.content)) for r in ingest.distinct_contents(at).collect()), key=str)
+    assert got == [("h1", "a", b"1"), ("h2", "c", b"2"), ("h3", None, b"3")]

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 DATA = "/root/testdata/sf0.001"
 SMALL = ["semantic_topk", "tfidf_topk", "rrf_topk", "eval_metrics_per_query", "extract_contacts", "date_first_range", "name_validate", "upsert_force", "partial_update", "sections_forward_fill", "stream_dedup_ingest"]
-PARSER = ["strip_dates", "date_ranges_all", "org_shapes", "skill_items", "fuzzy_indel", "scorer_prompts", "scorer_fallback", "embedding_batches", "experience_blocks", "education_blocks", "page_lines", "vacancy_updates", "hash_backfill"]
+PARSER = ["strip_dates", "date_ranges_all", "org_shapes", "skill_items", "fuzzy_indel", "scorer_prompts", "scorer_fallback", "embedding_batches", "ingest_messages", "date_ranges_sql", "skill_items_sql", "experience_blocks", "education_blocks", "page_lines", "vacancy_updates", "hash_backfill"]
 
 
 def test_sql_belongs_to_queries():
