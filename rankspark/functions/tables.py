@@ -25,8 +25,7 @@ def _compiled(pattern: str) -> re.Pattern:
 _RANGE = _compiled(f"({X.DATE}){X.RANGE_DASH}({X.DATE}|{X.PRESENT})")
 _SINGLE, _PRESENT = _compiled(X.DATE), _compiled(X.PRESENT)
 _BULLET = re.compile(rf"^\s*[{X.SKILL_BULLETS}]\s*")
-_CATEGORY = re.compile(r"^\s*([\w\s&/+\-.]{2,50})\s*[:：]\s*([^\n]+)$")
-_NUMBER = re.compile(r"\d{2,}[\s\-./]*\d*|(19|20)\d{2}")
+_CATEGORY, _SPLIT, _NUMBER = re.compile(X.CATEGORY), re.compile(X.ITEM_SPLIT), re.compile("|".join(X.SKILL_NUMBERS))
 
 
 def date_ranges(text: str) -> list[tuple[str | None, str]]:
@@ -51,7 +50,7 @@ def split_items(text: str) -> list[str]:
             items.append(text[start:i])
             start = i + 1
     items.append(text[start:])
-    parts = [p for item in items for p in (re.split(r"\s*[,;|]\s*|\s{2,}", item) if "  " in item else [item])]
+    parts = [p for item in items for p in (_SPLIT.split(item) if "  " in item else [item])]
     return [p.strip().strip(".") for p in parts if p.strip()]
 
 
@@ -64,7 +63,7 @@ def skill_items(text: str) -> list[tuple[str, bool]]:
 
 def is_noise(item: str) -> bool:
     low = item.strip().lower()
-    return not 2 <= len(item) <= 60 or bool(_NUMBER.fullmatch(item)) or low in X.SKILL_STOPS or any(part in low for part in X.SKILL_CONTACTS)
+    return not 2 <= len(item) <= 60 or bool(_NUMBER.search(item)) or low in X.SKILL_STOPS or any(part in low for part in X.SKILL_CONTACTS)
 
 
 @udtf(returnType="pos int, start string, end string")

@@ -31,6 +31,11 @@ PHRASE_VERBS = (
     "developed", "designed", "implemented", "built", "created", "managed", "led", "worked", "supervised",
     "написал", "разработал", "разрабатывал", "создал", "внедрил", "проектировал", "руководил", "выполнял", "занимался",
 )
+EDGES = r"^[ \t\-—–:,.]+|[ \t\-—–:,.]+$"
+CATEGORY = r"^\s*([\w\s&/+\-.]{2,50})\s*[:：]\s*(.+)$"
+ITEM_SPLIT = r"\s*[,;|]\s*|\s{2,}"
+SKILL_NUMBERS = (r"^(19|20)\d{2}$", r"^\d{2,}[\s\-./]*\d*$")
+PHRASE_NUMBERS = (r"^\d+$", r"\d{2}[.\-/]\d{2}", r"\d{2,}\s+\d{2,}")
 PHRASE_CONTACTS = ("http", "https", "www", "gmail", "@", ".com", ".ru", ".kz", "telegram")
 # ---------------------------------------------------------------------------------------
 
@@ -127,7 +132,7 @@ def without_dates(c: Column) -> Column:
     out = F.regexp_replace(c, f"(?iu){DATE}{RANGE_DASH}(?:{DATE}|{PRESENT})", "")
     out = F.regexp_replace(out, f"(?iu){DATE}", "")
     out = F.regexp_replace(F.regexp_replace(out, "(?U)" + RANGE_DASH, " "), r"(?U)\s+", " ")
-    return F.regexp_replace(strip(out), r"^[ \t\-—–:,.]+|[ \t\-—–:,.]+$", "")
+    return F.regexp_replace(strip(out), EDGES, "")
 
 
 # --- organisations, bullets, skills, phrases ---------------------------------------------
@@ -170,7 +175,7 @@ def is_bullet(c: Column) -> Column:
 def skill_payload(line: Column) -> Column:
     """A line without its bullet and without a `Category:` before its items."""
     s = without_bullet(strip(line), SKILL_BULLETS)
-    found = F.regexp_extract(s, r"(?Ud)^\s*([\w\s&/+\-.]{2,50})\s*[:：]\s*(.+)$", 2)
+    found = F.regexp_extract(s, f"(?Ud){CATEGORY}", 2)
     return F.when(found != "", found).otherwise(s)
 
 
@@ -186,7 +191,7 @@ def split_items(c: Column) -> Column:
         return F.struct(depth.alias("depth"), F.concat(acc["out"], F.when(cut, F.lit("\u0001")).otherwise(ch)).alias("out"))
 
     items = F.split(F.aggregate(chars, start, step)["out"], "\u0001")
-    parts = F.flatten(F.transform(items, lambda x: F.when(x.contains("  "), F.split(x, r"(?U)\s*[,;|]\s*|\s{2,}")).otherwise(F.array(x))))
+    parts = F.flatten(F.transform(items, lambda x: F.when(x.contains("  "), F.split(x, f"(?U){ITEM_SPLIT}")).otherwise(F.array(x))))
     kept = F.filter(parts, lambda x: strip(x) != "")
     return F.transform(kept, lambda x: F.regexp_replace(strip(x), r"^\.+|\.+$", ""))
 
@@ -196,7 +201,7 @@ def is_skill_noise(c: Column) -> Column:
     has = F.lit(False)
     for part in SKILL_CONTACTS:
         has = has | low.contains(part)
-    return (n < 2) | (n > 60) | c.rlike(r"(?U)^(19|20)\d{2}$") | c.rlike(r"(?U)^\d{2,}[\s\-./]*\d*$") | low.isin(*SKILL_STOPS) | has
+    return (n < 2) | (n > 60) | c.rlike(f"(?U){SKILL_NUMBERS[0]}") | c.rlike(f"(?U){SKILL_NUMBERS[1]}") | low.isin(*SKILL_STOPS) | has
 
 
 def is_junk_phrase(c: Column) -> Column:
@@ -205,7 +210,9 @@ def is_junk_phrase(c: Column) -> Column:
     has = F.lit(False)
     for part in PHRASE_CONTACTS:
         has = has | low.contains(part)
-    shape = p.rlike(r"(?U)^\d+$") | p.rlike(r"(?U)\d{2}[.\-/]\d{2}") | p.rlike(r"(?U)\d{2,}\s+\d{2,}")
+    shape = F.lit(False)
+    for number in PHRASE_NUMBERS:
+        shape = shape | p.rlike(f"(?U){number}")
     return (F.length(p) <= 2) | shape | low.isin(*PHRASE_VERBS) | has
 
 

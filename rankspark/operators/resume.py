@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 RAW_CHARS, MOST_SKILLS, FEWEST_SKILLS = 600, 30, 3
-_EDGES = r"^[ \t\-—–:,.]+|[ \t\-—–:,.]+$"
 
 
 def _without(text: Column, part: Column) -> Column:
     """``text`` without ``part``, whatever its case, trimmed of separators."""
-    return F.regexp_replace(F.regexp_replace(text, F.concat(F.lit("(?iu)\\Q"), part, F.lit("\\E")), F.lit("")), _EDGES, "")
+    return F.regexp_replace(F.regexp_replace(text, F.concat(F.lit("(?iu)\\Q"), part, F.lit("\\E")), F.lit("")), X.EDGES, "")
 
 
 def _anchored(lines: DataFrame, orgs: DataFrame, section: str, doc: str) -> DataFrame:
@@ -73,7 +72,7 @@ def education(lines: DataFrame, orgs: DataFrame, doc: str = "doc_id") -> DataFra
     at = at.withColumn("inst", F.when(F.col("anchor"), F.coalesce("hit", "pending")))
     left = X.without_dates(F.col("text"))
     left = F.when(F.col("inst").isNotNull(), F.regexp_replace(left, F.concat(F.lit("(?iu)\\Q"), F.col("inst"), F.lit("\\E")), F.lit(""))).otherwise(left)
-    degree = F.nullif(F.regexp_replace(X.strip(F.regexp_replace(left, r"(?U)\s+", " ")), _EDGES, ""), F.lit(""))
+    degree = F.nullif(F.regexp_replace(X.strip(F.regexp_replace(left, r"(?U)\s+", " ")), X.EDGES, ""), F.lit(""))
     at = at.withColumn("degree", F.when(F.col("anchor"), degree))
     return at.where("block > 0").groupBy(doc, "block").agg(
         F.coalesce(F.max("inst"), F.min_by("hit", F.when(~F.col("anchor") & F.col("hit").isNotNull(), F.col("line_no")))).alias("institution"), F.max("degree").alias("degree"), *_ends_and_raw()

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp01
-from . import blocks
+from . import blocks, scratch
 from .ranking import top_k
 
 #: Offline default; pass other lists as a parameter.
@@ -254,10 +254,15 @@ def classifier(found: DataFrame, vocab: DataFrame, labels: DataFrame, c: float =
 
 
 def _sparse(found: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    """(id, features) of the rows that have a term. Parquet holds a vector as the struct that it is
+    written as here, so no row passes through Python."""
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructField, StructType
 
     if "at" not in found.columns:
         found = found.join(F.broadcast(ids), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("x")).select("id", F.col("x.place").alias("at"), F.col("x.w").alias("w"))
-    # Spark has no other way to a sparse vector; it is one call for each document
-    pack = F.udf(lambda at, w: Vectors.sparse(size, at, w), VectorUDT())
-    return found.where(F.size("at") > 0).select("id", pack("at", "w").alias("features"))
+    spark, path = found.sparkSession, scratch.folder(found.sparkSession, "features")
+    sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("at").cast("array<int>").alias("indices"), F.col("w").cast("array<double>").alias("values"))
+    at = found.where(F.size("at") > 0).select("id", sparse.alias("features"))
+    at.write.parquet(path)
+    return spark.read.schema(StructType([at.schema["id"], StructField("features", VectorUDT())])).parquet(path)

@@ -122,7 +122,7 @@ def extract_lines(files: DataFrame, pdf_words=None) -> tuple[DataFrame, DataFram
     ``pdf_words`` is a provider from bytes to (page, text, x0, x1, top, size, fontname,
     page_width) tuples; without one, PDF files fail.
     """
-    from ..operators import layout
+    from ..operators import layout, scratch
 
     def run(batches):
         for batch in batches:
@@ -146,7 +146,10 @@ def extract_lines(files: DataFrame, pdf_words=None) -> tuple[DataFrame, DataFram
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(_PARTS)], [n for n, _ in _PARTS])
 
     names = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.float64(): "double", pa.bool_(): "boolean"}
-    at = files.select("doc_id", "path", "content").mapInArrow(run, ", ".join(f"{n} {names[t]}" for n, t in _PARTS))
+    parts = files.select("doc_id", "path", "content").mapInArrow(run, ", ".join(f"{n} {names[t]}" for n, t in _PARTS))
+    spark, folder = files.sparkSession, scratch.folder(files.sparkSession, "extracted")
+    parts.write.parquet(folder)  # each file is opened once, however many read its lines
+    at = spark.read.schema(parts.schema).parquet(folder)
     lines = at.where("kind = 'line'").select("doc_id", F.col("seq").alias("line_no"), "text", F.col("size").alias("max_font_size"), "is_bold", "top", "col", "page")
     words = at.where("kind = 'word'").select("doc_id", "page", "seq", "text", "x0", "x1", "top", "size", "fontname", "page_width")
     return lines.unionByName(layout.lines(words)), at.where("kind = 'error'").select("doc_id", "path", "error")
