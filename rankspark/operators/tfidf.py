@@ -146,8 +146,10 @@ def _grouped_block(rows):
     """As _sparse_block, with rows of one category and strongest term side by side, and the
     greatest weight of each term in each group of blocks.GROUP rows."""
     rows = rows.combine_chunks()
-    weights = rows.column("w").to_pylist()
-    strongest = [a[max(range(len(w)), key=w.__getitem__)] if w else -1 for a, w in zip(rows.column("at").to_pylist(), weights)]
+    block = next(_sparse_block(rows))
+    first, at, w = np.frombuffer(block[1], "<i8"), np.frombuffer(block[2], "<i4"), np.frombuffer(block[3], "<f8")
+    filled, strongest = np.flatnonzero(np.diff(first)), np.full(len(rows), -1)
+    strongest[filled] = at[np.lexsort((at, -w, np.repeat(np.arange(len(rows)), np.diff(first))))[first[filled]]]
     labels = [rows.column(c).to_pylist() if c in rows.column_names else [None] * len(rows) for c in ("category", "boosts")]
     order = sorted(range(len(rows)), key=lambda i: (labels[0][i] or "", labels[1][i] is False, strongest[i]))
     block = next(_sparse_block(rows.take(order)))
