@@ -128,7 +128,7 @@ def held_out(id_: Column, folds: int = 5) -> Column:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> dict | None:
     """The model, learned from texts and languages of rows that aren't held out."""
     usable = docs.where(F.col(text_col).rlike("\\p{L}") & F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().limit(rows).collect()}  # one row for each language
+    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(rows).collect()}  # the most frequent languages
     if not sizes:
         return None
     share = max(1, rows // len(sizes))

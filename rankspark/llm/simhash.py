@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_ids, bounded_batches
+from .common import bounded_batches, cut, drop_ids, release
 
 SHINGLE = 3
 SEED = 42
@@ -107,17 +107,19 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected ``edges`` (a, b); root: the least node.
 
     Alternates large stars and small stars until nothing changes: a logarithmic number of
-    rounds, each a grouped minimum and a lookup of it, written to the shared folder.
+    rounds, each a grouped minimum and a lookup of it, written to the shared folder. A round's tables
+    are deleted when its links are written.
     """
     edges, before = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links"), None
     while True:
-        both = edges.union(edges.select("b", "a"))
+        last, both = edges, edges.union(edges.select("b", "a"))
         low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "low")
         stars = cut(looked_up(both.where("b > a"), "a", low).select(F.col("m").alias("a"), "b").where("a != b").distinct(), "large-stars")
-        low = cut(stars.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), "low")
-        hung = looked_up(stars, "b", low)
+        nearest = cut(stars.groupBy("b").agg(F.min("a").alias("m"), F.count(F.lit(1)).alias("n")), "low")
+        hung = looked_up(stars, "b", nearest)
         edges = hung.select(F.col("m").alias("a"), "b").union(hung.where("a != m").select("m", "a")).distinct()
         edges = cut(edges, "stars")
+        release(last, low, stars, nearest)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
