@@ -7,15 +7,13 @@ document's of length one. The fitted state is two tables, vocabulary and weights
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp01
-from . import blocks, scratch
+from . import blocks, frequent, scratch
 from .ranking import top_k
 
 #: Offline default; pass other lists as a parameter.
@@ -33,37 +31,15 @@ def words(text: Column, stop_words: tuple = STOP_WORDS) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stop_words)) if stop_words else found
 
 
-#: A task hands on its counts when it holds so many terms.
-HELD_TERMS = 200_000
-
-
-def vocabulary(corpus: DataFrame, text_col: str, min_df: int = 2, max_features: int = 20_000, stop_words: tuple = STOP_WORDS, n_docs: int | None = None) -> DataFrame:
+def vocabulary(corpus: DataFrame, text_col: str, min_df: int = 2, max_features: int = 20_000, stop_words: tuple = STOP_WORDS, n_docs: int | None = None, counts: tuple | None = None) -> DataFrame:
     """(term, df, ctf, idf): terms of min_df documents or more, the most frequent first. The
     result has at most max_features rows, so it may be broadcast. A row is a document.
 
-    Each task counts the terms of its own texts; only these partial counts shuffle.
+    Each task counts the terms of its own texts; only partial counts of terms that may be among
+    the most frequent shuffle (operators.frequent, which has ``counts`` too).
     """
-
-    def run(batches):
-        df, ctf = {}, {}
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64()), pa.array(list(ctf.values()), pa.int64())], ["term", "df", "ctf"])
-
-        for batch in batches:
-            for found in batch.column(0).to_pylist():
-                if found:
-                    for t, n in Counter([*found, *map(" ".join, zip(found, found[1:]))]).items():
-                        df[t] = df.get(t, 0) + 1
-                        ctf[t] = ctf.get(t, 0) + n
-                if len(df) > HELD_TERMS:
-                    yield out()
-                    df, ctf = {}, {}
-        yield out()
-
-    at = blocks.spread(corpus.select(text_col)).select(words(F.col(text_col), stop_words).alias("w")).mapInArrow(run, "term string, df bigint, ctf bigint")
-    at = at.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf")).where(F.col("df") >= min_df)
-    at = at.orderBy(F.desc("ctf"), "term").limit(max_features)
+    found = blocks.spread(corpus.select(text_col)).select(words(F.col(text_col), stop_words).alias("w"))
+    at = frequent.most_frequent(found, max_features, min_df, counts)
     n = corpus.count() if n_docs is None else n_docs
     return at.withColumn("idf", F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0)
 

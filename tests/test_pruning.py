@@ -74,3 +74,38 @@ def test_candidates_without_shared_terms_rank_by_id(spark):
     got = tfidf.best(q, c, 4).orderBy("rank").collect()
     assert [(r.candidate_id, round(r.score, 2)) for r in got] == [(5, 0.1), (3, 0.05), (0, 0.0), (1, 0.0)]
     assert tfidf.best(q, c.where("false"), 4).count() == 0 and tfidf.best(q.where("false"), c, 4).count() == 0
+
+
+@pytest.mark.parametrize("n, min_df", [(1, 1), (12, 2), (40, 3), (5000, 2)])
+def test_most_frequent_terms_equal_a_full_count(spark, n, min_df):
+    from rankspark.operators import frequent
+
+    rng = random.Random(n)
+    rows = [[f"w{int(rng.paretovariate(0.6)) % 900}" for _ in range(rng.randint(0, 30))] for _ in range(600)]
+    df, ctf = {}, {}
+    for r in rows:
+        found = [*r, *map(" ".join, zip(r, r[1:]))]
+        for t in set(found):
+            df[t] = df.get(t, 0) + 1
+        for t in found:
+            ctf[t] = ctf.get(t, 0) + 1
+    expected = sorted((t for t in df if df[t] >= min_df), key=lambda t: (-ctf[t], t))[:n]
+    counts = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+    got = frequent.most_frequent(spark.createDataFrame([(r,) for r in [*rows, None]], "w array<string>").repartition(4), n, min_df, counts).collect()
+    assert sorted((r.term, r.df, r.ctf) for r in got) == sorted((t, df[t], ctf[t]) for t in expected)
+    assert counts[0].value > 0 and (n == 5000 or counts[1].value < 0.3 * counts[0].value)
+
+
+def test_most_frequent_terms_of_nothing(spark):
+    from rankspark.operators import frequent
+
+    for rows in ([], [(None,), ([],)]):
+        assert frequent.most_frequent(spark.createDataFrame(rows, "w array<string>"), 3).count() == 0
+
+
+def test_sketch_places_are_fixed():
+    from rankspark.operators import frequent
+
+    at = frequent.places(["a", "слово дом", ""], frequent.width(20_000))
+    assert at.shape == (frequent.DEPTH, 3) and at.max() < frequent.width(20_000) == 1 << 20
+    assert (at == frequent.places(["a", "слово дом", ""], 1 << 20)).all() and frequent.width(10**9) == frequent.MOST_CELLS
