@@ -22,6 +22,7 @@ class Settings:
     ingest_retries: int = 2
     ingest_wait_s: float = 60.0
     listed_ids: int = 100
+    buckets: int = 64
     scorer_retries: int = 3
     scorer_concurrent: int = 5
     scorer_tasks: int = 4

@@ -2,19 +2,25 @@
 
 A version is a folder next to the older ones, so a reader never sees half a table and a path
 is never overwritten while it is read. ``write`` makes a whole table (v-...); ``append`` writes
-the new rows alone (a-...), to be read with the versions before it back to the last whole one.
+the new rows alone (a-...), to be read with the versions before it back to the last whole one;
+``change`` writes those partitions whose rows change (c-...), in place of the older ones of their name.
+Versions are partitioned by a hash of the key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, strip
 from .scratch import folder
 
-#: Appended versions until a table is made whole again.
+#: Appended and changed versions until a table is made whole again.
 MOST_PARTS = 100
+#: Partitions of a table.
+BUCKETS = 64
 
 
 def new_rows(incoming: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
@@ -92,41 +98,76 @@ def backfill_hashes(existing: DataFrame, files: DataFrame) -> DataFrame:
 
 class Table:
     """A table of numbered versions under one path, for one writer at a time. The current
-    version is the last one whose write was committed."""
+    version is the last one whose write was committed.
+
+    buckets: partitions by a hash of the key, a null key's too. A table that was written with another number, or
+    before there were any, is read as well; its first change writes it whole.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema, key: str = "id", buckets: int = BUCKETS):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+        # a table without the column is keyed by its first one
+        self.key = key if key in schema.names else schema.names[0]
+        self._column = f"bucket_of_{buckets}"
 
     def _fs(self, name: str = ""):
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
+    def _names(self, name: str = "") -> list[str]:
+        fs, at = self._fs(name)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
     def _versions(self) -> dict[int, str]:
         """Committed versions and their folders."""
-        fs, at = self._fs()
-        if not fs.exists(at):
-            return {}
-        names = [f.getPath().getName() for f in fs.listStatus(at)]
-        return {int(n[2:]): n for n in sorted(names) if n[:2] in ("v-", "a-") and fs.exists(self._fs(f"{n}/_SUCCESS")[1])}
+        return {int(n[2:]): n for n in self._names() if n[:2] in ("v-", "a-", "c-") and "_SUCCESS" in self._names(n)}
 
     def version(self) -> int | None:
         return max(self._versions(), default=None)
 
     def _parts(self, now: int | None) -> list[str]:
-        """Folders that make up a version."""
+        """Folders that make up a version, oldest first."""
         held = {k: n for k, n in self._versions().items() if now is not None and k <= now}
         whole = max((k for k, n in held.items() if n.startswith("v-")), default=0)
-        return [f"{self.path}/{n}" for k, n in sorted(held.items()) if k >= whole]
+        return [n for k, n in sorted(held.items()) if k >= whole]
+
+    def _partitions(self, now: int | None) -> dict[str, list[str]]:
+        """Each partition's folders in a version."""
+        out = {}
+        for part in self._parts(now):
+            for name in self._names(part):
+                if name[0] not in "_.":
+                    out[name] = [*(out.get(name, []) if part[0] != "c" else []), f"{part}/{name}"]
+        return out
+
+    def _scan(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        # the partitions' column isn't read: it can't clash, and folders of several versions go together
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(*[f"{self.path}/{n}" for n in folders])
 
     def read(self, version: int | None = None) -> DataFrame:
-        parts = self._parts(self.version() if version is None else version)
-        return self.spark.read.schema(self.schema).parquet(*parts) if parts else self.spark.createDataFrame([], self.schema)
+        now = self.version() if version is None else version
+        parts = self._parts(now)
+        if any(n.startswith("c-") for n in parts):
+            parts = [f for folders in self._partitions(now).values() for f in folders]
+        return self._scan(parts)
 
-    def _save(self, df: DataFrame, kind: str) -> int:
-        columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col(f"`{self.key}`").cast(self.schema[self.key].dataType)), F.lit(self.buckets)).cast("int")
+
+    def _save(self, df: DataFrame, kind: str, touched: tuple = ()) -> int:
+        columns = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
         now = self.version()
         new = 0 if now is None else now + 1
-        df.select(*columns).write.mode("overwrite").parquet(f"{self.path}/{kind}-{new:09d}")  # overwrites what a failed write left
+        folder = f"{kind}-{new:09d}"
+        fs, at = self._fs(folder)
+        fs.delete(at, True)  # what a failed write left
+        for name in touched:  # those that lose all their rows are there too, empty
+            fs.mkdirs(self._fs(f"{folder}/{name}")[1])
+        # one task writes a small partition, several a large one
+        rows = df.select(*columns).withColumn(self._column, self._bucket()).hint("rebalance", self._column)
+        rows.write.mode("append").partitionBy(self._column).parquet(f"{self.path}/{folder}")
         return new
 
     def write(self, df: DataFrame) -> int:
@@ -135,8 +176,30 @@ class Table:
 
     def append(self, df: DataFrame) -> int:
         """A version of the rows there are and these. Old rows aren't written again, but for
-        one append in MOST_PARTS, which makes the table whole so that readers list few folders."""
+        one append or change in MOST_PARTS, which makes the table whole so that readers list few folders."""
         now = self.version()
         if len(self._parts(now)) < MOST_PARTS:
             return self._save(df, "a")
         return self.write(self.read(now).unionByName(df, allowMissingColumns=True))
+
+    def change(self, keys: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int | None:
+        """A version where ``make`` has turned the rows of the partitions of ``keys`` (a column named as the table's
+        key) into other ones, whose keys are in those partitions too: rows that it adds or takes
+        away, or changes, have their keys in ``keys``. Other partitions' files stay as they are. No key, no new version."""
+        now = self.version()
+        parts = self._parts(now)
+        # at most ``buckets`` rows
+        touched = tuple(sorted(f"{self._column}={r[0]}" for r in keys.select(self._bucket()).distinct().collect()))
+        if not touched:
+            return now
+        held = self._partitions(now)
+        if len(parts) >= MOST_PARTS or any(not n.startswith(f"{self._column}=") for n in held):
+            return self.write(make(self.read(now)))
+        return self._save(make(self._scan([f for n in touched for f in held.get(n, [])])), "c", touched)
+
+
+def replace(table: Table, current: DataFrame, rows: DataFrame, by: str) -> int | None:
+    """A version of ``table`` where ``rows``, with keys of their own, take the place of the rows of ``current``
+    with the same ``by``."""
+    gone = known_rows(current, rows, by).select(table.key)
+    return table.change(gone.unionByName(rows.select(table.key)), lambda at: delete(at, rows, by).unionByName(rows, allowMissingColumns=True))

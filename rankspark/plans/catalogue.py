@@ -455,6 +455,21 @@ def partial_update(spark, d):
     return store.update_candidates(at, change, "name")
 
 
+@query(f"""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 1 THEN 'new ' || s_suppkey ELSE s_name END AS name, s_acctbal AS balance FROM supplier WHERE s_suppkey % 7 != 0
+UNION ALL SELECT * FROM ({_NEW}) WHERE id NOT IN (SELECT s_suppkey FROM supplier)""")
+def table_changes(spark, d):
+    """A stored table after an append, updates and deletions that rewrite the partitions of their keys alone."""
+    old, new = _sides(spark, d)
+    table = store.Table(spark, scratch.folder(spark, "changes"), old.schema)
+    table.write(old)
+    table.append(store.new_rows(new, old, "id"))
+    change = old.where("id % 5 = 1").select("id", F.concat(F.lit("new "), "id").alias("name"))
+    table.change(change, lambda at: store.update_candidates(at, change, "name"))
+    gone = old.where("id % 7 = 0").select("id")
+    table.change(gone, lambda at: store.delete(at, gone, "id"))
+    return table.read()
+
+
 @query("SELECT *, (row_number() OVER (ORDER BY p_partkey) + (SELECT max(s_suppkey) FROM supplier))::BIGINT AS id FROM (SELECT p_partkey, p_name FROM part)")
 def assign_ids(spark, d):
     at = _t(spark, d, "part").select("p_partkey", "p_name")

@@ -46,8 +46,8 @@ class Engine:
         s = self.settings
         # a plain function from (system, prompt) to an answer gets the settings' limits
         self.scorer = scoring.Scorer(scorer, concurrent=s.scorer_concurrent, tasks=s.scorer_tasks, timeout_s=s.scorer_timeout_s, retries=s.scorer_retries) if callable(scorer) else scorer
-        self.vacancies = store.Table(spark, f"{self.root}/vacancies", schemas.VACANCIES)
-        self.candidates = store.Table(spark, f"{self.root}/candidates", schemas.CANDIDATES)
+        self.vacancies = store.Table(spark, f"{self.root}/vacancies", schemas.VACANCIES, buckets=s.buckets)
+        self.candidates = store.Table(spark, f"{self.root}/candidates", schemas.CANDIDATES, buckets=s.buckets)
         self._query, self._fitted, self._log = None, {}, None
 
     def health(self) -> dict:
@@ -84,13 +84,13 @@ class Engine:
         if files.by_id(current, id_).isEmpty():
             raise VacancyNotFound(id_)
         change = self.spark.createDataFrame([(id_, title, description, experience)], "id long, title string, description string, experience string")
-        self.vacancies.write(store.update_vacancies(current, change, self._vacancy_embedding()))
+        self.vacancies.change(change, lambda at: store.update_vacancies(at, change, self._vacancy_embedding()))
 
     def delete_vacancy(self, id_: int) -> None:
-        current = self.vacancies.read()
-        if files.by_id(current, id_).isEmpty():
+        row = files.by_id(self.vacancies.read(), id_)
+        if row.isEmpty():
             raise VacancyNotFound(id_)
-        self.vacancies.write(current.where(F.col("id") != id_))
+        self.vacancies.change(row, lambda at: at.where(F.col("id") != id_))
 
     def import_vacancies(self, path: str, force: bool = False) -> dict:
         """Adds the vacancies of a directory of JSON files; with ``force``, they replace those
@@ -102,13 +102,13 @@ class Engine:
         n, total = new.count(), good.count() + bad.count()
         rows = store.with_ids(rows, current, "source_filename")
         if force:
-            self.vacancies.write(store.delete(current, good, "source_filename").unionByName(rows, allowMissingColumns=True))
+            store.replace(self.vacancies, current, rows, "source_filename")
         else:
             self.vacancies.append(rows)
         return {"imported": n, "skipped": total - n}
 
     def embed_vacancies(self) -> None:
-        self.vacancies.write(store.backfill_embeddings(self.vacancies.read(), self._vacancy_embedding()))
+        self.vacancies.change(self.vacancies.read().where("embedding is null"), lambda at: store.backfill_embeddings(at, self._vacancy_embedding()))
 
     # --- candidates --------------------------------------------------------------------
 
@@ -127,7 +127,7 @@ class Engine:
         if files.by_id(current, id_).isEmpty():
             raise LookupError(id_)
         change = self.spark.createDataFrame([(id_, name, email)], "id long, name string, email string")
-        self.candidates.write(store.update_candidates(current, change, "name", "email"))
+        self.candidates.change(change, lambda at: store.update_candidates(at, change, "name", "email"))
 
     def upload(self, filename: str, content: bytes) -> int:
         """Parses and adds one file; its id. ValueError for a file that is refused or can't
@@ -157,13 +157,14 @@ class Engine:
         row = files.by_id(current, id_).first()
         if row is None:
             raise LookupError(id_)
-        self.candidates.write(current.where(F.col("id") != id_))
+        self.candidates.change(files.by_id(current, id_), lambda at: at.where(F.col("id") != id_))
         if files_under and row["source_file"].startswith(files_under.rstrip("/") + "/"):
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(row["source_file"])
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, False)
 
     def backfill_hashes(self, folder: str) -> None:
-        self.candidates.write(store.backfill_hashes(self.candidates.read(), files.discover(self.spark, folder)))
+        found = files.discover(self.spark, folder)
+        self.candidates.change(self.candidates.read().where("content_hash is null"), lambda at: store.backfill_hashes(at, found))
 
     def by_email(self) -> DataFrame:
         """(email, n, ids): how many candidates have an address, and the settings' listed_ids first of

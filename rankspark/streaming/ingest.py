@@ -58,7 +58,7 @@ def ingest_batch(batch: DataFrame, table: store.Table, parse: Callable[[DataFram
             if named:
                 rows = rows.withColumn("source_file", final_name(F.col("id"), sanitize_filename(F.col("source_file"))))
             if replace:
-                table.write(store.delete(current, rows, "source_file").unionByName(rows, allowMissingColumns=True))
+                store.replace(table, current, rows, "source_file")
             else:
                 table.append(rows)
         return total

@@ -553,6 +553,66 @@ def test_appended_versions(spark, tmp_path, monkeypatch):
     assert ids() == [3, 4, 5] and (tmp_path / "t" / "v-000000004").exists()
 
 
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_a_change_rewrites_its_partitions_alone(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, name string, email string").schema
+    t = store.Table(spark, f"file://{tmp_path}/t", schema, buckets=8)
+    t.write(spark.createDataFrame([(i, f"n{i}", None) for i in range(200)] + [(None, "none", None)], schema))
+    t.append(spark.createDataFrame([(200, "n200", None)], schema))
+    before = files_of(tmp_path / "t")
+    change = spark.createDataFrame([(7, "seven")], "id int, name string")  # an int finds a long's partition
+    assert t.change(change, lambda at: store.update_candidates(at, change, "name")) == 2
+    after = files_of(tmp_path / "t")
+    assert before.items() <= after.items()
+    assert len({f.rsplit("/", 2)[1] for f in after.keys() - before.keys()}) == 1
+    rows = {r.id: r.name for r in t.read().collect()}
+    assert rows == {**{i: f"n{i}" for i in range(201)}, None: "none", 7: "seven"}
+    assert {r.id: r.name for r in t.read(1).collect()}[7] == "n7"  # the version before is as it was
+    assert t.change(change.where("false"), lambda at: at) == 2  # nothing to do
+    t.append(spark.createDataFrame([(7, "twice", None)], schema))
+    assert t.read().where("id = 7").count() == 2
+
+
+def test_partitions_that_lose_all_rows_and_other_partitionings(spark, tmp_path):
+    schema = spark.createDataFrame([], "id long, name string").schema
+    t = store.Table(spark, f"file://{tmp_path}/t", schema, buckets=16)
+    t.write(spark.createDataFrame([(1, "a"), (2, "b")], schema))
+    gone = spark.createDataFrame([(1,)], "id long")
+    t.change(gone, lambda at: store.delete(at, gone, "id"))
+    assert [tuple(r) for r in t.read().collect()] == [(2, "b")]
+    other = store.Table(spark, f"file://{tmp_path}/t", schema, buckets=4)
+    gone = spark.createDataFrame([(2,)], "id long")
+    other.append(spark.createDataFrame([(3, "c")], schema))
+    other.change(gone, lambda at: store.delete(at, gone, "id"))  # written whole, by the new number
+    assert [tuple(r) for r in other.read().collect()] == [(3, "c")] and (tmp_path / "t" / "v-000000003").exists()
+    spark.createDataFrame([(4, "d")], schema).write.parquet(f"file://{tmp_path}/plain/v-000000000")  # before there were partitions
+    plain = store.Table(spark, f"file://{tmp_path}/plain", schema)
+    assert plain.read().count() == 1
+    plain.change(spark.createDataFrame([(5,)], "id long"), lambda at: at.unionByName(spark.createDataFrame([(5, "e")], schema)))
+    assert sorted(map(tuple, plain.read().collect())) == [(4, "d"), (5, "e")]
+    store.replace(plain, plain.read(), spark.createDataFrame([(6, "e")], schema), "name")
+    assert sorted(map(tuple, plain.read().collect())) == [(4, "d"), (6, "e")]
+
+
+def test_changes_equal_a_dictionary(spark, tmp_path):
+    rng = random.Random(5)
+    schema = spark.createDataFrame([], "id long, name string").schema
+    t, held = store.Table(spark, f"file://{tmp_path}/t", schema, buckets=4), {}
+    for step in range(8):
+        ids = rng.sample(range(12), 3)
+        rows = spark.createDataFrame([(i, f"{step}-{i}") for i in ids], schema)
+        if step % 3 == 2:
+            t.change(rows, lambda at, rows=rows: store.delete(at, rows, "id"))
+            held = {i: n for i, n in held.items() if i not in ids}
+        else:
+            t.change(rows, lambda at, rows=rows: store.upsert(at, rows, "id", force=True))
+            held.update({i: f"{step}-{i}" for i in ids})
+        assert {r.id: r.name for r in t.read().collect()} == held
+
+
 def test_command_line(spark, tmp_path, monkeypatch, capsys):
     """Settings, gazetteer and PDF words reach the engine; mail and landed files reach its parser."""
     from rankspark import __main__ as cli
