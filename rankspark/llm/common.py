@@ -43,8 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and return a scan of it.
+def cut(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder, in a folder for each value of the
+    columns ``by``, and return a scan of it.
 
     The table survives lost executors, and its rows stay the same however often they
     are read. It is deleted when the driver's process ends.
@@ -52,7 +53,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rankspark/{name}-{uuid.uuid4().hex}"
     atexit.register(_delete, spark, path)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
@@ -233,6 +235,33 @@ def repeat_filter(df: DataFrame, key: Column, blocks: int) -> DataFrame:
     return marked.repartition("__fblock").sortWithinPartitions("__fblock").mapInArrow(merge, "__fblock int, __bits binary")
 
 
+def maybe_repeated(table: DataFrame, key: Column, most_bits: int = MAX_FILTER_BITS, bits_per_row: int = 32) -> DataFrame:
+    """Adds __maybe to a written table: false only where no other row has the key.
+
+    Where all rows' filter would outgrow ``most_bits``, the table is dealt to passes by another hash of the
+    key, each with a filter of its own for its rows, built, broadcast and written before the next: however many
+    rows there are, a filter keeps its bits a row, and rows that occur once pass. Equal keys share a pass.
+    """
+    rows = table.count()
+    passes = max(1, -(-rows * bits_per_row // most_bits))
+
+    def tested(part: DataFrame) -> DataFrame:
+        blocks = filter_blocks(-(-rows // passes), bits_per_row)
+        return maybe_in(part, key, repeat_filter(part, key, blocks), blocks)
+
+    if passes == 1:
+        return tested(table)
+    dealt = cut(table.withColumn("__pass", F.pmod(F.xxhash64(key, F.lit(2)), F.lit(passes)).cast("int")), "passes", "__pass")
+    spark, path = table.sparkSession, f"{shared_dir(table.sparkSession)}/rankspark/tested-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    out = None
+    for i in range(passes):
+        out = tested(dealt.where(F.col("__pass") == i).drop("__pass"))
+        out.write.option("compression", "zstd").parquet(f"{path}/pass={i}")
+    release(dealt)
+    return spark.read.schema(out.schema).parquet(path).drop("pass")
+
+
 def _filter_rows(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["__fblock", "__bits"])
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, filter_blocks, maybe_in, membership_filter, repeat_filter, whole
+from .common import MAX_FILTER_BITS, SPACE, cut, filter_blocks, maybe_in, maybe_repeated, membership_filter, repeat_filter, whole
 
 
 def normalised_sha(text: Column) -> Column:
@@ -24,15 +24,15 @@ def normalised_sha(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " "), 256)
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_bits: int = MAX_FILTER_BITS) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256.
 
     The digests (id and hash, no text) are written once, so that both passes see the same
-    rows and read the texts once.
+    rows and read the texts once. most_bits: of a filter; more rows than it holds take more
+    filters, one after the other.
     """
     digest = cut(docs.select(F.col(id_col).alias("id"), normalised_sha(F.col(text_col)).alias("text_sha256"), F.monotonically_increasing_id().alias("uid")), "digests")
-    blocks = filter_blocks(digest.count())
-    tested = maybe_in(digest, F.col("text_sha256"), repeat_filter(digest, F.col("text_sha256"), blocks), blocks)
+    tested = maybe_repeated(digest, F.col("text_sha256"), most_bits)
     alone = tested.where("not __maybe").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     doubt = tested.where("__maybe").drop("__maybe")
     # written, so that both sides of the join are exchanges and a hot group's rows are split

@@ -100,6 +100,27 @@ def test_duplicate_groups(docs, rows):
     assert sorted(kept, key=str) == sorted([(first[t], hashlib.sha256(t.encode()).hexdigest()) for t in groups], key=str)
 
 
+def test_small_filters_take_passes_and_pass_as_many_rows(spark, docs):
+    """A filter of 32768 bits holds 1024 rows: more rows make more filters, and as few rows that occur once shuffle."""
+    base = docs.sparkSession.range(12000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    table = common.cut(base.union(base.where("id % 120 = 0")).union(base.where("id = 7").crossJoin(spark.range(500).select(F.lit(0).alias("x"))).select("id", "k")), "passes-test")
+    shares = {}
+    for bits in (1 << 15, common.MAX_FILTER_BITS):
+        tested = common.maybe_repeated(table, F.col("k"), bits)
+        assert tested.columns == ["id", "k", "__maybe"] and tested.count() == 12600
+        doubt = tested.where("__maybe").groupBy("k").count()
+        assert doubt.where("count > 1").count() == 101  # no repeated row passes
+        shares[bits] = tested.where("__maybe").count()
+    assert all(701 <= n <= 711 for n in shares.values())  # 701 rows do repeat
+    one_filter = common.filter_blocks(1024)
+    full = common.maybe_in(table, F.col("k"), common.repeat_filter(table, F.col("k"), one_filter), one_filter)
+    assert full.where("__maybe").count() > 701 + 300  # one filter of that size for all rows
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    small, large = (sorted(collect(exact_dedup.duplicate_groups(docs, most_bits=b), *columns), key=str) for b in (1 << 10, common.MAX_FILTER_BITS))
+    # of rows that tie on the id too, any may be the one that stays
+    assert [x[:3] + x[4:] for x in small] == [x[:3] + x[4:] for x in large] and sum(x[3] for x in small) == sum(x[3] for x in large)
+
+
 def test_drop_exact_duplicates(docs, rows):
     out = exact_dedup.drop_exact_duplicates(docs)
     assert out.columns == docs.columns
