@@ -256,14 +256,20 @@ def excerpt(c: Column, most: int = 3000) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("… [truncated]"))).otherwise(c)
 
 
+def fixed(c: Column, places: int) -> Column:
+    """A number with so many digits after the point, as C's printf writes it: rounded from the double's exact
+    value, half to even. format_string() rounds its shortest decimal form, half up (0.2985 is a double below it)."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * places))
+
+
 def score_bar(c: Column) -> Column:
     n = F.greatest(F.lit(0), F.least(F.lit(5), F.bround(c * 5).cast("int")))
-    return F.concat(F.repeat(F.lit("●"), n), F.repeat(F.lit("○"), F.lit(5) - n), F.format_string("  %.2f", c))
+    return F.concat(F.repeat(F.lit("●"), n), F.repeat(F.lit("○"), F.lit(5) - n), F.lit("  "), fixed(c, 2))
 
 
 def match_line(rank: Column, score: Column, name: Column, mail: Column, source: Column) -> Column:
     who = F.coalesce(name, F.lit("?"))
-    return F.format_string("  %d. (%.3f) %s <%s>  %s", rank.cast("int"), score, who, F.coalesce(mail, F.lit("?")), basename(source))
+    return F.format_string("  %d. (%s) %s <%s>  %s", rank.cast("int"), fixed(score, 3), who, F.coalesce(mail, F.lit("?")), basename(source))
 
 
 def vacancy_text(title: Column, description: Column) -> Column:

@@ -118,6 +118,15 @@ def test_labels_and_formats(ev):
     assert ev(X.vacancy_text, "", "d") == "d" and ev(X.vacancy_text, "t", "d") == "t\n\nd"
 
 
+def test_numbers_are_rounded_from_their_exact_value(spark):
+    """As C's printf does: 0.2985 and 0.9325 are doubles below the half, 0.0625 is one exactly."""
+    rows = [(x,) for x in (0.2985, 0.9325, 0.1245, 0.0625, 0.1875, 1234567.1255, -0.0001, 0.3)]
+    got = spark.createDataFrame(rows, "x double").select("x", X.match_line(F.lit(1), F.col("x"), F.lit("n"), F.lit("m"), F.lit("a/b")).alias("line")).collect()
+    assert [r.line for r in got] == ["  1. (%.3f) n <m>  b" % r.x for r in got]
+    bar = spark.createDataFrame([(0.145,), (0.125,), (0.285,)], "x double").select("x", X.score_bar(F.col("x")).alias("bar")).collect()
+    assert [r.bar.split("  ")[1] for r in bar] == ["%.2f" % r.x for r in bar]
+
+
 @pytest.mark.parametrize(
     "answer, expected",
     [
