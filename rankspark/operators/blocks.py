@@ -5,16 +5,19 @@ meets each block of candidates. A block of candidates is ordered into groups of
 what bounds its scores. A task keeps the k best so far of the queries it has met: it takes a
 block's groups from the highest bound down, and leaves out those whose bound is below the k-th best
 score of every query. Only the k best of a task leave it, and what is left out could not be among
-them, so the result is exact. A single block of queries is broadcast (its size is bounded); of more,
-Spark takes blocks against blocks, so that neither side passes through the driver.
+them, so the result is exact. A bounded number of queries is broadcast, and a task holds one block of
+its candidates; of more, Spark takes blocks against blocks, so that neither side passes through the driver.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -75,11 +78,29 @@ def visit(best: Best, groups: list[np.ndarray], bound: np.ndarray, score: Callab
     return met
 
 
+#: Bytes of files whose rows a task gets from spread(): a task's time doesn't grow with the table.
+TASK_BYTES = 4 << 20
+
+
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly to the cores where they come from fewer than two files a core: a small
-    table, whose files may hold all rows in one group that can't be split. Nothing runs for this."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < 2 * cores else rows
+    """``rows`` dealt evenly where they come from few files, whose rows may lie in one group that can't be
+    split: to the cores, or to more tasks where the files are large. Only the files' lengths are read for this."""
+    spark, files = rows.sparkSession, rows.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    paths = [re.sub(r"([][{}*?\\])", r"\\\1", unquote(f)) for f in files]
+    size = spark.read.format("binaryFile").load(paths).agg(F.sum("length")).first()[0] if files else 0
+    tasks = max(cores, -(-(size or 0) // TASK_BYTES))
+    return rows.repartition(tasks) if len(files) < max(2 * cores, tasks) else rows
+
+
+def pieces(batch: pa.RecordBatch, column: int, at_most: int):
+    """Rows of an Arrow batch in parts whose lists in the column have at_most elements in all, or one row."""
+    size = pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, i = np.cumsum(size), 0
+    while i < len(batch):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + at_most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
 
 
 def packed(rows: DataFrame, pack: Callable, columns: str, at_most: int, gather: bool = False) -> DataFrame:
@@ -88,50 +109,65 @@ def packed(rows: DataFrame, pack: Callable, columns: str, at_most: int, gather:
     if gather:
         rows = rows.repartition(max(1, -(-rows.count() // at_most)))
 
-    def run(batches):
-        held, n = [], 0
-        for batch in batches:
-            for i in range(0, len(batch), at_most):
-                part = batch.slice(i, at_most)
-                if n + len(part) > at_most:
-                    yield from out(held)
-                    held, n = [], 0
-                held.append(part)
-                n += len(part)
-        yield from out(held)
-
     arrow = to_arrow_schema(StructType.fromDDL(columns))
 
-    def out(held):
-        for values in pack(pa.Table.from_batches(held)) if held else ():
+    def run(batches):
+        for values in _blocks(batches, pack, at_most):
             yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, values))], arrow)
 
     return rows.mapInArrow(run, columns)
 
 
-def pairs(queries: DataFrame, candidates: DataFrame, one: bool, meet: Callable, k: int, counts: tuple | None = None) -> DataFrame:
-    """(query_id, candidate_id, score) of the k best of each task. ``meet`` makes of a block of each
-    (dicts) the query ids and what visit() takes, or None. one: whether there is a single
-    block of queries. counts: two accumulators, of all pairs of a query and a group, and of those scored."""
-    q, c = (df.select(F.struct(*df.columns).alias(n)) for df, n in ((queries, "q"), (candidates, "c")))
-    met = c.crossJoin(F.broadcast(q) if one else q)
-
-    def run(batches):
+def _blocks(batches, pack: Callable, at_most: int):
+    held, n = [], 0
+    for batch in batches:
+        for i in range(0, len(batch), at_most):
+            part = batch.slice(i, at_most)
+            if n + len(part) > at_most:
+                yield from pack(pa.Table.from_batches(held))
+                held, n = [], 0
+            held.append(part)
+            n += len(part)
+    if held:
+        yield from pack(pa.Table.from_batches(held))
+
+
+def pairs(queries: DataFrame, candidates: DataFrame, pack: Callable, columns: str, at_most: int, few: bool, meet: Callable, k: int, counts: tuple | None = None) -> DataFrame:
+    """(query_id, candidate_id, score) of the k best of each task. queries: blocks, as packed() has them;
+    candidates: rows, which ``pack`` turns into blocks of ``columns``. ``meet`` makes of a block of each
+    (dicts) the query ids and what visit() takes, or None. few: whether all blocks of queries go to every
+    task, which then makes one block of its candidates at a time and keeps none; blocks of more queries
+    meet blocks in a join. counts: two accumulators, of all pairs of a query and a group, and of those scored."""
+    kinds = "query_id bigint, candidate_id bigint, score double"
+
+    def best_of(met):
         held: dict = {}
-        for batch in batches:
-            for i in range(len(batch)):
-                row = batch.slice(i, 1).to_pylist()[0]
-                got = meet(row["q"], row["c"])
-                if got is None or not got[2].size:
-                    continue
-                asked, groups, bound, score = got
-                best = held.setdefault(asked.tobytes(), (asked, Best(len(asked), k)))[1]
-                scored = visit(best, groups, bound, score)
-                if counts:
-                    counts[0].add(bound.size)
-                    counts[1].add(scored)
+        for q, c in met:
+            got = meet(q, c)
+            if got is None or not got[2].size:
+                continue
+            asked, groups, bound, score = got
+            best = held.setdefault(asked.tobytes(), (asked, Best(len(asked), k)))[1]
+            scored = visit(best, groups, bound, score)
+            if counts:
+                counts[0].add(bound.size)
+                counts[1].add(scored)
         for asked, best in held.values():
             at, place = np.nonzero(best.key > _NONE)
             yield pa.RecordBatch.from_arrays([pa.array(asked[at], pa.int64()), pa.array(best.ids[at, place], pa.int64()), pa.array(best.score[at, place], pa.float64())], ["query_id", "candidate_id", "score"])
 
-    return met.mapInArrow(run, "query_id bigint, candidate_id bigint, score double")
+    if few:
+        names = [f.name for f in StructType.fromDDL(columns).fields]
+        shared = queries.sparkSession.sparkContext.broadcast([r.asDict() for r in queries.collect()])
+
+        def run(batches):
+            yield from best_of((q, c) for values in _blocks(batches, pack, at_most) for c in [dict(zip(names, values))] for q in shared.value)
+
+        return candidates.mapInArrow(run, kinds)
+    q, c = (df.select(F.struct(*df.columns).alias(n)) for df, n in ((queries, "q"), (packed(candidates, pack, columns, at_most), "c")))
+
+    def run_joined(batches):
+        rows = (batch.slice(i, 1).to_pylist()[0] for batch in batches for i in range(len(batch)))
+        yield from best_of((row["q"], row["c"]) for row in rows)
+
+    return c.crossJoin(q).mapInArrow(run_joined, kinds)

@@ -46,8 +46,7 @@ def semantic(queries: DataFrame, candidates: DataFrame, k: int, counts: tuple |
     kept = candidates.where("embedding is not null").select(F.col("candidate_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     one = asked.count() <= QUERY_BLOCK
     q = blocks.packed(asked, _unit, "ids binary, width int, unit binary", QUERY_BLOCK, gather=True)
-    c = blocks.packed(kept, _clustered, "ids binary, width int, unit binary, first binary, centre binary, reach binary", CANDIDATE_BLOCK)
-    found = blocks.pairs(q, c, one, _cosines, k, counts)
+    found = blocks.pairs(q, kept, _clustered, "ids binary, width int, unit binary, first binary, centre binary, reach binary", CANDIDATE_BLOCK, one, _cosines, k, counts)
     return top_k(found, k, F.desc(F.round("score", 9)), F.col("candidate_id")).withColumn("score", clamp01(F.col("score"))).select("query_id", "candidate_id", "rank", "score")
 
 

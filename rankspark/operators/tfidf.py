@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,23 +50,37 @@ def vectors(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, stop_
     weights, of length one. The rows stay where they are. The vocabulary goes to every task:
     it has max_features rows at most. A row without a term has empty arrays."""
     listed = sorted((r["term"], r["idf"]) for r in vocab.select("term", "idf").collect())
-    place, idf = {t: i for i, (t, _) in enumerate(listed)}, np.array([x for _, x in listed])
+    idf = np.array([x for _, x in listed])
+    parts = [t.split(" ") for t, _ in listed]
+    known = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+    names, one = pa.array(list(known), pa.string()), np.full(len(known) + 1, -1)
+    one[[known[p[0]] for p in parts if len(p) == 1]] = [i for i, p in enumerate(parts) if len(p) == 1]
+    two = sorted((known[p[0]] * len(known) + known[p[1]], i) for i, p in enumerate(parts) if len(p) == 2)
+    pair, pair_place = (np.array([x[j] for x in two] + [-1], np.int64) for j in (0, 1))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
+    def terms(found):
+        """Rows of a column of words, terms' places in order for each row, and how often it has them."""
+        size = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+        own = pc.fill_null(pc.index_in(found.flatten().cast(pa.string()), value_set=names), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        near = np.flatnonzero((row[:-1] == row[1:]) & (own[:-1] >= 0) & (own[1:] >= 0))
+        key = own[near] * len(names) + own[near + 1]
+        at = np.searchsorted(pair[:-1], key)
+        at = np.where(pair[at] == key, pair_place[at], -1)
+        at, row = np.concatenate([one[own], at]), np.concatenate([row, row[near]])
+        key, n = np.unique((row * len(idf) + at)[at >= 0], return_counts=True)
+        return key // max(1, len(idf)), key % max(1, len(idf)), n
+
     def run(batches):
         for batch in batches:
-            at, w = [], []
-            for found in batch.column(batch.num_columns - 1).to_pylist():
-                found, n = found or [], {}
-                for t in [*found, *map(" ".join, zip(found, found[1:]))]:
-                    i = place.get(t)
-                    if i is not None:
-                        n[i] = n.get(i, 0) + 1
-                own = np.fromiter(sorted(n), np.int64, len(n))
-                x = (np.log(np.array([n[i] for i in own.tolist()], float)) + 1.0) * idf[own] if n else np.zeros(0)
-                at.append(own)
-                w.append(x / np.sqrt((x * x).sum()) if n else x)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(at, pa.list_(pa.int32())), pa.array(w, pa.list_(pa.float64()))], [*batch.schema.names[:-1], "at", "w"])
+            for part in blocks.pieces(batch, batch.num_columns - 1, HELD_WORDS):
+                row, at, n = terms(part.column(part.num_columns - 1))
+                x = (np.log(n.astype(float)) + 1.0) * idf[at]
+                w = x / np.sqrt(np.bincount(row, x * x, len(part)))[row]
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(part)))]), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((at, pa.int32()), (w, pa.float64())))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *lists], [*part.schema.names[:-1], "at", "w"])
 
     rows = blocks.spread(docs.select(id_col, *carry, text_col)).select(F.col(id_col).alias("id"), *carry, words(F.col(text_col), stop_words).alias("words"))
     carried = "".join(f", `{c}` {kinds[c]}" for c in carry)
@@ -87,6 +102,10 @@ def fit(corpus: DataFrame, id_col: str, text_col: str, stop_words: tuple = STOP_
 
 #: Rows in a block: a block of queries is spread out as a matrix, 128 times 20000 weights are 20 MB.
 QUERY_BLOCK, CANDIDATE_BLOCK = 128, 4096
+#: Queries whose blocks go to every task; each is some hundred bytes.
+MOST_ASKED = 64 * QUERY_BLOCK
+#: Words of texts whose vectors a task makes at once; a longer text is taken alone.
+HELD_WORDS = 1 << 17
 
 
 def best(queries: DataFrame, candidates: DataFrame, k: int, boost: float = 0.10, counts: tuple | None = None) -> DataFrame:
@@ -102,10 +121,9 @@ def best(queries: DataFrame, candidates: DataFrame, k: int, boost: float = 0.10,
     columns = "ids binary, first binary, at binary, w binary, category array<string>, boosts array<boolean>"
     extra = ["category", "boosts"] if labelled else []
     q, c = (df.select(F.col("id").cast("long").alias("id"), "at", "w", *extra) for df in (queries, candidates))
-    one = q.count() <= QUERY_BLOCK
     found = blocks.pairs(
-        blocks.packed(q, _sparse_block, columns, QUERY_BLOCK, gather=True),
-        blocks.packed(c, _grouped_block, f"{columns}, peak_first binary, peak_at binary, peak_w binary", CANDIDATE_BLOCK), one, _products(boost), k, counts,
+        blocks.packed(q, _sparse_block, columns, QUERY_BLOCK, gather=True), c, _grouped_block, f"{columns}, peak_first binary, peak_at binary, peak_w binary", CANDIDATE_BLOCK,
+        q.count() <= MOST_ASKED, _products(boost), k, counts,
     )
     return top_k(found, k, F.desc(F.round("score", 9)), F.col("candidate_id")).select("query_id", "candidate_id", "rank", clamp01(F.col("score")).alias("score"))
 

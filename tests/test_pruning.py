@@ -109,3 +109,54 @@ def test_sketch_places_are_fixed():
     at = frequent.places(["a", "слово дом", ""], frequent.width(20_000))
     assert at.shape == (frequent.DEPTH, 3) and at.max() < frequent.width(20_000) == 1 << 20
     assert (at == frequent.places(["a", "слово дом", ""], 1 << 20)).all() and frequent.width(10**9) == frequent.MOST_CELLS
+
+
+def test_terms_spread_over_the_sketch():
+    """A pair's bits come from its words' and are those of the joined text; few terms share a cell."""
+    import numpy as np
+    import pyarrow as pa
+
+    from rankspark.operators import frequent
+
+    words = [f"w{i}" for i in range(3000)] + ["слово", "e", ""]
+    terms, bits, df, ctf = next(frequent._counted([pa.RecordBatch.from_arrays([pa.array([words, None, words[:2], ["e", "e"]])], ["w"])]))
+    at = frequent.places(terms.to_pylist(), 1 << 20)
+    assert (frequent._cells(bits, 1 << 20) == at).all() and min(len(np.unique(row)) for row in at) > 0.99 * len(terms)
+    got = dict(zip(terms.to_pylist(), zip(df.tolist(), ctf.tolist())))
+    assert got["w0"] == got["w0 w1"] == (2, 2) and got["w7 w8"] == (1, 1) and got["e"] == (2, 3) and got["e e"] == (1, 1) and len(got) == len(terms)
+
+
+def test_a_task_counts_few_words_at_once(monkeypatch):
+    """An Arrow batch of any size is counted in parts of bounded numbers of words, a longer text alone."""
+    import pyarrow as pa
+
+    from rankspark.operators import frequent
+
+    monkeypatch.setattr(frequent, "HELD_WORDS", 100)
+    rows = [["a", "b"]] * 1000 + [["c"] * 500] + [None] * 3
+    parts = list(frequent._counted([pa.RecordBatch.from_arrays([pa.array(rows)], ["w"])]))
+    assert len(parts) > 20 and sum(dict(zip(t.to_pylist(), n.tolist())).get("a b", 0) for t, _, _, n in parts) == 1000
+    assert any(dict(zip(t.to_pylist(), n.tolist())).get("c c") == 499 for t, _, _, n in parts)
+
+
+def test_candidates_meet_queries_a_block_at_a_time(spark, monkeypatch):
+    """Blocks of candidates are neither written nor joined: one table of plain rows goes to the task."""
+    schema = "id long, at array<int>, w array<double>"
+    q = spark.createDataFrame([(i, [i % 7], [1.0]) for i in range(300)], schema)
+    c = spark.createDataFrame([(i, [i % 7], [1.0 / (1 + i)]) for i in range(200)], schema)
+    few = tfidf.best(q, c, 3)
+    assert "Join" not in few._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in few._jdf.queryExecution().executedPlan().toString()
+    found = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(tfidf, "MOST_ASKED", 10)
+    assert found == sorted(map(tuple, tfidf.best(q, c, 3).collect())) and len(found) == 900
+
+
+def test_large_files_make_more_tasks(spark, tmp_path, monkeypatch):
+    from rankspark.operators import blocks
+
+    path = f"{tmp_path}/a [1] b"
+    spark.range(2000).coalesce(1).write.parquet(path)
+    rows = spark.read.parquet(path.replace("[", "\\[").replace("]", "\\]"))
+    monkeypatch.setattr(blocks, "TASK_BYTES", 100)
+    out = blocks.spread(rows)
+    assert out.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism and out.count() == 2000
