@@ -96,7 +96,9 @@ def weights(found: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fit(corpus: DataFrame, id_col: str, text_col: str, stop_words: tuple = STOP_WORDS, **options) -> tuple[DataFrame, DataFrame]:
     """(vocabulary, weights) of a corpus; documents without terms count too."""
-    vocab = vocabulary(corpus, text_col, stop_words=stop_words, **options)
+    path = scratch.folder(corpus.sparkSession, "vocabulary")
+    vocabulary(corpus, text_col, stop_words=stop_words, **options).write.parquet(path)
+    vocab = corpus.sparkSession.read.parquet(path)  # read more than once, counted once
     return vocab, weights(vectors(corpus, id_col, text_col, vocab, stop_words), vocab)
 
 
@@ -230,35 +232,61 @@ def search(queries: DataFrame, candidates: DataFrame, sims: DataFrame, k: int, b
     return ranked.select("query_id", "candidate_id", "rank", clamp01(F.col("sim")).alias("score"))
 
 
-def classifier(found: DataFrame, vocab: DataFrame, labels: DataFrame, c: float = 1.0, max_iter: int = 1000):
+def classifier(found: DataFrame, vocab: DataFrame, labels: DataFrame | None = None, c: float = 1.0, max_iter: int = 1000):
     """Multinomial logistic regression over TF-IDF rows, vectors (id, at, w) or weights (id,
-    term, w), with labels (id, category).
+    term, w), with labels (id, category); without labels, the vectors have a category each.
 
-    Returns a function from such rows to (id, category)."""
+    Returns a function that gives such rows a predicted ``category``, null where a row has no term; weights
+    become vectors. Vectors stay where they are: nothing is joined to them."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IndexToString, StringIndexer
+    from pyspark.ml.feature import StringIndexer
 
-    ids = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place")).cache()
-    size = ids.count()
-    train = _sparse(found, ids, size).join(labels.where("category is not null"), "id").cache()
+    size = vocab.count()
+    train = _sparse(_listed(found, vocab) if labels is None else _listed(found, vocab).drop("category").join(labels.where("category is not null"), "id"), size)
     index = StringIndexer(inputCol="category", outputCol="label", stringOrderType="alphabetAsc").fit(train)
     n = train.count()
-    model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(index.transform(train))
-    train.unpersist()
-    back = IndexToString(inputCol="prediction", outputCol="category", labels=index.labels)
-    return lambda w: back.transform(model.transform(_sparse(w, ids, size))).select("id", "category")
+    # every partition sends a gradient in each iteration: as many as there are cores, however many files there are
+    rows = index.transform(train).select("features", "label").coalesce(train.sparkSession.sparkContext.defaultParallelism)
+    model = LogisticRegression(family="multinomial", regParam=1.0 / (c * max(1, n)), elasticNetParam=0.0, standardization=False, maxIter=max_iter).fit(rows)
+    by_place, base, names = model.coefficientMatrix.toArray().T.copy(), model.interceptVector.toArray(), list(index.labels)
 
-
-def _sparse(found: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, features) of the rows that have a term. Parquet holds a vector as the struct that it is
-    written as here, so no row passes through Python."""
+    def run(batches):
+        for batch in batches:
+            for part in blocks.pieces(batch, batch.schema.get_field_index("at"), HELD_WORDS // 4):
+                at, w = (pc.fill_null(part.column(x), []) for x in ("at", "w"))
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(at).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                own = by_place[at.flatten().to_numpy(zero_copy_only=False)] * w.flatten().to_numpy(zero_copy_only=False)[:, None]
+                filled = np.flatnonzero(np.diff(ends))
+                found = np.full(len(part), -1)
+                if len(filled):
+                    found[filled] = (np.add.reduceat(own, ends[filled], axis=0) + base).argmax(axis=1)
+                category = pa.array([None if i < 0 else names[i] for i in found.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, category], [*part.schema.names, "category"])
+
+    def predict(rows):
+        rows = _listed(rows, vocab)
+        rows = rows.drop("category")
+        return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", category string")
+
+    return predict
+
+
+def _listed(found: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Vectors (id, at, w) of weights (id, term, w); vectors as they are."""
+    if "at" in found.columns:
+        return found
+    ids = vocab.select("term", (F.row_number().over(Window.orderBy("term")) - 1).alias("place"))
+    at = found.join(F.broadcast(ids), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("x"))
+    return at.select("id", F.col("x.place").alias("at"), F.col("x.w").alias("w"))
+
+
+def _sparse(found: DataFrame, size: int) -> DataFrame:
+    """(category, features) of the rows that have a term and a category. Parquet holds a vector as the struct
+    that it is written as here, so no row passes through Python."""
     from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql.types import StructField, StructType
+    from pyspark.sql.types import StringType, StructField, StructType
 
-    if "at" not in found.columns:
-        found = found.join(F.broadcast(ids), "term").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "w"))).alias("x")).select("id", F.col("x.place").alias("at"), F.col("x.w").alias("w"))
     spark, path = found.sparkSession, scratch.folder(found.sparkSession, "features")
     sparse = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("at").cast("array<int>").alias("indices"), F.col("w").cast("array<double>").alias("values"))
-    at = found.where(F.size("at") > 0).select("id", sparse.alias("features"))
-    at.write.parquet(path)
-    return spark.read.schema(StructType([at.schema["id"], StructField("features", VectorUDT())])).parquet(path)
+    found.where((F.size("at") > 0) & F.col("category").isNotNull()).select("category", sparse.alias("features")).write.parquet(path)
+    return spark.read.schema(StructType([StructField("category", StringType()), StructField("features", VectorUDT())])).parquet(path)

@@ -314,13 +314,14 @@ class Engine:
         base = f"{self.root}/fits/{uuid.uuid4().hex}"
         tfidf.vocabulary(corpus, "text", s.min_df, s.max_features).write.parquet(f"{base}/vocabulary")
         vocab = self.spark.read.parquet(f"{base}/vocabulary")
-        tfidf.vectors(texts, "candidate_id", "raw_text", vocab).write.parquet(f"{base}/vectors")
+        tfidf.vectors(texts.withColumn("category", F.col("parsed.category")), "candidate_id", "raw_text", vocab, carry=("category",)).write.parquet(f"{base}/vectors")
         docs = self.spark.read.parquet(f"{base}/vectors")
-        labels = texts.select(F.col("candidate_id").alias("id"), F.col("parsed.category").alias("category")).where("category is not null")
-        predict = tfidf.classifier(docs, vocab, labels) if labels.select("category").distinct().limit(2).count() == 2 else None
+        predict = tfidf.classifier(docs, vocab) if docs.select("category").dropna().distinct().limit(2).count() == 2 else None
         if predict:
             predict(docs).write.parquet(f"{base}/categories")
-            docs = docs.join(self.spark.read.parquet(f"{base}/categories"), "id", "left")
+            docs = self.spark.read.parquet(f"{base}/categories")
+        else:
+            docs = docs.drop("category")
         self._fitted[scope] = now, (vocab, docs, predict)
         return self._fitted[scope][1]
 
@@ -331,7 +332,7 @@ class Engine:
         docs = docs.join(texts.select(F.col("candidate_id").alias("id"), (~F.coalesce(F.array_contains("parsed.languages_detected", "ru"), F.lit(False))).alias("boosts")), "id")
         asked = tfidf.vectors(queries.withColumn("boosts", ~X.is_russian(F.col("query_text"))), "query_id", "query_text", vocab, carry=("boosts",))
         if predict:
-            asked = asked.join(predict(asked), "id", "left")
+            asked = predict(asked)
         return tfidf.best(asked, docs, k, boost)
 
     def recommend(self, job_id: int | None = None, text: str | None = None, title: str | None = None, strategy: str | None = None, top_k: int | None = None, retriever: str | None = None) -> DataFrame:

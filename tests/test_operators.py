@@ -274,6 +274,18 @@ def test_classifier(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_classifier_leaves_vectors_where_they_are(spark):
+    """Categories come with the vectors and are added to them by no join; a row without a term has none."""
+    rows = [(i, ("python code server " if i % 2 else "salary hiring office ") * 3, "IT" if i % 2 else "HR") for i in range(20)] + [(20, "", "IT"), (21, None, None), (22, "python server", None)]
+    df = spark.createDataFrame(rows, "id long, text string, category string")
+    vocab = tfidf.vocabulary(df, "text").cache()
+    found = tfidf.vectors(df, "id", "text", vocab, carry=("category",)).cache()
+    got = tfidf.classifier(found, vocab, max_iter=20)(found)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and set(got.columns) == {"id", "at", "w", "category"}
+    assert {r.id: r.category for r in got.collect()} == {r[0]: r[2] for r in rows[:20]} | {20: None, 21: None, 22: "IT"}
+    assert tfidf.classifier(found, vocab, df.select("id", "category"), max_iter=20)(found).where("id < 20").select("id", "category").orderBy("id").collect() == [(r[0], r[2]) for r in rows[:20]]
+
+
 # --- files ---------------------------------------------------------------------------------------------
 
 
