@@ -91,8 +91,8 @@ def one_by_one(function: Callable) -> Embedder:
 KEPT_HASHES = 1 << 17
 
 
-def _hash(gram: str) -> int:
-    return int.from_bytes(hashlib.blake2b(gram.encode(), digest_size=8).digest(), "little")
+def _hashes(grams) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]), "<u8").astype(np.uint64)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -100,15 +100,14 @@ def word_hashes(words: list[str]) -> np.ndarray:
     kept = sys.__dict__.setdefault("_rankspark_words", {})
     if len(kept) > KEPT_HASHES:
         kept.clear()
-    for w in words:
-        if w not in kept:
-            kept[w] = _hash(w)
+    new = [w for w in dict.fromkeys(words) if w not in kept]
+    kept.update(zip(new, _hashes(new).tolist()))
     return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
 
 
 def pair_hashes(pairs) -> np.ndarray:
     """64 bits of each pair of words."""
-    return np.array([_hash(f"{a} {b}") for a, b in pairs], np.uint64)
+    return _hashes([f"{a} {b}" for a, b in pairs])
 
 
 def cells(hashes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:

@@ -84,24 +84,52 @@ def hashed_phrases(words: list[str], dim: int) -> tuple[np.ndarray, np.ndarray,
     return at, value, list(zip(starts, np.repeat([1, 2, 3], n).tolist()))
 
 
+#: Phrases that are scored again after each choice.
+NEAREST = 192
+
+
 def hashed_mmr(doc: np.ndarray, words: list[str], n: int, diversity: float = 0.5) -> list[str]:
     """mmr() of all phrases of ``words``, without their dense vectors. Scores are compared at nine
-    places; a tie goes to the phrase that sorts first."""
+    places; a tie goes to the phrase that sorts first. Likeness to what is chosen only grows, so scores only
+    fall: while one of the NEAREST best is above what the others had, the others aren't scored."""
     if not words:
         return []
     at, value, place = hashed_phrases(words, len(doc))
     phrase = lambda i: " ".join(words[place[i][0] : place[i][0] + place[i][1]])
-    near, like, out = (value * doc[at]).sum(axis=1), None, []
+    near, like, taken, out = (value * doc[at]).sum(axis=1), np.full(len(at), -np.inf), [], []
     score, left = near, np.ones(len(at), bool)
+
+    own = None  # all phrases, then the nearest
     while len(out) < min(n, len(at)):
-        found = np.round(np.where(left, score, -np.inf), 9)
-        best = min(np.flatnonzero(found == found.max()).tolist(), key=phrase)
+        if own is None:
+            found = np.where(left, score, -np.inf)
+            if len(at) > 2 * NEAREST and out:
+                by = np.argpartition(-found, NEAREST)
+                own, rest, met = by[:NEAREST], np.round(found[by[NEAREST:]].max(), 9), len(taken)
+                own_at, own_value, own_near, own_like, own_left = at[own], value[own], near[own], like[own], left[own]
+                found = found[own]
+        else:
+            found = np.where(own_left, (1 - diversity) * own_near - diversity * own_like, -np.inf)
+        found = np.round(found, 9)
+        most = found.max()
+        if own is not None and most <= rest:
+            for chosen in taken[met:]:
+                like = np.maximum(like, (value * chosen[at]).sum(axis=1))
+            score, own = (1 - diversity) * near - diversity * like, None
+            found = np.round(np.where(left, score, -np.inf), 9)
+            most = found.max()
+        places = np.flatnonzero(found == most)
+        places = places if own is None else own[places]
+        best = int(places[0]) if len(places) == 1 else min(places.tolist(), key=phrase)
         out.append(phrase(best))
         left[best] = False
-        chosen = np.bincount(at[best], value[best], len(doc))
-        now = (value * chosen[at]).sum(axis=1)
-        like = now if like is None else np.maximum(like, now)
-        score = (1 - diversity) * near - diversity * like
+        taken.append(np.bincount(at[best], value[best], len(doc)))
+        if own is None:
+            like = np.maximum(like, (value * taken[-1][at]).sum(axis=1))
+            score = (1 - diversity) * near - diversity * like
+        else:
+            own_left &= own != best
+            own_like = np.maximum(own_like, (own_value * taken[-1][own_at]).sum(axis=1))
     return out
 
 

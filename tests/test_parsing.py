@@ -93,6 +93,17 @@ def test_sparse_phrases_equal_dense_ones():
             assert keyphrases.hashed_mmr(doc, words, 12) == (dense_mmr(doc, words, 12, dim) if words else [])
 
 
+def test_few_phrases_are_scored_again(monkeypatch):
+    """The choice stays that of all phrases, ties too, when only the nearest are scored after each one."""
+    rng = random.Random(9)
+    for nearest in (1, 3, 12):
+        monkeypatch.setattr(keyphrases, "NEAREST", nearest)
+        for _ in range(12):
+            words = [f"w{rng.randint(0, 25)}" for _ in range(rng.randint(10, 60))]
+            doc = embedding.hash_embedding(" ".join(words), 64)
+            assert keyphrases.hashed_mmr(doc, words, 25) == dense_mmr(doc, words, 25, 64)
+
+
 def test_phrases_by_a_model_and_no_session_setting(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     df = spark.createDataFrame([("graph database engines and graph query planning",), (None,)], "text string")
