@@ -8,6 +8,7 @@ import zipfile
 from xml.etree import ElementTree
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +61,14 @@ def vacancies_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     """(vacancies, bad) of a directory of JSON files with one object each. Bad: not JSON, or
     without title or description."""
     fields = [T.StructField(n, T.StringType()) for n in ("title", "experience", "description", "_corrupt_record")]
-    at = spark.read.schema(T.StructType(fields)).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(path)
-    at = at.withColumn("source_filename", F.col("_metadata.file_name"))
+    read = spark.read.schema(T.StructType(fields)).option("multiLine", True).option("mode", "PERMISSIVE")
+    try:
+        # the directory's own files by name: tables kept below it are no partitions of it
+        at = read.json(f"{path.rstrip('/')}/*.json").withColumn("source_filename", F.col("_metadata.file_name"))
+    except AnalysisException as none:
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
+        at = spark.createDataFrame([], T.StructType([*fields, T.StructField("source_filename", T.StringType())]))
     ok = F.col("_corrupt_record").isNull() & F.col("title").isNotNull() & F.col("description").isNotNull()
     return at.where(ok).drop("_corrupt_record").orderBy("source_filename"), at.where(~ok).select("source_filename", "_corrupt_record")
 
