@@ -223,6 +223,19 @@ def test_suffix_dedup_of_periodic_and_edited_texts(spark, seed):
     assert got == suffix_dedup.brute_force([t.encode() for t in texts])
 
 
+def test_what_suffix_dedup_leaves_can_be_read(spark):
+    """A shared passage of 400 bytes is gone from both texts; one of over 50 words below that, and other texts, stay."""
+    passage, short = " ".join(f"passage{i:03d}" for i in range(60)), " ".join(f"w{i:04d}" for i in range(60))
+    assert len(short) < 400 < len(passage)
+    texts = ["first " + passage + "!", "the second: " + passage, "été " + short + "?", "hiver, " + short, "un été clair", None, "é" + "-" + passage, "©" + "-" + passage]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = suffix_dedup.digest(suffix_dedup.dedup_substrings(df)).orderBy("doc_id")
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    left = ["first!", "the second:", *texts[2:5], "", "\ufffd", "\ufffd"]
+    assert collect(got, "text", "n_chars") == [(t, len(t)) for t in left]
+    assert collect(got, "n_bytes") == [(len((t or "").encode()),) for t in texts]
+
+
 def test_long_texts_are_hashed_in_pieces():
     text = bytes((i * 7919 >> 3) % 251 for i in range(6000))
     one = [x.tolist() for x in suffix_dedup.anchors(text)]
