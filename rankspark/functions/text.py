@@ -5,6 +5,7 @@ Java's \w, \d, \s, \b and (?i) are ASCII; the (?U) and (?iu) prefixes make them
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -258,8 +259,14 @@ def excerpt(c: Column, most: int = 3000) -> Column:
 
 def fixed(c: Column, places: int) -> Column:
     """A number with so many digits after the point, as C's printf writes it: rounded from the double's exact
-    value, half to even. format_string() rounds its shortest decimal form, half up (0.2985 is a double below it)."""
-    return F.call_function("format_number", c, F.lit("0." + "0" * places))
+    value, half to even. Java's formats don't: format_string() rounds the shortest decimal form, half up (0.2985
+    is a double below it), format_number() gives 0.000 for 0.0005, a double above it. Arrow batches keep null and NaN apart."""
+
+    @F.arrow_udf("string")
+    def written(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{places}f}" for v in values.to_pylist()], pa.string())
+
+    return written(c.cast("double"))
 
 
 def score_bar(c: Column) -> Column:
@@ -268,8 +275,10 @@ def score_bar(c: Column) -> Column:
 
 
 def match_line(rank: Column, score: Column, name: Column, mail: Column, source: Column) -> Column:
+    """Null if rank, score or source is."""
     who = F.coalesce(name, F.lit("?"))
-    return F.format_string("  %d. (%s) %s <%s>  %s", rank.cast("int"), fixed(score, 3), who, F.coalesce(mail, F.lit("?")), basename(source))
+    line = F.format_string("  %d. (%s) %s <%s>  %s", rank.cast("int"), fixed(score, 3), who, F.coalesce(mail, F.lit("?")), basename(source))
+    return F.when(rank.isNotNull() & score.isNotNull() & source.isNotNull(), line)
 
 
 def vacancy_text(title: Column, description: Column) -> Column:

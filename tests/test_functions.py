@@ -127,6 +127,28 @@ def test_numbers_are_rounded_from_their_exact_value(spark):
     assert [r.bar.split("  ")[1] for r in bar] == ["%.2f" % r.x for r in bar]
 
 
+def test_numbers_below_the_last_place_are_rounded_from_their_exact_value(spark):
+    """0.0005 and 0.005 are doubles above the half; format_number() gives 0.000 and 0.00."""
+    rows = [(x,) for x in (0.0005, 0.00049999, 0.0015, 0.005, 1e300, 2.0**60 + 256, 1e-300, -0.0, float("nan"), float("inf"), None)]
+    got = spark.createDataFrame(rows, "x double").select("x", X.fixed(F.col("x"), 3).alias("three"), X.fixed(F.col("x"), 2).alias("two")).collect()
+    assert [(r.three, r.two) for r in got[:-1]] == [("%.3f" % r.x, "%.2f" % r.x) for r in got[:-1]] and got[-1].three is None
+    assert got[0].three == "0.001" and got[3].two == "0.01"
+
+
+def test_match_lines_equal_their_sql(spark, tmp_path):
+    """Balances of 5 give scores of 0.0005; printf of a null is null."""
+    duckdb = pytest.importorskip("duckdb")
+    from rankspark.plans import catalogue
+
+    rows = [(1, "a", 1, 5.0, "X"), (2, "b", 2, -5.0, "BUILDING"), (3, "c", 3, 15.0, None), (4, None, 4, 2985.0, "X"), (5, "e", None, 1.0, "X"), (6, "f", 6, None, "X"), (None, "g", 7, 1.0, "X")]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    with duckdb.connect() as own:
+        own.execute(f"CREATE VIEW customer AS FROM '{tmp_path}/customer.parquet/*.parquet'")
+        expected = own.execute(catalogue.SQL["match_lines"]).fetchall()
+    got = [tuple(r) for r in catalogue.match_lines(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and "(0.001)" in dict(got)[1]
+
+
 @pytest.mark.parametrize(
     "answer, expected",
     [
