@@ -64,7 +64,7 @@ def tokens(c: Column) -> Column:
 
 
 def email(c: Column) -> Column:
-    return first_match(c, EMAIL)
+    return F.when(c.contains("@"), first_match(c, EMAIL))
 
 
 def phone(c: Column) -> Column:
@@ -75,10 +75,16 @@ def phone(c: Column) -> Column:
 
 
 def languages(c: Column) -> Column:
-    """["ru"], ["en"], both or none: alphabets with over 5 % of the letters."""
-    ru, en = F.regexp_count(c, F.lit("[А-Яа-яЁё]")), F.regexp_count(c, F.lit("[A-Za-z]"))
-    n = F.nullif(ru + en, F.lit(0))
-    return F.array_compact(F.array(F.when(ru / n > 0.05, "ru"), F.when(en / n > 0.05, "en")))
+    """["ru"], ["en"], both or none: alphabets with over 5 % of the letters. Letters are counted
+    once each, by what a text is shorter without them."""
+    letters = lambda alphabet: F.length(c) - F.length(F.regexp_replace(c, f"[{alphabet}]+", ""))
+    counted = F.array(F.struct(letters("А-Яа-яЁё").alias("ru"), letters("A-Za-z").alias("en")))
+
+    def found(x: Column) -> Column:
+        n = F.nullif(x["ru"] + x["en"], F.lit(0))
+        return F.array_compact(F.array(F.when(x["ru"] / n > 0.05, "ru"), F.when(x["en"] / n > 0.05, "en")))
+
+    return F.flatten(F.transform(counted, found))
 
 
 def is_russian(c: Column) -> Column:
@@ -93,10 +99,11 @@ def content_hash(c: Column) -> Column:
 
 
 def valid_name(c: Column) -> Column:
-    """The text if it is two or three tokens, all Capitalised or all ALLCAPS; else null."""
-    t = tokens(c)
+    """The text if it is two or three tokens, all Capitalised or all ALLCAPS; else null. Longer texts
+    are told by their first tokens, without splitting them."""
+    t, few = tokens(c), r"(?U)^\s*+\S++\s++\S++(?:\s++\S++)?+\s*+$"
     shaped = F.forall(t, lambda x: x.rlike(NAME_CAPITAL)) | F.forall(t, lambda x: x.rlike(NAME_CAPS))
-    return F.when(F.size(t).between(2, 3) & F.forall(t, lambda x: F.length(x) >= 2) & shaped, c)
+    return F.when(c.rlike(few), F.when(F.forall(t, lambda x: F.length(x) >= 2) & shaped, c))
 
 
 # --- dates -------------------------------------------------------------------------------
@@ -206,21 +213,30 @@ def is_skill_noise(c: Column) -> Column:
 
 
 def is_junk_phrase(c: Column) -> Column:
-    p = strip(c)
-    low = F.lower(p)
+    return is_junk(strip(c), F.lower(strip(c)))
+
+
+def is_junk(p: Column, low: Column) -> Column:
+    """is_junk_phrase() of a phrase without outer white space, and the same in lower case."""
     has = F.lit(False)
     for part in PHRASE_CONTACTS:
         has = has | low.contains(part)
-    shape = F.lit(False)
-    for number in PHRASE_NUMBERS:
-        shape = shape | p.rlike(f"(?U){number}")
+    shape = p.rlike("(?U)" + "|".join(PHRASE_NUMBERS))
     return (F.length(p) <= 2) | shape | low.isin(*PHRASE_VERBS) | has
 
 
+def name_tokens(name: Column) -> Column:
+    """What of a name counts for dominated_by()."""
+    return F.filter(tokens(F.lower(F.coalesce(name, F.lit("")))), lambda x: F.length(x) > 1)
+
+
 def dominated_by(phrase: Column, name: Column) -> Column:
     """At least half of the phrase's tokens are tokens (longer than 1) of the name."""
-    names = F.filter(tokens(F.lower(F.coalesce(name, F.lit("")))), lambda x: F.length(x) > 1)
-    parts = tokens(F.lower(phrase))
+    return mostly_of(tokens(F.lower(phrase)), name_tokens(name))
+
+
+def mostly_of(parts: Column, names: Column) -> Column:
+    """At least half of the parts are names; false without parts or names, or if one is null."""
     return F.coalesce((F.size(names) > 0) & (F.size(parts) > 0) & (F.size(F.filter(parts, lambda x: F.array_contains(names, x))) / F.nullif(F.size(parts), F.lit(0)) >= 0.5), F.lit(False))
 
 

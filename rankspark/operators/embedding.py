@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -87,27 +89,14 @@ def one_by_one(function: Callable) -> Embedder:
 
 # --- the offline stand-in -------------------------------------------------------------------
 
-#: Words whose hashes a worker keeps.
-KEPT_HASHES = 1 << 17
-
-
 def _hashes(grams) -> np.ndarray:
-    return np.frombuffer(b"".join([hashlib.blake2b(g.encode(), digest_size=8).digest() for g in grams]), "<u8").astype(np.uint64)
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64 bits of each word."""
-    kept = sys.__dict__.setdefault("_rankspark_words", {})
-    if len(kept) > KEPT_HASHES:
-        kept.clear()
-    new = [w for w in dict.fromkeys(words) if w not in kept]
-    kept.update(zip(new, _hashes(new).tolist()))
-    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
-
-
-def pair_hashes(pairs) -> np.ndarray:
-    """64 bits of each pair of words."""
-    return _hashes([f"{a} {b}" for a, b in pairs])
+    """64 bits of each."""
+    empty, found = hashlib.blake2b(digest_size=8).copy, []
+    for gram in grams:
+        own = empty()
+        own.update(gram)
+        found.append(own.digest())
+    return np.frombuffer(b"".join(found), "<u8").astype(np.uint64)
 
 
 def cells(hashes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +104,42 @@ def cells(hashes: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes % np.uint64(dim)).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0)
 
 
+class Grams:
+    """The words of many lists, and the pairs of words that are adjacent in a list, numbered: a word or a pair
+    that several lists have is hashed once. Of each word in order: ``own`` (its number), ``row`` (its list) and ``pair``
+    (the number of the pair that begins there, or -1, which counts nothing)."""
+
+    def __init__(self, lists: list[list[str]], dim: int):
+        self.dim, self.flat = dim, [w for words in lists for w in words]
+        number = defaultdict(count().__next__)
+        self.own = np.fromiter(map(number.__getitem__, self.flat), np.int64, len(self.flat))
+        names = [w.encode() for w in number]
+        self.row = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+        begins = np.flatnonzero(self.row[1:] == self.row[:-1])
+        pairs, own_pair = np.unique(self.own[begins] * len(names) + self.own[begins + 1], return_inverse=True)
+        self.pair = np.full(len(self.flat), -1)
+        self.pair[begins] = own_pair
+        self.words, self.pairs = len(names), len(pairs)
+        self.word_at, self.word_sign = cells(_hashes(names), dim)
+        first, second = (x.tolist() for x in np.divmod(pairs, max(1, len(names))))
+        spaced = [w + b" " for w in names]
+        hashes = _hashes([spaced[a] + names[b] for a, b in zip(first, second)])
+        self.pair_at, self.pair_sign = (np.append(x, 0) for x in cells(hashes, dim))
+
+    def embeddings(self, n: int) -> np.ndarray:
+        """hash_embedding() of the first n lists."""
+        last = np.searchsorted(self.row, n)
+        row, own, pair = self.row[:last] * self.dim, self.own[:last], self.pair[:last]
+        at = np.concatenate([row + self.word_at[own], row + self.pair_at[pair]])
+        out = np.bincount(at, np.concatenate([self.word_sign[own], self.pair_sign[pair]]), n * self.dim).reshape(n, self.dim)
+        size = np.sqrt((out * out).sum(axis=1))
+        return out / np.where(size > 0, size, 1.0)[:, None]
+
+
+def hashed_words(text: str) -> list[str]:
+    return text.lower().split()
+
+
 def hash_embedding(text: str, dim: int = 1024) -> np.ndarray:
     """Unit vector of hashed words and word pairs; an offline stand-in for a model."""
-    words = text.lower().split()
-    at, sign = cells(np.concatenate([word_hashes(words), pair_hashes(zip(words, words[1:]))]), dim)
-    out = np.bincount(at, sign, dim)
-    size = np.linalg.norm(out)
-    return out / size if size else out
+    return Grams([hashed_words(text)], dim).embeddings(1)[0]

@@ -5,7 +5,9 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -57,80 +59,177 @@ def mmr_of(doc: np.ndarray, phrases: list[str], n: int, vectors, diversity: floa
     return chosen
 
 
-def hashed_phrases(words: list[str], dim: int) -> tuple[np.ndarray, np.ndarray, list]:
-    """Vectors of all distinct phrases of one to three adjacent words, as hash_embedding() has them, but
-    only their numbers that aren't zero: cells and values, five of each, and (start, length) of each phrase."""
-    index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    own = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-    word_at, word_sign = embedding.cells(embedding.word_hashes(list(index)), dim)
-    _, ones = np.unique(own, return_index=True)
-    _, twos, pair = np.unique(own[:-1] * len(index) + own[1:], return_index=True, return_inverse=True)
-    pair_at, pair_sign = embedding.cells(embedding.pair_hashes((words[i], words[i + 1]) for i in twos.tolist()), dim)
-    _, threes = np.unique(pair[:-1] * len(index) + own[2:], return_index=True) if len(words) > 2 else (None, np.zeros(0, np.int64))
-    n = [len(ones), len(twos), len(threes)]
-    at, value = np.zeros((sum(n), 5), np.int64), np.zeros((sum(n), 5))
-    parts = (slice(0, n[0]), slice(n[0], n[0] + n[1]), slice(n[0] + n[1], None))
-    for length, (part, start) in enumerate(zip(parts, (ones, twos, threes)), 1):
-        for j in range(length):
-            w = own[start + j]
-            at[part, j], value[part, j] = word_at[w], word_sign[w]
-        for j in range(length - 1):
-            p = pair[start + j]
-            at[part, 3 + j], value[part, 3 + j] = pair_at[p], pair_sign[p]
-    # numbers in one cell add up before the length is taken
-    square = sum((value[:, i] * value[:, j] * (at[:, i] == at[:, j])) for i in range(5) for j in range(5))
-    value /= np.sqrt(np.where(square > 0, square, 1.0))[:, None]
-    starts = np.concatenate([ones, twos, threes]).tolist()
-    return at, value, list(zip(starts, np.repeat([1, 2, 3], n).tolist()))
-
-
-#: Phrases that are scored again after each choice.
-NEAREST = 192
+class Phrases:
+    """All distinct phrases of one to three adjacent words of each of some lists (from the list ``first`` on), as
+    hash_embedding() has them, but only their numbers that aren't zero: ``at`` and ``value``, five of each, by phrase."""
+
+    def __init__(self, grams: embedding.Grams, first: int = 0):
+        self.grams = grams
+        row, own, pair = grams.row, grams.own, grams.pair
+        ones = np.arange(np.searchsorted(row, first), len(own))
+        twos = ones[pair[ones] >= 0]
+        threes = twos[pair[twos + 1] >= 0] if len(twos) else twos
+        kinds = (ones, row[ones] * grams.words + own[ones]), (twos, row[twos] * grams.pairs + pair[twos]), (threes, (row[threes] * grams.pairs + pair[threes]) * grams.words + own[threes + 2])
+        starts = [places[np.unique(keys, return_index=True)[1]] for places, keys in kinds]
+        start, length = np.concatenate(starts), np.repeat([1, 2, 3], [len(x) for x in starts])
+        by = np.argsort(row[start], kind="stable")
+        self.start, self.length, self.row = start[by], length[by], row[start[by]] - first
+        long, longest = self.length > 1, self.length > 2
+        second, third = self.start + long, self.start + 2 * longest
+        words, pairs = (own[self.start], own[second], own[third]), (pair[self.start], pair[second])
+        self.at = np.stack([grams.word_at[w] for w in words] + [grams.pair_at[p] for p in pairs])
+        self.value = np.stack([grams.word_sign[w] for w in words] + [grams.pair_sign[p] for p in pairs])
+        self.value[[1, 3]] *= long
+        self.value[[2, 4]] *= longest
+        # numbers in one cell add up before the length is taken
+        square = 2.0 * self.length - 1
+        for i in range(5):
+            for j in range(i):
+                square += 2 * self.value[i] * self.value[j] * (self.at[i] == self.at[j])
+        self.value /= np.sqrt(square)
+
+    def text(self, i: int) -> str:
+        return " ".join(self.grams.flat[self.start[i] : self.start[i] + self.length[i]])
+
+    def like(self, vectors: np.ndarray) -> np.ndarray:
+        """Likeness of each phrase to the vector of its list."""
+        flat, base = vectors.ravel(), self.row * vectors.shape[1]
+        out = self.value[0] * flat[base + self.at[0]]
+        for j in range(1, 5):
+            out += self.value[j] * flat[base + self.at[j]]
+        return out
+
+    def most_like(self, vectors: np.ndarray, begin: int, end: int) -> np.ndarray:
+        """Greatest likeness of the phrases from begin to end to any of the vectors, a column each."""
+        out = np.empty(end - begin)
+        for i in range(begin, end, BLOCK):
+            of = slice(i, min(end, i + BLOCK))
+            near = self.value[0, of, None] * vectors[self.at[0, of]]
+            for j in range(1, 5):
+                near += self.value[j, of, None] * vectors[self.at[j, of]]
+            out[i - begin : of.stop - begin] = near.max(axis=1)
+        return out
+
+
+#: Phrases of a list that are scored again after each choice.
+NEAREST = 384
 
 
 def hashed_mmr(doc: np.ndarray, words: list[str], n: int, diversity: float = 0.5) -> list[str]:
-    """mmr() of all phrases of ``words``, without their dense vectors. Scores are compared at nine
-    places; a tie goes to the phrase that sorts first. Likeness to what is chosen only grows, so scores only
-    fall: while one of the NEAREST best is above what the others had, the others aren't scored."""
-    if not words:
-        return []
-    at, value, place = hashed_phrases(words, len(doc))
-    phrase = lambda i: " ".join(words[place[i][0] : place[i][0] + place[i][1]])
-    near, like, taken, out = (value * doc[at]).sum(axis=1), np.full(len(at), -np.inf), [], []
-    score, left = near, np.ones(len(at), bool)
-
-    own = None  # all phrases, then the nearest
-    while len(out) < min(n, len(at)):
-        if own is None:
-            found = np.where(left, score, -np.inf)
-            if len(at) > 2 * NEAREST and out:
-                by = np.argpartition(-found, NEAREST)
-                own, rest, met = by[:NEAREST], np.round(found[by[NEAREST:]].max(), 9), len(taken)
-                own_at, own_value, own_near, own_like, own_left = at[own], value[own], near[own], like[own], left[own]
-                found = found[own]
-        else:
-            found = np.where(own_left, (1 - diversity) * own_near - diversity * own_like, -np.inf)
-        found = np.round(found, 9)
-        most = found.max()
-        if own is not None and most <= rest:
-            for chosen in taken[met:]:
-                like = np.maximum(like, (value * chosen[at]).sum(axis=1))
-            score, own = (1 - diversity) * near - diversity * like, None
-            found = np.round(np.where(left, score, -np.inf), 9)
-            most = found.max()
-        places = np.flatnonzero(found == most)
-        places = places if own is None else own[places]
-        best = int(places[0]) if len(places) == 1 else min(places.tolist(), key=phrase)
-        out.append(phrase(best))
-        left[best] = False
-        taken.append(np.bincount(at[best], value[best], len(doc)))
-        if own is None:
-            like = np.maximum(like, (value * taken[-1][at]).sum(axis=1))
-            score = (1 - diversity) * near - diversity * like
-        else:
-            own_left &= own != best
-            own_like = np.maximum(own_like, (own_value * taken[-1][own_at]).sum(axis=1))
-    return out
+    """mmr() of all phrases of ``words``, as hashed_mmr_of() chooses them."""
+    return hashed_mmr_of(doc[None], Phrases(embedding.Grams([words], len(doc))), n, diversity)[0]
+
+
+def hashed_mmr_of(docs: np.ndarray, phrases: Phrases, n: int, diversity: float = 0.5) -> list[list[str]]:
+    """mmr() of the phrases of many lists, each with the vector of its document: one choice after the other, for
+    all lists at once, without dense vectors of phrases. Scores are compared at nine places; a tie goes to the phrase that
+    sorts first. Likeness to what is chosen only grows, so scores only fall: while one of a list's NEAREST best is above
+    what its others had, the others aren't scored; else that list's phrases are all scored once more."""
+    dim, out = docs.shape[1], [[] for _ in docs]
+    bounds = np.searchsorted(phrases.row, np.arange(len(docs) + 1))
+    size = np.diff(bounds)
+    most_picks, width = np.minimum(size, n), int(min(NEAREST, size.max(initial=0)))
+    if not width or n < 1:
+        return out
+    near, left, met = phrases.like(docs), np.ones(len(phrases.row), bool), np.zeros(len(docs), np.int64)
+    near_of = np.zeros((len(docs), width), np.int64)
+    open_, rest = np.zeros((len(docs), width), bool), np.full(len(docs), -np.inf)
+
+    def first(places: np.ndarray) -> int:
+        return int(places[0]) if len(places) == 1 else min(places.tolist(), key=phrases.text)
+
+    def vector(i: int) -> np.ndarray:
+        return np.bincount(phrases.at[:, i], phrases.value[:, i], dim)
+
+    def take(d: int, i: int) -> None:
+        out[d].append(i)
+        left[i] = False
+
+    def narrow(d: int) -> None:
+        """The list's nearest phrases, by scores that ``like`` has up to date."""
+        of = slice(bounds[d], bounds[d + 1])
+        score = np.where(left[of], (1 - diversity) * near[of] - diversity * like[of], -np.inf)
+        by = np.argpartition(-score, width - 1) if len(score) > width else np.arange(len(score))
+        rest[d] = np.round(score[by[width:]].max(initial=-np.inf), 9)
+        own = bounds[d] + by[:width]
+        near_of[d, : len(own)], open_[d] = own, False
+        open_[d, : len(own)] = left[own]
+
+    def all_again(d: int) -> None:
+        """The next choice from all phrases of the list."""
+        of = slice(bounds[d], bounds[d + 1])
+
+        def meet() -> None:
+            new = np.stack([vector(i) for i in out[d][met[d] :]], axis=1)
+            like[of], met[d] = np.maximum(like[of], phrases.most_like(new, of.start, of.stop)), len(out[d])
+
+        if met[d] < len(out[d]):
+            meet()
+        found = np.round(np.where(left[of], (1 - diversity) * near[of] - diversity * like[of], -np.inf), 9)
+        take(d, first(bounds[d] + np.flatnonzero(found == found.max())))
+        meet()
+        narrow(d)
+
+    # the first choice: the most like the document
+    full = np.flatnonzero(size)
+    found = np.round(near, 9)
+    ties = np.flatnonzero(found == np.repeat(np.maximum.reduceat(found, bounds[full]), size[full]))
+    for d, places in zip(full.tolist(), np.split(ties, np.searchsorted(ties, bounds[full[1:]]))):
+        take(d, first(places))
+    taken = np.zeros((len(docs), dim))
+    for d in full.tolist():
+        taken[d] = vector(out[d][0])
+    like = phrases.like(taken)
+    met[full] = 1
+    for d in full.tolist():
+        narrow(d)
+    cell = phrases.at[:, near_of] + (np.arange(len(docs)) * dim)[:, None]
+    value, own_near, own_like = phrases.value[:, near_of], near[near_of], like[near_of]
+    for turn in range(1, int(most_picks.max())):
+        found = np.round(np.where(open_, (1 - diversity) * own_near - diversity * own_like, -np.inf), 9)
+        most = found.max(axis=1)
+        live = turn < most_picks
+        again = live & (most <= rest)
+        best = found == most[:, None]
+        place, many = best.argmax(axis=1), best.sum(axis=1) > 1
+        chosen = np.flatnonzero(live & ~again)
+        for d in chosen[many[chosen]].tolist():
+            own = np.flatnonzero(best[d])
+            place[d] = own[np.flatnonzero(near_of[d, own] == first(near_of[d, own]))[0]]
+        for d, i in zip(chosen.tolist(), near_of[chosen, place[chosen]].tolist()):
+            take(d, i)
+        open_[chosen, place[chosen]] = False
+        taken[:] = 0
+        for j in range(5):
+            taken.ravel()[cell[j, chosen, place[chosen]]] += value[j, chosen, place[chosen]]
+        flat, new = taken.ravel(), np.zeros_like(own_near)
+        for j in range(5):
+            new += value[j] * flat[cell[j]]
+        own_like = np.where((live & ~again)[:, None], np.maximum(own_like, new), own_like)
+        for d in np.flatnonzero(again).tolist():
+            all_again(d)
+            own = near_of[d]
+            cell[:, d], value[:, d], own_near[d], own_like[d] = phrases.at[:, own] + d * dim, phrases.value[:, own], near[own], like[own]
+    return [[phrases.text(i) for i in own] for own in out]
+
+
+#: Bounds of the texts whose phrases are chosen together: texts, and characters (a longer text is alone).
+MOST_TEXTS, MOST_CHARS = 96, 1 << 18
+
+
+def hashed_phrases(texts: list[str], words: list[list[str]], n: int, dim: int) -> list[list[str]]:
+    """The phrases of each text, by their hashed embeddings."""
+    out, held, chars = [], 0, 0
+    for i, text in enumerate(texts):
+        if i > held and (i - held == MOST_TEXTS or chars + len(text) > MOST_CHARS):
+            out, held, chars = out + _hashed_phrases(texts[held:i], words[held:i], n, dim), i, 0
+        chars += len(text)
+    return out + _hashed_phrases(texts[held:], words[held:], n, dim)
+
+
+def _hashed_phrases(texts: list[str], words: list[list[str]], n: int, dim: int) -> list[list[str]]:
+    grams = embedding.Grams([embedding.hashed_words(t) for t in texts] + words, dim)
+    return hashed_mmr_of(grams.embeddings(len(texts)), Phrases(grams, len(texts)), n)
 
 
 def keyphrases(docs: DataFrame, text: str = "text", name: str | None = None, top: int = 15, embedder=hash_embedding, dim: int = 256) -> DataFrame:
@@ -140,20 +239,23 @@ def keyphrases(docs: DataFrame, text: str = "text", name: str | None = None, top
     model = embedder if isinstance(embedder, embedding.Embedder) else embedding.one_by_one(embedder)
 
     def phrases_of(value: str, found: list[str]) -> list[str]:
-        if embedder is hash_embedding:
-            return hashed_mmr(hash_embedding(value, dim), found, top + 10)
         encode = embedding.opened(model)
         vectors = lambda t: np.array(embedding.encoded(model, encode, t, dim), float)
         every = sorted({" ".join(found[i : i + k]) for k in (1, 2, 3) for i in range(len(found) - k + 1)})
         return [every[i] for i in mmr_of(vectors([value])[0], every, top + 10, vectors)]
 
-    @F.pandas_udf("array<string>")
-    def choose(texts, found):
-        import pandas as pd
-
-        return pd.Series([phrases_of(t or "", [] if w is None else list(w)) for t, w in zip(texts, found)])
+    @F.arrow_udf("array<string>")
+    def choose(texts: pa.Array, found: pa.Array) -> pa.Array:
+        values = [t or "" for t in texts.to_pylist()]
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)).tolist()
+        flat = found.flatten().to_numpy(zero_copy_only=False).tolist()
+        lists = [flat[i:j] for i, j in zip([0, *ends], ends)]
+        every = hashed_phrases(values, lists, top + 10, dim) if embedder is hash_embedding else list(map(phrases_of, values, lists))
+        return pa.array(every, pa.list_(pa.string()))
 
-    at = docs.withColumn("__found", choose(F.col(text), words))
-    own = F.col(name) if name else F.lit(None).cast("string")
-    kept = F.filter("__found", lambda p: ~X.is_junk_phrase(p) & ~X.dominated_by(p, own))
-    return at.withColumn("phrases", F.slice(kept, 1, top)).drop("__found")
+    at = docs.withColumn("__names", X.name_tokens(F.col(name) if name else F.lit(None).cast("string"))).withColumn("__found", choose(F.col(text), words))
+    # what a phrase is judged by is made once: in a lambda Spark evaluates an expression wherever it stands
+    parts = lambda p: F.when(F.size("__names") > 0, X.tokens(F.lower(p)))
+    judged = F.transform("__found", lambda p: F.struct(p.alias("phrase"), X.strip(p).alias("bare"), F.lower(X.strip(p)).alias("low"), parts(p).alias("parts")))
+    kept = F.filter(judged, lambda p: ~X.is_junk(p["bare"], p["low"]) & ~X.mostly_of(p["parts"], F.col("__names")))
+    return at.withColumn("phrases", F.slice(F.transform(kept, lambda p: p["phrase"]), 1, top)).drop("__found", "__names")

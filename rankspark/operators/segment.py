@@ -79,6 +79,11 @@ def closest_section(text: str) -> str | None:
     return _SECTIONS[ratios.index(best)] if best >= BAR else None
 
 
+def is_long(text: Column) -> Column:
+    """Longer than a header without its outer white space: one look at the text's beginning tells."""
+    return text.rlike(rf"(?Us)\S.{{{LONGEST_HEADER - 1},}}?\S")
+
+
 def may_be_header(text: Column, size: Column, bold: Column, body: Column) -> Column:
     """Short, and larger than the body, bold, or in upper case with five words at most."""
     t = strip(text)
@@ -103,6 +108,7 @@ def headers(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     at = lines.withColumn("__body", F.median("max_font_size").over(Window.partitionBy(doc)))
     norm = strip(F.regexp_replace(F.lower(strip(F.col("text"))), ":+$", ""))
     norm = F.when(may_be_header(F.col("text"), F.col("max_font_size"), F.col("is_bold"), F.col("__body")), norm)
+    norm = F.when(~is_long(F.col("text")), norm)
     return at.withColumn("header", closest(norm)).drop("__body")
 
 

@@ -127,6 +127,14 @@ def test_numbers_are_rounded_from_their_exact_value(spark):
     assert [r.bar.split("  ")[1] for r in bar] == ["%.2f" % r.x for r in bar]
 
 
+def test_letters_of_each_alphabet_are_counted_once(spark):
+    texts = ["", "123 !?", "Иван ivan", "a" * 95 + "я" * 5, "a" * 94 + "я" * 6, "ё" * 95 + "b" * 5, "é ü ß", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(X.languages(F.col("text")).alias("found"))
+    assert [r.found for r in df.collect()] == [[], [], ["ru", "en"], ["en"], ["ru", "en"], ["ru"], [], []]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2 and "regexp_extract_all" not in plan and "regexp_count" not in plan
+
+
 def test_numbers_below_the_last_place_are_rounded_from_their_exact_value(spark):
     """0.0005 and 0.005 are doubles above the half; format_number() gives 0.000 and 0.00."""
     rows = [(x,) for x in (0.0005, 0.00049999, 0.0015, 0.005, 1e300, 2.0**60 + 256, 1e-300, -0.0, float("nan"), float("inf"), None)]

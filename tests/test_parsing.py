@@ -104,6 +104,36 @@ def test_few_phrases_are_scored_again(monkeypatch):
             assert keyphrases.hashed_mmr(doc, words, 25) == dense_mmr(doc, words, 25, 64)
 
 
+def test_phrases_of_many_texts_are_those_of_each(monkeypatch):
+    """Texts are looked at together, in any groups, and scored again in any number; blank and one-word texts too."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 20)}" for _ in range(rng.choice((0, 1, 2, 3, 9, 40)))) for _ in range(40)]
+    words = [[w for w in t.split() if w != "w3"] for t in texts]
+    expected = [dense_mmr(embedding.hash_embedding(t, 64), w, 9, 64) if w else [] for t, w in zip(texts, words)]
+    for most_texts, most_chars, nearest in ((1, 10, 384), (7, 1000, 3), (100, 60, 1), (100, 10**6, 384)):
+        monkeypatch.setattr(keyphrases, "MOST_TEXTS", most_texts)
+        monkeypatch.setattr(keyphrases, "MOST_CHARS", most_chars)
+        monkeypatch.setattr(keyphrases, "NEAREST", nearest)
+        monkeypatch.setattr(keyphrases, "BLOCK", 5)
+        assert keyphrases.hashed_phrases(texts, words, 9, 64) == expected
+    assert keyphrases.hashed_phrases([], [], 9, 64) == []
+
+
+def test_a_word_or_pair_of_several_texts_is_hashed_once(monkeypatch):
+    hashed, own = [], embedding._hashes
+    monkeypatch.setattr(embedding, "_hashes", lambda grams: own(hashed.extend(grams) or hashed[-len(grams) :]) if grams else own(grams))
+    texts = ["graph query engine", "query engine graph query", "graph query engine"]
+    keyphrases.hashed_phrases(texts, [t.split() for t in texts], 5, 64)
+    assert sorted(hashed) == [b"engine", b"engine graph", b"graph", b"graph query", b"query", b"query engine"]
+
+
+def test_junk_and_name_phrases_are_left_out(spark):
+    df = spark.createDataFrame([("ivan petrov 2020 11 developed graph database 12.05", "Ivan Petrov"), ("ivan petrov graph", None)], "text string, name string")
+    own, free = (r.phrases for r in keyphrases.keyphrases(df, name="name").collect())
+    assert "graph database" in own and "ivan petrov" in free
+    assert not {"ivan", "petrov", "ivan petrov", "ivan petrov 2020", "2020", "11", "developed", "2020 11"} & set(own)
+
+
 def test_phrases_by_a_model_and_no_session_setting(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     df = spark.createDataFrame([("graph database engines and graph query planning",), (None,)], "text string")
@@ -131,6 +161,14 @@ def test_many_patterns_at_once(patterns, text):
     assert segment.Patterns(patterns).lengths(text) == [lcs(p, text) for p in patterns]
 
 
+def test_long_lines_are_told_without_trimming_them(spark):
+    """Longer than 40 characters, whatever white space is around; an emoji is one character."""
+    cores = ["x" * 40, "x" * 41, "x" + " " * 38 + "y", "x" + " \n" * 20 + "y", "😀" * 40, "😀" * 41, "", "a b", "é" * 39 + "\u00a0z"]
+    texts = [a + t + b for t in cores for a, b in (("", ""), (" \t" * 30, "\n" * 50), ("\u00a0", "\u2003\r\n"))]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", segment.is_long(F.col("text")).alias("long")).collect()
+    assert [r.long for r in rows] == [len(r.text.strip()) > 40 for r in rows]
+
+
 def test_closest_section_takes_the_first_of_the_best():
     for section, aliases in segment.ALIASES.items():
         assert [segment.closest_section(a) for a in aliases] == [section] * len(aliases)
