@@ -89,6 +89,7 @@ def one_by_one(function: Callable) -> Embedder:
 
 # --- the offline stand-in -------------------------------------------------------------------
 
+
 def _hashes(grams) -> np.ndarray:
     """64 bits of each."""
     empty, found = hashlib.blake2b(digest_size=8).copy, []
@@ -142,4 +143,8 @@ def hashed_words(text: str) -> list[str]:
 
 def hash_embedding(text: str, dim: int = 1024) -> np.ndarray:
     """Unit vector of hashed words and word pairs; an offline stand-in for a model."""
-    return Grams([hashed_words(text)], dim).embeddings(1)[0]
+    words = [w.encode() for w in hashed_words(text)]
+    at, sign = cells(_hashes(words + [a + b" " + b for a, b in zip(words, words[1:])]), dim)
+    out = np.bincount(at, sign, dim)
+    size = np.linalg.norm(out)
+    return out / size if size else out
